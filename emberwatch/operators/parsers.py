@@ -151,8 +151,8 @@ def _finish(df: DataFrame, names: list[str], source_type: str, failed: Column, s
         .otherwise(F.lit("PARSED"))
     )
     done = df.withColumns({"parse_status": status, "parse_detail": detail, "source_type": F.lit(source_type)})
-    return validate_events(done.select(*names, *[c for c in PARSED_NAMES if c not in names], "parse_status", "parse_detail"),
-                           "invalid_event" if source_type == "generic_json" else "invalid_field")
+    extra = [c for c in PARSED_NAMES if c not in names]
+    return done.select(*names, *extra, "parse_status", "parse_detail")
 
 
 # ---------- linux_auth ----------
@@ -174,7 +174,7 @@ def syslog_timestamp(month: Column, day: Column, clock: Column, received: Column
     return F.to_utc_timestamp(local, zone), code
 
 
-def parse_linux_auth(df: DataFrame) -> DataFrame:
+def _linux_auth(df: DataFrame) -> DataFrame:
     names = df.columns
     rows = _line(df).withColumn("_h", groups(F.col("_text"), SYSLOG_LINE, 8))
     rows = rows.withColumns(
@@ -359,7 +359,7 @@ def _get(name: str, column: str = "_j") -> Column:
     return F.try_element_at(F.col(column), F.lit(name))
 
 
-def parse_windows_security(df: DataFrame) -> DataFrame:
+def _windows_security(df: DataFrame) -> DataFrame:
     names = df.columns
     has = lambda k: F.map_contains_key("_j", k)
     either = lambda a, b: F.when(has(a), _get(a)).otherwise(_get(b))
@@ -461,7 +461,7 @@ def parse_windows_security(df: DataFrame) -> DataFrame:
     return _finish(rows.withColumns(fields), names, "windows_security", failed, skipped)
 
 
-def parse_app_json(df: DataFrame) -> DataFrame:
+def _app_json(df: DataFrame) -> DataFrame:
     names = df.columns
     rows = _json(df).withColumns({"_name": X.clean(_get("event"), 64), "_time": X.iso_timestamp(_get("ts"))})
     name = F.col("_name")
@@ -501,7 +501,7 @@ def parse_app_json(df: DataFrame) -> DataFrame:
     return _finish(rows.withColumns(fields), names, "app_json", failed, F.lit(None).cast("string"))
 
 
-def parse_generic_json(df: DataFrame) -> DataFrame:
+def _generic_json(df: DataFrame) -> DataFrame:
     """Records already in event field names; types are checked on the JSON value itself."""
     names = df.columns
     rows = _json(df).withColumn("_v", F.when(F.col("_j").isNotNull(), F.try_parse_json("_text")))
@@ -540,7 +540,7 @@ def parse_generic_json(df: DataFrame) -> DataFrame:
 # ---------- http_access ----------
 
 
-def parse_http_access(df: DataFrame) -> DataFrame:
+def _http_access(df: DataFrame) -> DataFrame:
     names = df.columns
     rows = _line(df).withColumn("_l", groups(F.col("_text"), ACCESS_LINE, 9))
     t = groups(F.get("_l", F.lit(3)), ACCESS_TIME, 8)
@@ -595,8 +595,9 @@ def parse_http_access(df: DataFrame) -> DataFrame:
 # ---------- validation ----------
 
 
-def validate_events(df: DataFrame, code: str = "invalid_field") -> DataFrame:
-    """Canonical form of parsed rows; those that cannot have it FAIL with `code`."""
+def validate_events(df: DataFrame) -> DataFrame:
+    """Canonical form of parsed rows; those that cannot have it FAIL."""
+    code = F.when(F.col("source_type") == "generic_json", F.lit("invalid_event")).otherwise(F.lit("invalid_field"))
     no_nul = lambda c: F.translate(c, "\x00", "�")
     c = {n: no_nul(F.col(n)) for n, t in PARSED if t.typeName() == "string"}
     lowered = lambda v: X.blank_to_null(F.lower(X.strip(v)))
@@ -631,7 +632,7 @@ def validate_events(df: DataFrame, code: str = "invalid_field") -> DataFrame:
     rows = rows.withColumns(
         {
             "parse_status": F.when(F.col("_invalid"), F.lit("FAILED")).otherwise(F.col("parse_status")),
-            "parse_detail": F.when(F.col("_invalid"), F.lit(code)).otherwise(F.col("parse_detail")),
+            "parse_detail": F.when(F.col("_invalid"), code).otherwise(F.col("parse_detail")),
         }
     )
     parsed = F.col("parse_status") == "PARSED"
@@ -639,17 +640,42 @@ def validate_events(df: DataFrame, code: str = "invalid_field") -> DataFrame:
     return rows.withColumns(final).drop("_invalid")
 
 
-PARSERS = {
-    "linux_auth": parse_linux_auth,
-    "windows_security": parse_windows_security,
-    "http_access": parse_http_access,
-    "app_json": parse_app_json,
-    "generic_json": parse_generic_json,
+FORMATS = {
+    "linux_auth": _linux_auth,
+    "windows_security": _windows_security,
+    "http_access": _http_access,
+    "app_json": _app_json,
+    "generic_json": _generic_json,
 }
 
 
+def parse_linux_auth(df: DataFrame) -> DataFrame:
+    """sshd, sudo, su and account lines in syslog form."""
+    return validate_events(_linux_auth(df))
+
+
+def parse_windows_security(df: DataFrame) -> DataFrame:
+    """Security log events as JSON objects."""
+    return validate_events(_windows_security(df))
+
+
+def parse_http_access(df: DataFrame) -> DataFrame:
+    """Access-log lines in common or combined form."""
+    return validate_events(_http_access(df))
+
+
+def parse_app_json(df: DataFrame) -> DataFrame:
+    """Application events as JSON objects."""
+    return validate_events(_app_json(df))
+
+
+def parse_generic_json(df: DataFrame) -> DataFrame:
+    """Events already in this model's field names."""
+    return validate_events(_generic_json(df))
+
+
 def parse_records(df: DataFrame) -> DataFrame:
     """Every record with exactly one outcome. One branch per format: where the raw store is
     partitioned by source_type, each branch reads only its own files."""
-    parts = [parse(df.filter(F.col("source_type") == name)) for name, parse in PARSERS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [parse(df.filter(F.col("source_type") == name)) for name, parse in FORMATS.items()]
+    return validate_events(reduce(DataFrame.unionByName, parts))

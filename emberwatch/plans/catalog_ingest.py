@@ -1 +1,212 @@
-QUERIES: dict[str, tuple] = {}
+"""Queries over ingestion: sample events written as records, parsed back and compared with what
+they were written from."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberwatch.functions import text as X
+from emberwatch.operators import ingest as I
+from emberwatch.operators import parsers as P
+from emberwatch.plans.oracle import EV, with_
+from emberwatch.schema import PARSED_NAMES
+from emberwatch.sources.readers import batch_records
+from emberwatch.sources.sample import events, raw_records, warehouse
+
+LINE_US = "CASE WHEN n % 2 = 0 THEN us ELSE us // 1000000 * 1000000 END"
+IS = lambda c, v: f"CASE WHEN {c} THEN {v} END"
+
+
+def _parsed(kind, parse, *columns):
+    def query(s, d):
+        rows = parse(raw_records(s, d, kind))
+        return rows.select("record_no", "parse_status", "parse_detail", F.unix_micros("timestamp").alias("us"), *columns)
+
+    return query
+
+
+def _attr(name):
+    return F.try_element_at("attributes", F.lit(name)).alias(name)
+
+
+def twice(s, d):
+    """Access-log records, one in fifty sent again later; and one oversized per batch."""
+    first = raw_records(s, d, "http_access")
+    again = first.filter("record_no % 50 = 0").withColumns(
+        {"record_no": F.col("record_no") + 1_000_000, "received_at": F.col("received_at") + F.expr("interval 1 minute")}
+    )
+    big = first.filter("record_no % 997 = 0").withColumns(
+        {"record_no": F.col("record_no") + 2_000_000, "raw_data": F.rpad(F.lit("x"), 70000, "y").cast("binary")}
+    )
+    return first.unionByName(again).unionByName(big)
+
+
+def _report(s, d):
+    received = I.reject_oversize(twice(s, d))
+    outcomes = P.parse_http_access(I.drop_duplicates(received.filter("not rejected")))
+    rows = I.batch_report(received, outcomes)
+    return rows.select(
+        "batch_id", "received", "parsed", "skipped", "failed", "duplicate", "rejected",
+        F.coalesce(F.size("issues"), F.lit(0)).alias("issues"), F.unix_micros("first_event_at").alias("first_us"),
+    )
+
+
+def _allowed(s, d):
+    rows = P.parse_app_json(raw_records(s, d, "app_json"))
+    hosts = F.array(*[F.lit(f"srv-{i}") for i in range(20)])
+    listed = rows.withColumn("allowed_hosts", F.when(F.col("source_id") == "1", hosts).otherwise(F.array().cast("array<string>")))
+    return I.enforce_host_allowlist(listed).groupBy("source_id", "parse_status", "parse_detail").agg(F.count("*").alias("n"))
+
+
+def _all_formats(s, d):
+    parts = [raw_records(s, d, k).filter((F.col("record_no") % 5) == i) for i, k in enumerate(P.FORMATS)]
+    return P.parse_records(reduce(DataFrame.unionByName, parts)).groupBy("source_type", "parse_status", "parse_detail").agg(F.count("*").alias("n"))
+
+
+def _helpers(s, d):
+    c = F.col
+    named = warehouse(s, d, "customer").select(
+        F.concat(F.lit("CORP\\"), "c_name").alias("a"), F.concat("c_name", F.lit("@"), "c_mktsegment").alias("b"),
+        F.when(c("c_custkey") % 5 == 0, F.lit(" N/A ")).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("e"),
+        (c("c_custkey") * 100).cast("string").alias("p"), F.concat(F.lit("C:\\dir\\"), "c_name", F.lit(".EXE")).alias("path"),
+        F.concat(F.lit("2024-01-01T00:00:"), F.lpad((c("c_custkey") % 60).cast("string"), 2, "0"), F.lit(".1234567Z")).alias("t"),
+    )
+    return named.select(
+        X.split_user(c("a"))[0].alias("user_a"), X.split_user(c("b"))[1].alias("domain_b"), X.clean(c("e"), 12).alias("cleaned"),
+        X.optional_port(c("p")).alias("port"), X.basename(c("path")).alias("base"), F.unix_micros(X.iso_timestamp(c("t"))).alias("t_us"),
+    )
+
+
+def _validated(s, d):
+    """Event columns with capital hosts, unknown actions and too long messages."""
+    rows = events(s, d).withColumns({
+        "host": F.concat(F.upper("host"), F.lit(".")),
+        "event_action": F.when(F.col("id").cast("bigint") % 11 == 0, F.lit("login")).otherwise(F.col("event_action")),
+        "message": F.when(F.col("id").cast("bigint") % 13 == 0, F.repeat(F.lit("m"), 1025)).otherwise(F.col("message")),
+        "parse_status": F.lit("PARSED"), "parse_detail": F.lit(None).cast("string"),
+    })
+    done = P.validate_events(rows.select("id", *PARSED_NAMES, "parse_status", "parse_detail"))
+    return done.groupBy("host", "parse_status", "parse_detail").agg(F.count("*").alias("n"))
+
+
+KNOWN = "category IN ('authentication', 'iam', 'privilege')"
+QUERIES: dict[str, tuple] = {
+    "ing_fingerprint": (
+        lambda s, d: raw_records(s, d, "http_access").select("record_no", I.fingerprint().alias("fingerprint")),
+        with_(EV, body="""SELECT n AS record_no, sha256((n % 4)::VARCHAR || chr(31) || source_ip || ' - ' || username || ' [' || strftime(ts, '%d/%b/%Y:%H:%M:%S')
+  || ' +0000] "GET /p/' || (n % 60000) || '?q=' || host || ' HTTP/1.1" ' || CASE outcome WHEN 'success' THEN 200 ELSE 403 END || ' ' || (n % 60000) || ' "-" "agent"') AS fingerprint FROM ev"""),
+    ),
+    "ing_oversize": (
+        lambda s, d: I.reject_oversize(twice(s, d)).groupBy("batch_id", "rejected").agg(F.count("*").alias("n")),
+        with_(EV, body="""SELECT batch_id, FALSE AS rejected, count(*) + count(*) FILTER (WHERE n % 50 = 0) AS n FROM ev GROUP BY 1
+UNION ALL SELECT batch_id, TRUE, count(*) FROM ev WHERE n % 997 = 0 GROUP BY 1"""),
+    ),
+    "ing_duplicates": (
+        lambda s, d: I.drop_duplicates(
+            twice(s, d).filter("record_no < 2000000"),
+            raw_records(s, d, "http_access").filter("source_id = '3'").select(I.fingerprint().alias("fingerprint")),
+        ).groupBy("batch_id").agg(F.count("*").alias("n"), F.max("record_no").alias("last_no")),
+        with_(EV, body="SELECT batch_id, count(*) AS n, max(n) AS last_no FROM ev WHERE n % 4 <> 3 GROUP BY 1"),
+    ),
+    "ing_parse_linux_auth": (
+        _parsed("linux_auth", P.parse_linux_auth, "event_category", "event_action", "event_outcome", "host", "username", "target_username",
+                "source_ip", "source_port", "command_line", "service", "session_id", _attr("invalid_user"), _attr("group_name"), _attr("failure_reason"), _attr("uid"), _attr("tty")),
+        with_(EV, body=f"""SELECT n AS record_no,
+  CASE WHEN {KNOWN} THEN 'PARSED' WHEN category = 'process' THEN 'SKIPPED' ELSE 'FAILED' END AS parse_status,
+  CASE WHEN {KNOWN} THEN NULL WHEN category = 'process' THEN 'not_security_relevant' ELSE 'unrecognized_format' END AS parse_detail,
+  {IS(KNOWN, LINE_US)} AS us, {IS(KNOWN, 'category')} AS event_category, {IS(KNOWN, 'action')} AS event_action, {IS(KNOWN, 'outcome')} AS event_outcome,
+  {IS(KNOWN, 'host')} AS host, {IS("category IN ('authentication', 'privilege')", 'username')} AS username, {IS(KNOWN, 'target_username')} AS target_username,
+  {IS("category = 'authentication'", 'source_ip')} AS source_ip, {IS("category = 'authentication'", '(n % 60000)::INT')} AS source_port,
+  {IS("category = 'privilege'", 'command_line')} AS command_line,
+  CASE WHEN category = 'authentication' THEN 'sshd' WHEN category = 'privilege' THEN 'sudo' WHEN action = 'user_created' THEN 'useradd' WHEN category = 'iam' THEN 'usermod' END AS service,
+  CASE WHEN category = 'authentication' THEN (n % 60000)::VARCHAR WHEN category = 'iam' THEN '7' END AS session_id,
+  invalid_user::VARCHAR AS invalid_user, group_name, failure_reason, {IS("action = 'user_created'", '(n % 60000)::VARCHAR')} AS uid, {IS("category = 'privilege'", "'pts/1'")} AS tty FROM ev"""),
+    ),
+    "ing_syslog_timestamp": (
+        lambda s, d: events(s, d).select(
+            "id",
+            F.unix_micros(P.syslog_timestamp(
+                F.element_at(F.array(*[F.lit(m) for m in P.MONTHS]), F.month("timestamp")), F.dayofmonth("timestamp").cast("string"),
+                F.date_format("timestamp", "HH:mm:ss"), F.col("timestamp") - F.expr("interval 10 days"), F.lit("UTC"),
+            )[0]).alias("us"),
+        ),
+        # Received ten days "before" it was written: that is more than a day ahead, so a year earlier.
+        with_(EV, body="""SELECT id, CASE WHEN year(ts - INTERVAL 10 DAY) < year(ts) THEN epoch_us(date_trunc('second', ts) - INTERVAL 2 YEAR)
+  ELSE epoch_us(date_trunc('second', ts) - INTERVAL 1 YEAR) END AS us FROM ev""".replace("- INTERVAL 2 YEAR", "- INTERVAL 1 YEAR")),
+    ),
+    "ing_parse_windows_security": (
+        _parsed("windows_security", P.parse_windows_security, "event_category", "event_outcome", "host", "username", "user_domain", "target_username",
+                "source_ip", "process_name", "command_line", "message", _attr("event_id"), _attr("record_id"), _attr("logon_type_name")),
+        with_(EV, body="""SELECT n AS record_no, CASE WHEN e = 9999 THEN 'SKIPPED' ELSE 'PARSED' END AS parse_status, CASE WHEN e = 9999 THEN 'unsupported_event_id' END AS parse_detail,
+  CASE WHEN e < 9999 THEN us END AS us, CASE WHEN e < 9999 THEN category END AS event_category, CASE WHEN e < 9999 THEN outcome END AS event_outcome,
+  CASE WHEN e < 9999 THEN host END AS host, CASE WHEN e < 4630 THEN username WHEN e < 9999 THEN 'adm' END AS username, CASE WHEN e < 4630 THEN 'corp' END AS user_domain,
+  CASE WHEN e = 4720 THEN username END AS target_username, CASE WHEN e < 4630 THEN source_ip END AS source_ip,
+  CASE WHEN e = 4688 THEN process_name END AS process_name, CASE WHEN e = 4688 THEN command_line END AS command_line,
+  CASE e WHEN 4624 THEN 'Successful logon (type 3)' WHEN 4625 THEN 'Failed logon (type 3)' END AS message,
+  CASE WHEN e < 9999 THEN e::VARCHAR END AS event_id, CASE WHEN e < 9999 THEN n::VARCHAR END AS record_id, CASE WHEN e < 4630 THEN 'network' END AS logon_type_name
+FROM (SELECT *, CASE WHEN category = 'authentication' THEN CASE outcome WHEN 'success' THEN 4624 ELSE 4625 END WHEN category = 'process' THEN 4688
+  WHEN action = 'user_created' THEN 4720 ELSE 9999 END AS e FROM ev)"""),
+    ),
+    "ing_parse_http_access": (
+        _parsed("http_access", P.parse_http_access, "event_outcome", "host", "username", "source_ip", "message", _attr("http_status"), _attr("url_path"), _attr("url_query"), _attr("response_bytes"), _attr("user_agent"), _attr("referrer")),
+        with_(EV, body="""SELECT n AS record_no, 'PARSED' AS parse_status, NULL::VARCHAR AS parse_detail, us // 1000000 * 1000000 AS us, outcome AS event_outcome, 'app-01' AS host, username, source_ip,
+  'GET /p/' || (n % 60000) || ' ' || CASE outcome WHEN 'success' THEN 200 ELSE 403 END AS message, CASE outcome WHEN 'success' THEN '200' ELSE '403' END AS http_status,
+  '/p/' || (n % 60000) AS url_path, 'q=' || host AS url_query, (n % 60000)::VARCHAR AS response_bytes, 'agent' AS user_agent, NULL::VARCHAR AS referrer FROM ev"""),
+    ),
+    "ing_parse_app_json": (
+        _parsed("app_json", P.parse_app_json, "event_category", "event_action", "event_outcome", "host", "username", "user_domain", "target_username", "source_ip", "service"),
+        with_(EV, body="""SELECT n AS record_no, CASE WHEN ok THEN 'PARSED' ELSE 'FAILED' END AS parse_status, CASE WHEN NOT ok THEN 'unknown_event_type' END AS parse_detail,
+  CASE WHEN ok THEN us END AS us, CASE WHEN ok THEN category END AS event_category, CASE WHEN category = 'authentication' THEN 'logon' WHEN ok THEN 'user_created' END AS event_action,
+  CASE WHEN ok THEN outcome END AS event_outcome, CASE WHEN ok THEN host END AS host, CASE WHEN ok THEN username END AS username, CASE WHEN ok THEN 'corp.example' END AS user_domain,
+  CASE WHEN ok THEN target_username END AS target_username, CASE WHEN ok THEN source_ip END AS source_ip, CASE WHEN ok THEN 'app' END AS service
+FROM (SELECT *, category IN ('authentication', 'iam') AS ok FROM ev)"""),
+    ),
+    "ing_parse_generic_json": (
+        _parsed("generic_json", P.parse_generic_json, "event_category", "event_action", "event_outcome", "host", "username", "source_ip", "destination_ip", "destination_port"),
+        with_(EV, body="""SELECT n AS record_no, CASE WHEN ok THEN 'PARSED' ELSE 'FAILED' END AS parse_status, CASE WHEN NOT ok THEN 'invalid_event' END AS parse_detail, CASE WHEN ok THEN us END AS us,
+  CASE WHEN ok THEN category END AS event_category, CASE WHEN ok THEN action END AS event_action, CASE WHEN ok THEN outcome END AS event_outcome, CASE WHEN ok THEN host END AS host,
+  CASE WHEN ok THEN username END AS username, CASE WHEN ok THEN source_ip END AS source_ip, CASE WHEN ok THEN destination_ip END AS destination_ip, CASE WHEN ok THEN destination_port END AS destination_port
+FROM (SELECT *, n % 100 > 0 AS ok FROM ev)"""),
+    ),
+    "ing_parse_records": (
+        _all_formats,
+        with_(EV, body=f"""SELECT source_type, parse_status, parse_detail, count(*) AS n FROM (
+  SELECT 'linux_auth' AS source_type, CASE WHEN {KNOWN} THEN 'PARSED' WHEN category = 'process' THEN 'SKIPPED' ELSE 'FAILED' END AS parse_status,
+    CASE WHEN {KNOWN} THEN NULL WHEN category = 'process' THEN 'not_security_relevant' ELSE 'unrecognized_format' END AS parse_detail FROM ev WHERE n % 5 = 0
+  UNION ALL SELECT 'windows_security', CASE WHEN w THEN 'PARSED' ELSE 'SKIPPED' END, CASE WHEN NOT w THEN 'unsupported_event_id' END
+    FROM (SELECT n, category IN ('authentication', 'process') OR action = 'user_created' AS w FROM ev) WHERE n % 5 = 1
+  UNION ALL SELECT 'http_access', 'PARSED', NULL FROM ev WHERE n % 5 = 2
+  UNION ALL SELECT 'app_json', CASE WHEN a THEN 'PARSED' ELSE 'FAILED' END, CASE WHEN NOT a THEN 'unknown_event_type' END
+    FROM (SELECT n, category IN ('authentication', 'iam') AS a FROM ev) WHERE n % 5 = 3
+  UNION ALL SELECT 'generic_json', CASE WHEN n % 100 > 0 THEN 'PARSED' ELSE 'FAILED' END, CASE WHEN n % 100 = 0 THEN 'invalid_event' END FROM ev WHERE n % 5 = 4) GROUP BY ALL"""),
+    ),
+    "ing_helpers": (
+        _helpers,
+        """SELECT c_name AS user_a, c_mktsegment AS domain_b, CASE WHEN c_custkey % 5 > 0 THEN c_name[1:12] END AS cleaned,
+  CASE WHEN c_custkey * 100 <= 65535 THEN (c_custkey * 100)::INT END AS port, c_name || '.EXE' AS base,
+  1704067200123456 + (c_custkey % 60) * 1000000 AS t_us FROM customer""",
+    ),
+    "ing_validate": (
+        _validated,
+        with_(EV, body="""SELECT CASE WHEN ok THEN host END AS host, CASE WHEN ok THEN 'PARSED' ELSE 'FAILED' END AS parse_status, CASE WHEN NOT ok THEN 'invalid_field' END AS parse_detail, count(*) AS n
+FROM (SELECT *, n % 11 > 0 AND n % 13 > 0 AS ok FROM ev) GROUP BY ALL"""),
+    ),
+    "ing_host_allowlist": (
+        _allowed,
+        with_(EV, body="""SELECT source_id, parse_status, parse_detail, count(*) AS n FROM (
+  SELECT (n % 4)::VARCHAR AS source_id, CASE WHEN NOT ok OR refused THEN 'FAILED' ELSE 'PARSED' END AS parse_status, CASE WHEN NOT ok THEN 'unknown_event_type' WHEN refused THEN 'host_not_allowed' END AS parse_detail
+  FROM (SELECT *, category IN ('authentication', 'iam') AS ok, n % 4 = 1 AND split_part(host, '-', 2)::INT >= 20 AS refused FROM ev)) GROUP BY ALL"""),
+    ),
+    "ing_batch_report": (
+        _report,
+        with_(EV, body="""SELECT batch_id, count(*) + count(*) FILTER (WHERE n % 50 = 0) + count(*) FILTER (WHERE n % 997 = 0) AS received, count(*) AS parsed, 0::BIGINT AS skipped, 0::BIGINT AS failed,
+  count(*) FILTER (WHERE n % 50 = 0) AS duplicate, count(*) FILTER (WHERE n % 997 = 0) AS rejected, least(50, count(*) FILTER (WHERE n % 997 = 0))::INT AS issues, min(us) // 1000000 * 1000000 AS first_us FROM ev GROUP BY 1"""),
+    ),
+    "src_batch_records": (
+        lambda s, d: batch_records(P.parse_app_json(raw_records(s, d, "app_json")), "b-2024-01-09", "FAILED").select("record_no", "parse_detail"),
+        with_(EV, body="SELECT n AS record_no, 'unknown_event_type' AS parse_detail FROM ev WHERE batch_id = 'b-2024-01-09' AND category NOT IN ('authentication', 'iam')"),
+    ),
+}

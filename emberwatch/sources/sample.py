@@ -145,3 +145,64 @@ def identities(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.concat(F.lit("tag"), (c % 3).cast("string"))).alias("tags"),
         F.when(c % 9 == 0, F.lit("DISABLED")).otherwise(F.lit("ACTIVE")).alias("status"),
     )
+
+
+def raw_records(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The sample events written as raw records of one format, to be parsed back."""
+    c = F.col
+    ev = events(spark, folder).withColumn("n", c("id").cast("bigint"))
+    zone = F.when(c("n") % 3 == 0, F.lit("Asia/Kolkata")).otherwise(F.lit("UTC"))
+    wall = F.from_utc_timestamp("timestamp", zone)
+    iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    day = F.lpad(F.dayofmonth(wall).cast("string"), 2, " ")
+    syslog = F.concat(F.date_format(wall, "MMM"), F.lit(" "), day, F.lit(" "), F.date_format(wall, "HH:mm:ss"))
+    stamp = F.when(c("n") % 2 == 0, iso).otherwise(syslog)
+    port = (c("n") % 60000).cast("string")
+    cat, good = c("event_category"), c("event_outcome") == "success"
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    if kind == "linux_auth":
+        message = (
+            F.when(
+                cat == "authentication",
+                say("sshd[", port, "]: ", F.when(good, F.lit("Accepted")).otherwise(F.lit("Failed")), " password for ",
+                    F.when(c("attributes")["invalid_user"] == "true", F.lit("invalid user ")).otherwise(F.lit("")),
+                    c("username"), " from ", c("source_ip"), " port ", port, " ssh2"),
+            )
+            .when(
+                cat == "privilege",
+                say("sudo: ", c("username"), " : ", F.when(good, F.lit("")).otherwise(F.lit("user NOT in sudoers ; ")),
+                    "TTY=pts/1 ; PWD=/home ; USER=root ; COMMAND=", c("command_line")),
+            )
+            .when(c("event_action") == "user_created", say("useradd[7]: new user: name=", c("target_username"), ", UID=", port, ", shell=/bin/bash"))
+            .when(cat == "iam", say("usermod[7]: add '", c("target_username"), "' to group '", c("attributes")["group_name"], "'"))
+            .when(cat == "process", say("CRON[9]: ", c("command_line")))
+            .otherwise(say("no colon after the program"))
+        )
+        data = say(stamp, " ", c("host"), " ", message)
+    elif kind == "http_access":
+        when = F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss")
+        data = say(c("source_ip"), " - ", c("username"), " [", when, " +0000] \"GET /p/", port, "?q=", c("host"), " HTTP/1.1\" ",
+                   F.when(good, F.lit("200")).otherwise(F.lit("403")), " ", port, " \"-\" \"agent\"")
+    elif kind == "app_json":
+        name = F.when(cat == "authentication", F.when(good, F.lit("login_success")).otherwise(F.lit("login_failure"))).when(
+            cat == "iam", F.lit("user_created")).otherwise(F.lit("unheard_of"))
+        data = F.to_json(F.struct(iso.alias("ts"), name.alias("event"), say(c("username"), "@corp.example").alias("user"),
+                                  c("source_ip").alias("ip"), c("host"), c("target_username").alias("target_user")))
+    elif kind == "windows_security":
+        number = F.when(cat == "authentication", F.when(good, F.lit(4624)).otherwise(F.lit(4625))).when(
+            cat == "process", F.lit(4688)).when(c("event_action") == "user_created", F.lit(4720)).otherwise(F.lit(9999))
+        inner = F.struct(
+            F.upper("username").alias("TargetUserName"), F.lit("CORP").alias("TargetDomainName"), F.lit(3).alias("LogonType"),
+            c("source_ip").alias("IpAddress"), port.alias("IpPort"), say("C:\\\\bin\\\\", c("process_name")).alias("NewProcessName"),
+            c("command_line").alias("CommandLine"), F.lit("adm").alias("SubjectUserName"),
+        )
+        data = F.to_json(F.struct(number.alias("EventID"), iso.alias("TimeCreated"), F.upper("host").alias("Computer"),
+                                  c("n").alias("EventRecordID"), inner.alias("EventData")))
+    else:
+        fields = ["event_category", "event_action", "event_outcome", "host", "username", "source_ip", "destination_ip", "destination_port"]
+        data = F.to_json(F.struct(iso.alias("timestamp"), *fields, F.when(c("n") % 100 == 0, F.lit(1)).alias("surprise")))
+    return ev.select(
+        c("n").alias("record_no"), data.cast("binary").alias("raw_data"), "source_id", F.lit(kind).alias("source_type"),
+        "batch_id", (c("timestamp") + F.expr("interval 1 hour")).alias("received_at"), zone.alias("timezone"),
+        F.lit("app-01").alias("default_host"),
+    )
