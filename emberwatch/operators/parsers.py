@@ -152,7 +152,13 @@ def _finish(df: DataFrame, names: list[str], source_type: str, failed: Column, s
     )
     done = df.withColumns({"parse_status": status, "parse_detail": detail, "source_type": F.lit(source_type)})
     extra = [c for c in PARSED_NAMES if c not in names]
-    return done.select(*names, *extra, "parse_status", "parse_detail")
+    return settled(done, names, [*extra, "parse_status", "parse_detail"])
+
+
+def settled(df: DataFrame, kept: list[str], computed: list[str]) -> DataFrame:
+    """The computed columns as the output of a one-row generator. A filter on them (a status, a
+    category) then stays above instead of being rewritten into a copy of the whole parser."""
+    return df.select(*kept, F.inline(F.array(F.struct(*computed))))
 
 
 # ---------- linux_auth ----------
@@ -637,7 +643,9 @@ def validate_events(df: DataFrame) -> DataFrame:
     )
     parsed = F.col("parse_status") == "PARSED"
     final = {n: F.when(parsed, clean.get(n, F.col(n))) for n in PARSED_NAMES if n != "source_type"}
-    return rows.withColumns(final).drop("_invalid")
+    computed = [n for n in [*PARSED_NAMES, "parse_status", "parse_detail"] if n != "source_type"]
+    kept = [n for n in df.columns if n not in computed]
+    return settled(rows.withColumns(final), kept, computed)
 
 
 FORMATS = {
