@@ -29,6 +29,11 @@ def warehouse(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
+    return project_events(warehouse(spark, folder, "events"))
+
+
+def project_events(rows: DataFrame) -> DataFrame:
+    """The event columns out of the sample's own ones, for tables and streams alike."""
     k, u, n = F.col("k"), F.col("user_id"), F.col("event_id")
     kind = F.col("event_type")
     login = kind.isin("error", "click")
@@ -51,8 +56,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     pairs = [x for name, value in attributes.items() for x in (F.lit(name), value)]
     text = lambda c: F.lit(None).cast("string") if c is None else c
     return (
-        warehouse(spark, folder, "events")
-        .withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+        rows.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
         .withColumn("source", source)
         .select(
             digits.alias("id"),
