@@ -11,7 +11,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLACEHOLDERS = ["", "-", "--", "n/a", "null", "none"]
 
 # White space as Unicode sees it (trim() alone only removes the space character).
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+_SPACE += "\u2028\u2029\u202f\u205f\u3000"
 
 
 def fold(c: Column | str) -> Column:
@@ -28,7 +29,7 @@ def fold_text(value: object) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -75,21 +76,15 @@ def optional_int(c: Column) -> Column:
 
 def iso_timestamp(c: Column) -> Column:
     """ISO 8601 with a zone; digits beyond microseconds are cut; anything else is null."""
-    pattern = (
-        r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}(?::\d{2})?)(?:\.(\d*))?"
-        r"([Zz]|[+-]\d{2}(?::?\d{2})?)$"
-    )
     text = clean(c)
-    clock = F.regexp_extract(text, pattern, 2)
-    clock = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
-    fraction = F.rpad(F.substring(F.regexp_extract(text, pattern, 3), 1, 6), 6, "0")
-    zone = F.regexp_replace(F.regexp_extract(text, pattern, 4), "^[Zz]$", "+00:00")
-    zone = F.regexp_replace(zone, r"^([+-]\d{2})$", "$1:00")
-    zone = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    joined = F.concat(F.regexp_extract(text, pattern, 1), F.lit("T"), clock, F.lit("."), fraction, zone)
-    return F.when(
-        text.rlike(pattern), F.try_to_timestamp(joined, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
-    )
+    moment = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d*)?)?"
+    usual = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d*)?(?:Z|[+-]\d{2}:\d{2})$")
+    # Seldom: no seconds, a zone without a colon or minutes, or small letters.
+    upper = F.upper(text)
+    full = F.regexp_replace(upper, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    colon = F.regexp_replace(F.regexp_replace(full, r"([+-]\d{2})$", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    seldom = upper.rlike(moment + r"(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    return F.when(usual, text.try_cast("timestamp")).when(seldom, colon.try_cast("timestamp"))
 
 
 def stamp_text(us: Column) -> Column:

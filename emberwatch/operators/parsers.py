@@ -114,15 +114,19 @@ def attributes(**values: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-def first_of(*cases: tuple[Column, dict[str, Column]]) -> dict[str, Column]:
-    """For every event column, the value of the first case that applies."""
+def with_first_of(df: DataFrame, *cases: tuple[Column, dict[str, Column]]) -> DataFrame:
+    """Adds `_case`, the number of the first case that applies, and every event column from it."""
+    number = F.lit(None).cast("int")
+    for i, (test, _) in reversed(list(enumerate(cases))):
+        number = F.when(test, F.lit(i)).otherwise(number)
     out = {}
     for name, kind in PARSED:
         value = F.lit(None).cast(kind)
-        for test, fields in reversed(cases):
-            value = F.when(test, fields.get(name, F.lit(None)).cast(kind)).otherwise(value)
+        for i, (_, fields) in enumerate(cases):
+            if name in fields:
+                value = F.when(F.col("_case") == i, fields[name].cast(kind)).otherwise(value)
         out[name] = value
-    return out
+    return df.withColumn("_case", number).withColumns(out)
 
 
 def _lit(**values: str) -> dict[str, Column]:
@@ -253,7 +257,8 @@ def _linux_auth(df: DataFrame) -> DataFrame:
     iam = lambda action, **more: {
         **common, **_lit(event_category="iam", event_action=action, event_outcome="success"), **more,
     }
-    fields = first_of(
+    rows = with_first_of(
+        rows,
         (
             auth,
             {
@@ -324,9 +329,8 @@ def _linux_auth(df: DataFrame) -> DataFrame:
         (pw, iam("password_changed", target_username=part("_pw", 1))),
     )
     noise = reduce(lambda a, b: a | b, [msg.startswith(n) for n in SSH_NOISE])
-    known = auth | closed | sudo_ok | su | new_ok | add | gp | gone | pw
     skipped = F.when(
-        ~F.coalesce(known, F.lit(False)),
+        F.col("_case").isNull(),
         F.when(p == "sshd", F.when(noise, F.lit("sshd_informational")).otherwise(F.lit("unmodelled_message")))
         .when(p == "sudo", F.when(msg.startswith("pam_unix(sudo:"), F.lit("sudo_session")).otherwise(F.lit("unmodelled_message")))
         .when(p == "su", F.when(msg.startswith("pam_unix(su"), F.lit("su_session")).otherwise(F.lit("unmodelled_message")))
@@ -334,7 +338,7 @@ def _linux_auth(df: DataFrame) -> DataFrame:
         .otherwise(F.lit("not_security_relevant")),
     )
     failed = F.when(F.col("_h").isNull(), F.lit("unrecognized_format")).otherwise(F.col("_time_code"))
-    return _finish(rows.withColumns({**fields}), names, "linux_auth", failed, skipped)
+    return _finish(rows, names, "linux_auth", failed, skipped)
 
 
 def _last_per_key(items: Column) -> Column:
@@ -403,7 +407,8 @@ def _windows_security(df: DataFrame) -> DataFrame:
     failed_logon = e == 4625
     names_of_types = F.create_map(*[x for k, v in LOGON_TYPES.items() for x in (F.lit(k).cast("bigint"), F.lit(v))])
     shown_type = F.coalesce(logon_type.cast("string"), F.lit("None"))
-    fields = first_of(
+    rows = with_first_of(
+        rows,
         (
             e.isin(4624, 4625),
             event(
@@ -464,7 +469,7 @@ def _windows_security(df: DataFrame) -> DataFrame:
         .when(F.col("_time").isNull(), F.lit("invalid_timestamp")),
     )
     skipped = F.when(~e.isin(4624, 4625, 4634, 4672, 4688, 4720, 4732), F.lit("unsupported_event_id"))
-    return _finish(rows.withColumns(fields), names, "windows_security", failed, skipped)
+    return _finish(rows, names, "windows_security", failed, skipped)
 
 
 def _app_json(df: DataFrame) -> DataFrame:
@@ -476,7 +481,8 @@ def _app_json(df: DataFrame) -> DataFrame:
     )
     kind = F.try_element_at(mapping, name)
     user, domain = X.split_user(_get("user"))
-    fields = first_of(
+    rows = with_first_of(
+        rows,
         (
             kind.isNotNull(),
             {
@@ -504,7 +510,7 @@ def _app_json(df: DataFrame) -> DataFrame:
         .when(~name.isin(list(APP_EVENTS)), F.lit("unknown_event_type"))
         .when(F.col("_time").isNull(), F.lit("invalid_timestamp")),
     )
-    return _finish(rows.withColumns(fields), names, "app_json", failed, F.lit(None).cast("string"))
+    return _finish(rows, names, "app_json", failed, F.lit(None).cast("string"))
 
 
 def _generic_json(df: DataFrame) -> DataFrame:
@@ -564,7 +570,8 @@ def _http_access(df: DataFrame) -> DataFrame:
     query = F.regexp_extract(target, r"(?s)^[^?]*\?(.*)$", 1)
     good = F.col("_r").isNotNull()
     request = F.get("_l", F.lit(4))
-    fields = first_of(
+    rows = with_first_of(
+        rows,
         (
             F.col("_l").isNotNull(),
             {
@@ -593,7 +600,6 @@ def _http_access(df: DataFrame) -> DataFrame:
         )
     )
     failed = F.when(F.col("_l").isNull(), F.lit("unrecognized_format"))
-    rows = rows.withColumns(fields)
     failed = F.coalesce(failed, F.when(F.col("timestamp").isNull(), F.lit("invalid_timestamp")))
     return _finish(rows, names, "http_access", failed, F.lit(None).cast("string"))
 
