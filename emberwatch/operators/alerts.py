@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.lineage import cut
 from emberwatch.operators.enrich import match_assets
 from emberwatch.operators.priority import alert_priority, band
 from emberwatch.plans.rules import ATTACK_VERSION, TECHNIQUES, mappings
@@ -107,7 +108,8 @@ def apply_detections(
     the latest closed. Detections of one key fold in time order; every step is a join or an
     aggregation by key with rank limits, so a key with very many detections stays spread."""
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
-    det = alert_entities(attach_techniques(with_keys(detections), rules))
+    # Detections are read four times below, and each snapshot is the input of the next one.
+    det = cut(alert_entities(attach_techniques(with_keys(detections), rules)))
     cited = det.select(
         "dedup_key", "match_id", "first_us", F.posexplode("evidence_ids").alias("pos", "event_id")
     )
@@ -117,7 +119,7 @@ def apply_detections(
         ).select("dedup_key", "event_id")
         cited = cited.join(known, ["dedup_key", "event_id"], "left_anti")
     owner = F.struct("first_us", "match_id", "pos")
-    new = cited.groupBy("dedup_key", "event_id").agg(F.min(owner).alias("o"))
+    new = cut(cited.groupBy("dedup_key", "event_id").agg(F.min(owner).alias("o")))
     fresh = new.groupBy("dedup_key", F.col("o.match_id").alias("match_id")).agg(
         F.count("*").alias("new_evidence")
     )
@@ -176,10 +178,12 @@ def apply_detections(
             F.when(F.col("alert_id").isNull(), F.col("closed_id")).otherwise(F.col("previous_alert_id")),
         ).drop("closed_id")
     opened = F.concat_ws("-", "dedup_key", F.col("opened_us").cast("string"))
-    targets = joined.withColumn("id", F.coalesce("alert_id", opened))
-    added = link_evidence(
-        new.select("dedup_key", "event_id", F.col("o").alias("order")),
-        targets.select("dedup_key", "id", F.coalesce("linked", F.lit(0)).alias("linked")),
+    targets = cut(joined.withColumn("id", F.coalesce("alert_id", opened)))
+    added = cut(
+        link_evidence(
+            new.select("dedup_key", "event_id", F.col("o").alias("order")),
+            targets.select("dedup_key", "id", F.coalesce("linked", F.lit(0)).alias("linked")),
+        )
     )
     spans = added.groupBy("dedup_key").agg(
         F.count_if("kept").alias("added"), F.bool_or(~F.col("kept")).alias("over")
@@ -205,7 +209,7 @@ def apply_detections(
         rest = alerts.join(touched.select("id"), "id", "left_anti").select(*names)
         touched = touched.unionByName(rest)
         out_links = links.select("alert_id", "event_id").unionByName(out_links)
-    return touched, out_links
+    return cut(touched), out_links
 
 
 def link_evidence(new: DataFrame, targets: DataFrame, cap: int = MAX_EVIDENCE) -> DataFrame:
