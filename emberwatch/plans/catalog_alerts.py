@@ -60,11 +60,11 @@ def top_alert(s, d) -> str:
     return A.alert_queue(store.alerts(s, d), limit=1).first()["id"]
 
 
-EARLY = "(SELECT id FROM al ORDER BY first_us, id LIMIT 1 OFFSET 50)"
+EARLY = "(SELECT id FROM al ORDER BY first_us, id LIMIT 1 OFFSET 20)"
 
 
 def early_alert(s, d) -> str:
-    return store.alerts(s, d).orderBy("first_us", "id").offset(50).limit(1).first()["id"]
+    return store.alerts(s, d).orderBy("first_us", "id").offset(20).limit(1).first()["id"]
 
 
 def _sql(body: str, *ctes: str) -> str:

@@ -17,8 +17,8 @@ def as_stream(spark, folder, df, parts=4, outcome="failure"):
     rows = sorted(df.collect(), key=lambda r: r["timestamp"])
     size = len(rows) // parts + 1
     chunks = [rows[i : i + size] for i in range(0, len(rows), size)]
-    chunks.append([event(999999, 9_000_000, username="sentinel", event_outcome=outcome)])
-    chunks.append([event(999998, 9_900_000, username="sentinel", event_outcome=outcome)])
+    chunks.append([event(999999, 9_000_000, username="marker", event_outcome=outcome)])
+    chunks.append([event(999998, 9_900_000, username="marker", event_outcome=outcome)])
     for chunk in chunks:
         spark.createDataFrame(chunk, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
     files = sorted(folder.glob("*.parquet"), key=lambda p: p.stat().st_mtime)
@@ -32,7 +32,7 @@ def drained(stream, name, tmp_path):
         .option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
     )
     query.awaitTermination(240)
-    return stream.sparkSession.table(name).filter("_k0 != 'sentinel'").collect()
+    return stream.sparkSession.table(name).filter("_k0 != 'marker'").collect()
 
 
 def evidence(df):
