@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import line_dedup, packing, quality, sql, url_templates
+from emberwatch.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sql, url_templates
 from emberwatch.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judge_urls(pages, labelled)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     done = line_dedup.dedup_lines(docs, "doc_id").withColumnRenamed("_c0", "doc_id")
@@ -31,10 +36,16 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY),
     "op2_url_filters": (op2_url_filters, sql.URLS),
+    "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_line_dedup": (op4_line_dedup, sql.LINES),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, sql.JACCARD),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
 

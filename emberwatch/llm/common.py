@@ -36,3 +36,45 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast only if a count shows that it has few rows (of some numbers each);
+    otherwise left to a shuffled join. df must be cheap to count: a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """node, root: for each node of the edges (a, b; longs) the smallest node that it reaches.
+
+    Rounds of large and small stars until nothing changes: every edge is moved to the smallest
+    neighbour of one of its ends. No node's neighbours are gathered, only their minimum is."""
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return staged(df.where("a <> b").distinct(), folder, name)
+
+    def mark(df: DataFrame) -> tuple:
+        sums = df.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) AS decimal(38, 0))")))
+        return tuple(sums.first())
+
+    low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
+    now = kept(edges.select(high, low), "edges")
+    before, turn = mark(now), 0
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = kept(large, f"large{turn}")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = kept(small.unionByName(least.select("a", F.col("m").alias("b"))), f"small{turn}")
+        after = mark(now)
+        if after == before:
+            break
+        before, turn = after, turn + 1
+    roots = now.select(F.col("b").alias("node")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        roots.select("node", F.col("node").alias("root"))
+    )

@@ -72,3 +72,32 @@ FROM marked GROUP BY r, doc_id
 """
 
 URLS = None
+
+JACCARD = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '{_CLASS}+'),
+        lambda w: w <> '') AS ws
+    FROM documents
+), words AS (
+    SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM split
+), runs AS (
+    SELECT doc_id, i, n, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sets AS MATERIALIZED (
+    SELECT DISTINCT doc_id, w || ' ' || coalesce(w1, '') || ' ' || coalesce(w2, '') || ' ' || coalesce(w3, '') AS s
+    FROM runs WHERE w3 IS NOT NULL OR (n < 4 AND i = 1)
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inside
+        FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 100 * inside >= 85 * (p.n + q.n - inside)
+), reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.root, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes z USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a) m USING (doc_id)
+"""

@@ -114,11 +114,12 @@ def templates(urls: DataFrame, labelled: DataFrame, settings: Settings = Setting
     for k in reversed(range(settings.depth)):  # upwards: branches that look alike
         place = ["_host", *[m for m in mine if m != f"_t{k}"], "_rest"]
         branch = _totals(seen, ["_host", *mine, "_rest"])
-        pool = branch.groupBy(*place).agg(F.sum("labels").alias("_pl"), F.sum("good").alias("_pg"))
+        sums = [F.sum("labels").alias("_pl"), F.sum("good").alias("_pg"), F.count("*").alias("_branches")]
+        pool = branch.groupBy(*place).agg(*sums)
         share = F.try_divide("_pg", "_pl")
         gap = F.abs(F.try_divide("good", "labels") - share)
         error = F.sqrt(F.try_divide(share * (1 - share), F.col("labels")))
-        alike = F.coalesce((F.col("_pl") > 0) & ((F.col("labels") == 0) | (gap <= settings.z * error)), F.lit(False))
+        alike = F.coalesce((F.col("_branches") > 1) & (F.col("_pl") > 0) & ((F.col("labels") == 0) | (gap <= settings.z * error)), F.lit(False))
         alike = branch.join(pool, place).select("_host", *mine, "_rest", alike.alias("_alike"))
         seen = seen.join(alike, ["_host", *mine, "_rest"])
         merged = F.when(F.col("_alike"), F.lit("*")).otherwise(F.col(f"_t{k}"))
