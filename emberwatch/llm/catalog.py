@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sql, url_templates
+from emberwatch.llm import decontaminate, jaccard_join, language, line_dedup, packing, quality, sql, url_templates, warc
 from emberwatch.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_line_dedup": (op4_line_dedup, sql.LINES),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, sql.JACCARD),
+    "op6_warc": (op6_warc, None),
+    "op7_language_id": (op7_language_id, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
 
