@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontaminate, jaccard_join, language, line_dedup, packing, quality, sql, url_templates, warc
+from emberwatch.llm import decontaminate, jaccard_join, language, line_dedup, lm_score, packing, quality, sql, url_templates, warc
 from emberwatch.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.log_likelihood(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, sql.JACCARD),
     "op6_warc": (op6_warc, None),
     "op7_language_id": (op7_language_id, None),
+    "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
 }
 

@@ -49,7 +49,7 @@ class Hasher:
         known = self.known
         if len(known) > self.bound:
             known.clear()
-        for word in set(found) - known.keys():
+        for word in [w for w in set(found) if w not in known]:
             known[word] = xxhash.xxh3_64_intdigest(word)
         return np.array([known[w] for w in found], "u8")
 
