@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontaminate, jaccard_join, language, line_dedup, lm_score, packing, quality, sql, url_templates, warc
+from emberwatch.llm import decontaminate, jaccard_join, language, licenses, line_dedup, lm_score, packing, quality, sql, url_templates, warc
 from emberwatch.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages", "page_id", "url", "html"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_line_dedup": (op4_line_dedup, sql.LINES),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, sql.JACCARD),
+    "op5_license_scans": (op5_license_scans, None),
     "op6_warc": (op6_warc, None),
     "op7_language_id": (op7_language_id, None),
     "op8_lm_scoring": (op8_lm_scoring, None),

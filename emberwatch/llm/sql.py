@@ -71,7 +71,82 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY r, doc_id
 """
 
-URLS = None
+
+def _urls(depth: int = 3) -> str:
+    """The template tree level by level, as the operator's settings have it."""
+    own = [f"t{k}" for k in range(depth)]
+    shape = "host, " + ", ".join(f"s{k}" for k in range(depth)) + ", rest"
+    leaf = "host, " + ", ".join(own) + ", rest"
+
+    def forms(source: str, columns: str) -> str:
+        parts = ", ".join(
+            f"""CASE WHEN len(parts) <= {k} THEN ''
+            WHEN regexp_full_match(parts[{k + 1}], '[0-9a-fA-F-]{{16,}}') THEN '*'
+            ELSE regexp_replace(parts[{k + 1}], '[0-9]+', '#', 'g') END AS s{k}"""
+            for k in range(depth)
+        )
+        return f"""SELECT {columns}, host, path, {parts}, CASE WHEN len(parts) > {depth} THEN '**' ELSE '' END AS rest
+            FROM (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts
+                FROM (SELECT *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) AS host,
+                    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+                    FROM (SELECT * REPLACE (coalesce(url, '') AS url) FROM {source})))"""
+
+    steps = [
+        f"pages_in AS ({forms('pages', 'page_id')})",
+        """rated AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)""",
+        """labelled AS (
+            SELECT url, (quality = 1)::BIGINT AS good FROM (
+                SELECT url, TRY_CAST(regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1),
+                    '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM pages) JOIN rated USING (doc_id))""",
+        f"""seen AS MATERIALIZED (
+            SELECT {shape}, sum(n)::BIGINT AS n, sum(known)::BIGINT AS known, sum(good)::BIGINT AS good FROM (
+                SELECT {shape}, 1 AS n, 0 AS known, 0 AS good FROM pages_in
+                UNION ALL SELECT {shape}, 0, 1, good FROM ({forms('labelled', 'good')})) GROUP BY ALL)""",
+    ]
+    last = "seen"
+    for k in range(depth):
+        parent = ", ".join(["host", *own[:k]])
+        steps.append(f"""wide{k} AS (SELECT {parent}, count(DISTINCT s{k}) AS kinds, sum(n) AS whole FROM {last} GROUP BY {parent})""")
+        steps.append(f"""down{k} AS MATERIALIZED (
+            SELECT {last}.*, CASE WHEN kinds >= 8 AND whole <= 4.0 * kinds THEN '*' ELSE s{k} END AS t{k}
+            FROM {last} JOIN wide{k} USING ({parent}))""")
+        last = f"down{k}"
+    for k in reversed(range(depth)):
+        place = ", ".join(["host", *[t for t in own if t != f"t{k}"], "rest"])
+        steps.append(f"""branch{k} AS (SELECT {leaf}, sum(known) AS bl, sum(good) AS bg FROM {last} GROUP BY {leaf})""")
+        steps.append(f"""pool{k} AS (SELECT {place}, sum(bl) AS pl, sum(bg) AS pg, count(*) AS branches FROM branch{k} GROUP BY {place})""")
+        steps.append(f"""alike{k} AS (
+            SELECT {leaf}, coalesce(branches > 1 AND pl > 0 AND (bl = 0 OR abs(bg / bl - pg / pl)
+                <= 2.0 * sqrt(pg / pl * (1 - pg / pl) / nullif(bl, 0))), false) AS alike
+            FROM branch{k} JOIN pool{k} USING ({place}))""")
+        steps.append(f"""up{k} AS MATERIALIZED (
+            SELECT {last}.* REPLACE (CASE WHEN alike THEN '*' ELSE t{k} END AS t{k})
+            FROM {last} JOIN alike{k} USING ({leaf}))""")
+        last = f"up{k}"
+    filled = ", ".join([*own, "rest"])
+    steps += [
+        f"prior AS (SELECT coalesce(sum(good) / nullif(sum(known), 0), 1.0) AS p FROM {last})",
+        f"""hosts AS (SELECT host, (sum(good) + 4.0 * any_value(p)) / (sum(known) + 4.0) AS hp
+            FROM {last} CROSS JOIN prior GROUP BY host)""",
+        f"""leaves AS (SELECT {leaf}, (sum(good) + 4.0 * any_value(hp)) / (sum(known) + 4.0) AS purity,
+                host || '/' || array_to_string(list_filter([{filled}], lambda x: x <> ''), '/') AS template
+            FROM {last} JOIN hosts USING (host) GROUP BY {leaf})""",
+        f"known AS (SELECT {shape}, template, purity FROM {last} JOIN leaves USING ({leaf}))",
+    ]
+    rules = {"example.org/en/1": "allow", "example.org/es/": "block", "com/de/": "block", "com/fr/": "allow", "org/": "allow"}
+    fits = "".join(
+        f" WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}'))"
+        f" AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'"
+        for r in sorted(rules, key=lambda r: -len(r))
+    )
+    ruled = "".join(f" WHEN rule = '{r}' THEN '{v}'" for r, v in rules.items())
+    return f"""WITH {', '.join(steps)}
+        SELECT page_id, host, path, rule, CASE{ruled} WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+            template, round(purity, 9) AS purity
+        FROM (SELECT *, CASE{fits} END AS rule FROM pages_in JOIN known USING ({shape}))"""
+
+
+URLS = _urls()
 
 JACCARD = f"""
 WITH RECURSIVE split AS (
