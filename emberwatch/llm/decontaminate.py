@@ -1,8 +1,9 @@
 """Benchmark decontamination: passages of documents that copy test items, edited copies included.
 
 Documents are read once for the n-grams of the test items. What they have of them is kept with the
-words around it: passages. Then the n-grams are counted over all documents, and each item's rarer
-half seeds the search: a passage meets the items of whose seeds it has one. Each such pair is
+words around it: passages. Then the n-grams are counted over all documents, and those of an item that
+are not far more common than its others seed the search: a passage meets the items of whose seeds it
+has one. Each such pair is
 aligned by Smith-Waterman over words; its score is that of the alignment over the best possible for
 the item, and pairs from a threshold on are leaks.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from emberwatch.llm.common import NO_ID, run_folder, small_or_shuffled, staged
 
 GRAM, SCORE, BLOCK_WORDS = 4, 0.5, 2_000_000
+#: An n-gram seeds no search if it is in more documents than the item's median n-gram, so many times.
+COMMON = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 _TOKEN = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15
@@ -173,7 +176,7 @@ def _of_block(texts: DataFrame, items: DataFrame, folder: str, gram: int) -> Dat
     often = hits.groupBy("gram").agg(F.count_distinct("doc").alias("n_docs"))
     seeds = owned.join(often, "gram")
     middle = seeds.groupBy("item_id").agg(F.percentile("n_docs", F.lit(0.5)).alias("middle"))
-    seeds = seeds.join(middle, "item_id").where("n_docs <= middle").select("item_id", "gram")
+    seeds = seeds.join(middle, "item_id").where(F.col("n_docs") <= COMMON * F.col("middle")).select("item_id", "gram")
     seeds = small_or_shuffled(staged(seeds, folder, "seeds"))
     pairs = hits.join(seeds, "gram").select("passage", "item_id").distinct()
     named = small_or_shuffled(items.withColumnRenamed("text", "item"))

@@ -93,21 +93,26 @@ class Index:
             diagonals.sort()
             begin = last = diagonals[0]
             for diagonal in [*diagonals[1:], None]:
-                if diagonal is None or diagonal - begin > BAND:
+                if diagonal is None or diagonal - begin > band(self.words[k]):
                     found.append((k, begin, last))
                     begin = diagonal
                 last = diagonal
         return found
 
 
+def band(template: list[str]) -> int:
+    """Narrower for short templates, or two copies in a row would be one."""
+    return min(BAND, len(template) // 4)
+
+
 def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
     """Words in common, in order, where a word's place differs from its place in the template by a
-    diagonal from low - BAND to high + BAND; the first and the past-the-last word of the document."""
-    none = (0, 0, 0)
+    diagonal from low - band to high + band; the first and the past-the-last word of the document."""
+    none, wide = (0, 0, 0), band(template)
     row: dict[int, tuple[int, int, int]] = {}
     for i, wanted in enumerate(template):
         here, left = {}, none
-        for j in range(max(0, i + low - BAND), min(len(words), i + high + BAND + 1)):
+        for j in range(max(0, i + low - wide), min(len(words), i + high + wide + 1)):
             best = max(left, row.get(j, none), key=lambda s: (s[0], s[1] - s[2]))
             if words[j] == wanted:
                 count, first, _ = row.get(j - 1, none)
