@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.lineage import checkpoint_folder
@@ -51,26 +51,26 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, root: for each node of the edges (a, b; longs) the smallest node that it reaches.
 
     Rounds of large and small stars until nothing changes: every edge is moved to the smallest
-    neighbour of one of its ends. No node's neighbours are gathered, only their minimum is."""
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return staged(df.where("a <> b").distinct(), folder, name)
+    neighbour of one of its ends. No node's neighbours are gathered, only their minimum is. Minima
+    are broadcast while few edges are left, and joined by a shuffle beyond that."""
 
-    def mark(df: DataFrame) -> tuple:
-        sums = df.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) AS decimal(38, 0))")))
-        return tuple(sums.first())
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        total = F.sum(F.expr("cast(xxhash64(a, b) AS decimal(38, 0))"))
+        df = df.where("a <> b").distinct().observe(seen, F.count("*").alias("n"), total.alias("total"))
+        return staged(df, folder, name), (seen.get["n"], seen.get["total"])
 
-    low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    now = kept(edges.select(high, low), "edges")
-    before, turn = mark(now), 0
+    now, before = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    turn = 0
     while True:
+        size = F.broadcast if 2 * before[0] <= BROADCAST_ROWS else (lambda df: df)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = kept(large, f"large{turn}")
+        large = both.where("b > a").join(size(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = staged(large, folder, f"large{turn}")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = kept(small.unionByName(least.select("a", F.col("m").alias("b"))), f"small{turn}")
-        after = mark(now)
+        small = large.join(size(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now, after = kept(small.unionByName(least.select("a", F.col("m").alias("b"))), f"small{turn}")
         if after == before:
             break
         before, turn = after, turn + 1

@@ -111,35 +111,37 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> tuple[list[tuple[in
     ranges of sequence numbers, so the work depends on different lengths, not on documents."""
     room: dict[int, list[tuple[int, int]]] = {}
     slots, opened = [], 0
+
+    def fill(first: int, count: int, free: int, length: int, rank: int, left: int) -> int:
+        """Places pieces in up to `count` sequences with `free` room each; how many were placed. Once a
+        piece is in, that sequence is the fullest that fits, so it takes as many as it has room for."""
+        each, placed = free // length, 0
+        for wide, used in ((each, min(count, left // each)), (left % each, 1 if left // each < count else 0)):
+            if wide and used:
+                for k in range(wide):
+                    slots.append((length, rank + placed, used, first, size - free + k * length))
+                    placed += used
+                if free > wide * length:
+                    room.setdefault(free - wide * length, []).append((first, used))
+                first, count = first + used, count - used
+        if count:
+            room.setdefault(free, []).append((first, count))
+        return placed
+
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
-        for free in sorted(r for r in room if r >= length):
-            ranges = room[free]
-            while left and ranges:
-                first, count = ranges.pop()
-                used = min(left, count)
-                if used < count:
-                    ranges.append((first + used, count - used))
-                slots.append((length, rank, used, first, size - free))
-                if free > length:
-                    room.setdefault(free - length, []).append((first, used))
-                rank, left = rank + used, left - used
-            if not ranges:
-                del room[free]
-            if not left:
-                break
-        each = size // length
-        while left:  # new sequences, filled with as many of this length as fit
-            full = left // each
-            used, wide = (full, each) if full else (1, left)
-            for k in range(wide):
-                slots.append((length, rank, used, opened, k * length))
-                rank += used
-            left -= used * wide
-            free = size - wide * length
+        while left:
+            free = min((r for r in room if r >= length), default=0)
             if free:
-                room.setdefault(free, []).append((opened, used))
-            opened += used
+                ranges = room[free]
+                first, count = ranges.pop()
+                if not ranges:
+                    del room[free]
+            else:
+                free, first, count = size, opened, -(-left // (size // length))
+                opened += count
+            placed = fill(first, count, free, length, rank, left)
+            rank, left = rank + placed, left - placed
     return slots, opened
 
 
