@@ -173,24 +173,25 @@ def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Search:
-    """T-occurrence search over the sets of one cell, with the components found so far."""
+    """T-occurrence search over the sets of one cell, with the components found so far. Documents are
+    known by their turn: the smallest set asks first. Lists hold turns, in rising order."""
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
-        self.sets, self.percent = sets, percent
+        self.order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+        self.sets, self.percent = [sets[k] for k in self.order], percent
+        self.sizes = [len(s) for s in self.sets]
         self.root = np.arange(len(sets))
         self.lists: dict[int, list[int]] = {}
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (None, None)
-        self.shared = tokens[counts > 1] if sets else None
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, "u8"), 0)
+        self.shared = tokens[counts > 1] if sets else tokens
         self.links: list[tuple[int, int]] = []
 
     def linked(self, x: int, y: int, inside: int) -> bool:
-        return 100 * inside >= self.percent * (len(self.sets[x]) + len(self.sets[y]) - inside)
+        return 100 * inside >= self.percent * (self.sizes[x] + self.sizes[y] - inside)
 
     def join(self, x: int, y: int) -> None:
-        a, b = self.root[x], self.root[y]
-        if a != b:
-            self.root[self.root == b] = a
-            self.links.append((x, y))
+        self.root[self.root == self.root[y]] = self.root[x]
+        self.links.append((self.order[x], self.order[y]))
 
     def tokens(self, x: int) -> list[int]:
         own = self.sets[x]
@@ -199,63 +200,65 @@ class Search:
         at = np.minimum(np.searchsorted(self.shared, own), len(self.shared) - 1)
         return own[self.shared[at] == own].tolist()
 
-    def run(self, allowed) -> list[tuple[int, int]]:
-        """allowed(x, y): whether a pair belongs to this cell."""
-        for x in sorted(range(len(self.sets)), key=lambda k: len(self.sets[k])):
-            self.ask(x, allowed)
+    def run(self, sides: list[int] | None = None) -> list[tuple[int, int]]:
+        """Links that join all that are linked, of those between two sides if there are such."""
+        self.sides = [sides[k] for k in self.order] if sides else None
+        for x in range(len(self.sets)):
+            tokens = self.tokens(x)
+            self.ask(x, tokens)
+            for t in tokens:
+                self.lists.setdefault(t, []).append(x)
         return self.links
 
-    def ask(self, x: int, allowed) -> None:
-        n, tokens = len(self.sets[x]), self.tokens(x)
+    def ask(self, x: int, tokens: list[int]) -> None:
+        n = self.sizes[x]
         smallest = -(-self.percent * n // 100)
         need = -(-self.percent * (n + smallest) // (100 + self.percent))
-        found = sorted((t for t in tokens if t in self.lists), key=lambda t: len(self.lists[t]))
-        if len(found) >= need:
-            # A near copy is mostly found at once; the search below then leaves out all it is connected with.
-            for y in dict.fromkeys(self.lists[t][-1] for t in found[:: max(1, len(found) // 4)]):
-                if self.root[x] != self.root[y] and allowed(x, y):
-                    if self.linked(x, y, len(np.intersect1d(self.sets[x], self.sets[y], True))):
-                        self.join(x, y)
-            lists = [self.open_list(x, t, smallest, allowed) for t in found]
-            lists = sorted((one for one in lists if one), key=len)
-            if len(lists) >= need:
-                self.divide_skip(x, lists, need)
-        for t in tokens:
-            self.lists.setdefault(t, []).append(x)
-
-    def open_list(self, x: int, token: int, smallest: int, allowed) -> list[int]:
-        ids = self.lists[token]
-        if len(ids) > 20:
-            array = np.array(ids)
-            ids = array[self.root[array] != self.root[x]].tolist()
-        mine = self.root[x]
-        return [y for y in ids if self.root[y] != mine and len(self.sets[y]) >= smallest and allowed(x, y)]
-
-    def divide_skip(self, x: int, lists: list[list[int]], need: int) -> None:
-        """lists: by length. Documents come into a list in the order of asking, kept as their turn."""
-        turn = {y: k for k, y in enumerate(dict.fromkeys(y for one in lists for y in one))}
-        lists = [sorted(turn[y] for y in one) for one in lists]
-        names = list(turn)
-        longest = len(lists[-1])
-        aside = min(need - 1, int(need / (0.01 * np.log2(longest + 1) + 1)))
+        lists = [self.lists[t] for t in tokens if t in self.lists]
+        if len(lists) < need:
+            return
+        lists.sort(key=len)
+        # A near copy is mostly found at once; the search then leaves out all it is connected with.
+        for y in dict.fromkeys(one[-1] for one in lists[:: max(1, len(lists) // 3)]):
+            if self.root[x] != self.root[y] and self.sizes[y] >= smallest:
+                if self.linked(x, y, len(np.intersect1d(self.sets[x], self.sets[y], True))):
+                    self.join(x, y)
+        aside = min(need - 1, int(need / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        self.divide_skip(x, [self.open(x, one, smallest) for one in short], long, need - aside)
+
+    def open(self, x: int, one: list[int], smallest: int) -> list[int]:
+        """A list without documents that x is connected with or that are too small."""
+        if len(one) > 8:
+            turns = np.array(one)
+            one = turns[self.root[turns] != self.root[x]].tolist()
+        mine, root, sizes = self.root[x], self.root, self.sizes
+        found = [y for y in one if root[y] != mine and sizes[y] >= smallest]
+        if self.sides:
+            side = self.sides[x]
+            found = [y for y in found if self.sides[y] != side]
+        return found
+
+    def divide_skip(self, x: int, short: list[list[int]], long: list[list[int]], least: int) -> None:
         candidates: list[tuple[int, int]] = []
         last, count = -1, 0
         for y in heapq.merge(*short):
             if y != last:
-                if count >= need - aside:
+                if count >= least:
                     candidates.append((last, count))
                 last, count = y, 0
             count += 1
-        if count >= need - aside:
+        if count >= least:
             candidates.append((last, count))
-        for k, inside in candidates:
-            y = names[k]
+        for y, inside in candidates:
             if self.root[x] == self.root[y]:
                 continue
-            for one in long:
-                at = bisect_left(one, k)
-                inside += at < len(one) and one[at] == k
+            need = -(-self.percent * (self.sizes[x] + self.sizes[y]) // (100 + self.percent))
+            for k, one in enumerate(long):
+                if inside + len(long) - k < need:
+                    break
+                at = bisect_left(one, y)
+                inside += at < len(one) and one[at] == y
             if self.linked(x, y, inside):
                 self.join(x, y)
 
@@ -266,8 +269,7 @@ def _cell(width: int, percent: int):
         hasher = Hasher()
         sets = [shingles(hasher.words(t), width) for t in frame["text"]]
         sides, docs = frame["side"].tolist(), frame["doc"].to_numpy()
-        crossing = len(set(sides)) > 1
-        links = Search(sets, percent).run(lambda x, y: not crossing or sides[x] != sides[y])
+        links = Search(sets, percent).run(sides if len(set(sides)) > 1 else None)
         a, b = [docs[x] for x, _ in links], [docs[y] for _, y in links]
         return pd.DataFrame({"a": np.array(a, "i8"), "b": np.array(b, "i8")})
 
