@@ -12,7 +12,6 @@ from emberwatch.plans.rules import ATTACK_VERSION, TECHNIQUES, mappings
 from emberwatch.schema import ACTIVE_ALERT
 
 # Sizes an alert is kept to, and the order of criticality.
-MAX_EVIDENCE, MAX_HISTORY, MAX_TITLE, MAX_GROUPS, MAX_RELATED = 1000, 50, 300, 100, 20
 RELATED_WINDOW = 86_400_000_000
 ENTITY_COLUMNS = ["host", "username", "target_username", "source_ip", "destination_ip"]
 CRITICALITY = ["low", "medium", "high", "critical"]
@@ -42,7 +41,7 @@ def title(rule_name: Column, indicator_name: Column, values: Column) -> Column:
     full = F.when(
         F.size(values) > 0, F.concat(name, F.lit(" ("), F.array_join(values, ", "), F.lit(")"))
     ).otherwise(name)
-    return F.substring(full, 1, MAX_TITLE)
+    return full
 
 
 def with_keys(detections: DataFrame) -> DataFrame:
@@ -100,8 +99,12 @@ def apply_detections(
     now_us: int | Column,
     alerts: DataFrame | None = None,
     links: DataFrame | None = None,
+    evidence: DataFrame | None = None,
+    history: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
-    """A new snapshot of (alerts, links) with the detections applied.
+    """A new snapshot of (alerts, links) with the detections applied. `evidence` (match_id, us, id)
+    is all evidence of the detections; without it only the sample that they show is linked.
+    `history` is how many of its latest detections an alert shows.
 
     Evidence already linked to any alert of the same key changes nothing, so applying twice is the
     same as once. New evidence extends the open alert of the key, or opens one that points to
@@ -110,9 +113,13 @@ def apply_detections(
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
     # Detections are read four times below, and each snapshot is the input of the next one.
     det = cut(alert_entities(attach_techniques(with_keys(detections), rules)))
-    cited = det.select(
-        "dedup_key", "match_id", "first_us", F.posexplode("evidence_ids").alias("pos", "event_id")
-    )
+    owners = det.select("dedup_key", "match_id", "first_us")
+    if evidence is None:
+        cited = det.select(*owners.columns, F.posexplode("evidence_ids").alias("pos", "event_id"))
+        partly = F.bool_or(F.col("event_count") > F.size("evidence_ids"))
+    else:
+        cited = owners.join(evidence.select("match_id", F.col("us").alias("pos"), F.col("id").alias("event_id")), "match_id")
+        partly = F.lit(False)
     if links is not None:
         known = links.join(
             alerts.select(F.col("id").alias("alert_id"), "dedup_key"), "alert_id"
@@ -134,10 +141,10 @@ def apply_detections(
         "explanation",
     )
     recent = Window.partitionBy("dedup_key").orderBy(F.col("first_us").desc(), F.col("match_id").desc())
-    history = (
+    newest = (
         changed.select("dedup_key", "match_id", "first_us", entry.alias("entry"))
         .withColumn("_r", F.row_number().over(recent))
-        .filter(F.col("_r") <= MAX_HISTORY)
+        .filter(F.col("_r") <= history)
         .groupBy("dedup_key")
         .agg(F.array_sort(F.collect_list("entry")).alias("new_history"))
     )
@@ -149,9 +156,9 @@ def apply_detections(
             F.min("first_us").alias("opened_us"),
             F.max(size).alias("new_peak"),
             F.count("*").alias("new_detections"),
-            F.bool_or(F.col("event_count") > F.size("evidence_ids")).alias("cut"),
+            partly.alias("cut"),
         )
-        .join(history, "dedup_key")
+        .join(newest, "dedup_key")
         .select("*", *[F.col(f"latest.{c}").alias(c) for c in LATEST])
         .drop("latest")
     )
@@ -196,7 +203,7 @@ def apply_detections(
                 "peak_count": F.greatest("peak_count", "new_peak"),
                 "detection_count": F.coalesce("detection_count", F.lit(0)) + F.col("new_detections"),
                 "evidence_truncated": F.coalesce("evidence_truncated", F.lit(False)) | F.col("cut") | F.col("over"),
-                "history": merge_history(F.coalesce("history", F.array()), F.col("new_history")),
+                "history": merge_history(F.coalesce("history", F.array()), F.col("new_history"), history),
                 "status": F.coalesce("status", F.lit("NEW")),
                 "created_us": F.coalesce("created_us", now),
             }
@@ -212,15 +219,17 @@ def apply_detections(
     return cut(touched), out_links
 
 
-def link_evidence(new: DataFrame, targets: DataFrame, cap: int = MAX_EVIDENCE) -> DataFrame:
-    """New evidence of each key in order, `kept` while the alert has room. Ranks up to the cap are
-    limited before rows move; whatever is beyond it is only known to exist."""
+def link_evidence(new: DataFrame, targets: DataFrame, cap: int | None = None) -> DataFrame:
+    """New evidence of each key, all of it `kept`; with a cap, in order while the alert has room.
+    Ranks up to the cap are limited before rows move; what is beyond it is only known to exist."""
+    if cap is None:
+        return new.join(targets, "dedup_key").withColumn("kept", F.lit(True))
     w = Window.partitionBy("dedup_key").orderBy("order", "event_id")
     ranked = new.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap + 1)
     return ranked.join(targets, "dedup_key").withColumn("kept", F.col("_r") + F.col("linked") <= cap)
 
 
-def merge_history(old: Column, new: Column, keep: int = MAX_HISTORY) -> Column:
+def merge_history(old: Column, new: Column, keep: int) -> Column:
     both = F.concat(old, new)
     return F.slice(both, F.greatest(F.lit(1), F.size(both) - (keep - 1)), keep)
 
@@ -339,8 +348,10 @@ def alert_queue(alerts: DataFrame, sort: str = "priority", limit: int = 50, offs
     return filter_alerts(alerts, **filters).orderBy(*order).offset(offset).limit(limit)
 
 
-def group_alerts(alerts: DataFrame, by: str, names: dict[str, str] | None = None, **filters) -> DataFrame:
-    """The queue counted per rule, host, username or source; at most 100 groups."""
+def group_alerts(
+    alerts: DataFrame, by: str, names: dict[str, str] | None = None, limit: int = 100, **filters
+) -> DataFrame:
+    """The queue counted per rule, host, username or source: a page of its first groups."""
     key = {"rule": "rule_id"}.get(by, by)
     rows = filter_alerts(alerts, **filters).filter(F.col(key).isNotNull())
     groups = rows.groupBy(F.col(key).alias("key")).agg(
@@ -353,7 +364,7 @@ def group_alerts(alerts: DataFrame, by: str, names: dict[str, str] | None = None
     for rule, name in (names or {}).items() if by == "rule" else ():
         label = F.when(F.col("key") == rule, F.lit(name)).otherwise(label)
     groups = groups.withColumns({"label": label, "top_band": band(F.col("top_priority"))})
-    return groups.orderBy(F.col("top_priority").desc(), F.col("alerts").desc(), "key").limit(MAX_GROUPS)
+    return groups.orderBy(F.col("top_priority").desc(), F.col("alerts").desc(), "key").limit(limit)
 
 
 def alert_evidence(
@@ -365,7 +376,7 @@ def alert_evidence(
     return rows.orderBy("timestamp", "id").offset(offset).limit(limit)
 
 
-def related_alerts(alerts: DataFrame, alert_id: str) -> DataFrame:
+def related_alerts(alerts: DataFrame, alert_id: str, limit: int = 20) -> DataFrame:
     """Other alerts sharing the host, user or source of one alert within a day of it, with labels."""
     labels = {"host": "host", "username": "user", "source_ip": "source"}
 
@@ -395,7 +406,7 @@ def related_alerts(alerts: DataFrame, alert_id: str) -> DataFrame:
         .groupBy("id", "rule_id", "priority_score", "last_us")
         .agg(F.array_sort(F.collect_set(label)).alias("shared"))
         .orderBy(F.col("priority_score").desc(), F.col("last_us").desc(), "id")
-        .limit(MAX_RELATED)
+        .limit(limit)
     )
 
 

@@ -17,9 +17,6 @@ from emberwatch.schema import (
     ACTIONS,
     ATTRS,
     IP_FIELDS,
-    LENGTHS,
-    MAX_ATTRIBUTE_VALUE,
-    MAX_ATTRIBUTES,
     OUTCOMES,
     PARSED,
     PARSED_NAMES,
@@ -60,12 +57,13 @@ GPASSWD_ADD = r"^user (\S+) added by (\S+) to group (\S+)$"
 USER_DELETE = r"^delete user '([^']+)'$"
 PASSWORD_CHANGED = r"^pam_unix\(passwd:chauthtok\): password changed for (\S+)$"
 ACCOUNT_PROGRAMS = ["useradd", "usermod", "userdel", "gpasswd", "groupadd", "passwd", "chpasswd"]
+# Escapes are out of the way (see _unescaped), so text in quotes is one run of any length.
+QUOTED = r'[^"]*+'
 ACCESS_LINE = (
-    r"^(\S{1,45}) (\S{1,256}) (\S{1,256}) \[([^\]]{1,40})\] "
-    r'"((?:[^"\\]|\\.){0,8192})" (\d{3}) (\d{1,15}|-)'
-    r'(?: "((?:[^"\\]|\\.){0,4096})" "((?:[^"\\]|\\.){0,4096})")?(?: .*)?$'
+    r"^(\S{1,45}) (\S++) (\S++) \[([^\]]{1,40})\] "
+    rf'"({QUOTED})" (\d{{3}}) (\d{{1,15}}|-)(?: "({QUOTED})" "({QUOTED})")?(?: .*)?$'
 )
-REQUEST = r"^([A-Z]{1,16}) (\S{1,8192}) (HTTP/\d(?:\.\d)?)$"
+REQUEST = r"^([A-Z]{1,16}) (\S++) (HTTP/\d(?:\.\d)?)$"
 ACCESS_TIME = r"^(\d{1,2})/([A-Z][a-z]{2})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2}) ([+-]\d{2}):?(\d{2})$"
 LOGON_TYPES = {
     2: "interactive",
@@ -252,7 +250,7 @@ def _linux_auth(df: DataFrame) -> DataFrame:
     add, gp, gone, pw = (F.col(c).isNotNull() & ~new_user for c in ("_add", "_gp", "_del", "_pw"))
     common = {
         "timestamp": F.col("_time"), "host": part("_h", 5), "service": p, "process_name": p,
-        "session_id": part("_h", 7), "message": F.substring(msg, 1, 1024),
+        "session_id": part("_h", 7), "message": msg,
     }
     iam = lambda action, **more: {
         **common, **_lit(event_category="iam", event_action=action, event_outcome="success"), **more,
@@ -289,10 +287,10 @@ def _linux_auth(df: DataFrame) -> DataFrame:
                 "event_outcome": F.when(reason.isNull(), F.lit("success")).otherwise(F.lit("failure")),
                 "username": part("_sudo", 1),
                 "target_username": X.clean(of("_sf", "USER")),
-                "command_line": X.clean(of("_sf", "COMMAND"), 8192),
+                "command_line": X.clean(of("_sf", "COMMAND")),
                 "attributes": attributes(
-                    tty=X.clean(of("_sf", "TTY"), 64),
-                    working_directory=X.clean(of("_sf", "PWD"), 256),
+                    tty=X.clean(of("_sf", "TTY")),
+                    working_directory=X.clean(of("_sf", "PWD")),
                     failure_reason=reason,
                     attempts=F.regexp_extract(attempts, SUDO_ATTEMPTS, 1).try_cast("int"),
                 ),
@@ -306,7 +304,7 @@ def _linux_auth(df: DataFrame) -> DataFrame:
                 "event_outcome": F.when(part("_su", 1).isNotNull(), F.lit("failure")).otherwise(F.lit("success")),
                 "username": part("_su", 3),
                 "target_username": part("_su", 2),
-                "attributes": attributes(tty=F.substring(part("_su", 4), 1, 64)),
+                "attributes": attributes(tty=part("_su", 4)),
             },
         ),
         (
@@ -315,7 +313,7 @@ def _linux_auth(df: DataFrame) -> DataFrame:
                 "user_created",
                 target_username=of("_nf", "name"),
                 attributes=attributes(
-                    uid=F.when(uid.rlike(r"^\d+$"), uid.try_cast("bigint")), shell=X.clean(of("_nf", "shell"), 256)
+                    uid=F.when(uid.rlike(r"^\d+$"), uid.try_cast("bigint")), shell=X.clean(of("_nf", "shell"))
                 ),
             ),
         ),
@@ -393,7 +391,7 @@ def _windows_security(df: DataFrame) -> DataFrame:
     e, logon_type = F.col("_e"), X.optional_int(_get("LogonType", "_d"))
     kind = lambda user: F.when(user.isNotNull(), F.when(user.endswith("$"), F.lit("machine")).otherwise(F.lit("user")))
     member = X.split_user(_get("MemberName", "_d"))[0]
-    path = d("NewProcessName", 1024)
+    path = d("NewProcessName")
 
     def event(category: str, action: str, who: str, attrs: dict[str, Column], **more: Column) -> dict[str, Column]:
         return {
@@ -416,16 +414,16 @@ def _windows_security(df: DataFrame) -> DataFrame:
                 {
                     "logon_type": logon_type,
                     "logon_type_name": F.try_element_at(names_of_types, logon_type),
-                    "auth_package": d("AuthenticationPackageName", 64),
-                    "workstation": d("WorkstationName", 64),
-                    "status": F.when(failed_logon, d("Status", 16)),
-                    "sub_status": F.when(failed_logon, d("SubStatus", 16)),
+                    "auth_package": d("AuthenticationPackageName"),
+                    "workstation": d("WorkstationName"),
+                    "status": F.when(failed_logon, d("Status")),
+                    "sub_status": F.when(failed_logon, d("SubStatus")),
                     "account_kind": kind(d("TargetUserName")),
                 },
                 event_outcome=F.when(failed_logon, F.lit("failure")).otherwise(F.lit("success")),
                 source_ip=optional_ip(_get("IpAddress", "_d")),
                 source_port=X.optional_port(_get("IpPort", "_d")),
-                session_id=d("TargetLogonId", 128),
+                session_id=d("TargetLogonId"),
                 protocol=F.when(logon_type == 10, F.lit("rdp")).when(logon_type == 3, F.lit("network")),
                 message=F.concat(
                     F.when(failed_logon, F.lit("Failed")).otherwise(F.lit("Successful")), F.lit(" logon (type "), shown_type, F.lit(")")
@@ -435,30 +433,30 @@ def _windows_security(df: DataFrame) -> DataFrame:
         (
             e == 4634,
             event("authentication", "logoff", "Target", {"logon_type": logon_type, "account_kind": kind(d("TargetUserName"))},
-                  session_id=d("TargetLogonId", 128)),
+                  session_id=d("TargetLogonId")),
         ),
         (
             e == 4672,
             event("privilege", "special_privileges_assigned", "Subject",
-                  {"privileges": d("PrivilegeList", 1024), "account_kind": kind(d("SubjectUserName"))},
-                  session_id=d("SubjectLogonId", 128)),
+                  {"privileges": d("PrivilegeList"), "account_kind": kind(d("SubjectUserName"))},
+                  session_id=d("SubjectLogonId")),
         ),
         (
             e == 4688,
             event(
                 "process", "process_started", "Subject",
-                {"process_path": path, "process_id": d("NewProcessId", 32), "token_elevation_type": d("TokenElevationType", 32)},
-                session_id=d("SubjectLogonId", 128), process_name=X.basename(path),
-                parent_process_name=X.basename(_get("ParentProcessName", "_d")), command_line=d("CommandLine", 8192),
+                {"process_path": path, "process_id": d("NewProcessId"), "token_elevation_type": d("TokenElevationType")},
+                session_id=d("SubjectLogonId"), process_name=X.basename(path),
+                parent_process_name=X.basename(_get("ParentProcessName", "_d")), command_line=d("CommandLine"),
             ),
         ),
         (
             e == 4720,
-            event("iam", "user_created", "Subject", {"target_sid": d("TargetSid", 128)}, target_username=d("TargetUserName")),
+            event("iam", "user_created", "Subject", {"target_sid": d("TargetSid")}, target_username=d("TargetUserName")),
         ),
         (
             e == 4732,
-            event("iam", "group_member_added", "Subject", {"group_name": d("TargetUserName", 256), "target_sid": d("MemberSid", 128)},
+            event("iam", "group_member_added", "Subject", {"group_name": d("TargetUserName"), "target_sid": d("MemberSid")},
                   target_username=F.when(~member.contains("="), member)),
         ),
     )
@@ -474,7 +472,7 @@ def _windows_security(df: DataFrame) -> DataFrame:
 
 def _app_json(df: DataFrame) -> DataFrame:
     names = df.columns
-    rows = _json(df).withColumns({"_name": X.clean(_get("event"), 64), "_time": X.iso_timestamp(_get("ts"))})
+    rows = _json(df).withColumns({"_name": X.clean(_get("event")), "_time": X.iso_timestamp(_get("ts"))})
     name = F.col("_name")
     mapping = F.create_map(
         *[x for k, v in APP_EVENTS.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))]
@@ -495,11 +493,11 @@ def _app_json(df: DataFrame) -> DataFrame:
                 "user_domain": domain,
                 "target_username": X.split_user(_get("target_user"))[0],
                 "source_ip": optional_ip(_get("ip")),
-                "service": F.coalesce(X.clean(_get("app"), 128), F.lit("app")),
-                "session_id": X.clean(_get("session"), 128),
+                "service": F.coalesce(X.clean(_get("app")), F.lit("app")),
+                "session_id": X.clean(_get("session")),
                 "message": name,
                 "attributes": attributes(
-                    app_event=name, role=X.clean(_get("role"), 64), detail=X.clean(_get("detail"), 1024)
+                    app_event=name, role=X.clean(_get("role")), detail=X.clean(_get("detail"))
                 ),
             },
         )
@@ -552,9 +550,26 @@ def _generic_json(df: DataFrame) -> DataFrame:
 # ---------- http_access ----------
 
 
+# Escape pairs, and the code points without a character of their own that stand for them meanwhile.
+ESCAPES = {"\\\\": "\ufdd0", '\\"': "\ufdd1"}
+
+
+def _unescaped(c: Column) -> Column:
+    for pair, mark in ESCAPES.items():
+        c = F.replace(c, F.lit(pair), F.lit(mark))
+    return c
+
+
+def _escaped(c: Column) -> Column:
+    for pair, mark in ESCAPES.items():
+        c = F.replace(c, F.lit(mark), F.lit(pair))
+    return c
+
+
 def _http_access(df: DataFrame) -> DataFrame:
     names = df.columns
-    rows = _line(df).withColumn("_l", groups(F.col("_text"), ACCESS_LINE, 9))
+    parts = F.transform(groups(_unescaped(F.col("_text")), ACCESS_LINE, 9), _escaped)
+    rows = _line(df).withColumn("_l", parts)
     t = groups(F.get("_l", F.lit(3)), ACCESS_TIME, 8)
     rows = rows.withColumns({"_t": t, "_r": groups(F.get("_l", F.lit(4)), REQUEST, 3)})
     n = lambda i: F.get("_t", F.lit(i)).cast("int")
@@ -583,18 +598,18 @@ def _http_access(df: DataFrame) -> DataFrame:
                 "username": X.clean(part("_l", 3)),
                 "message": F.when(
                     good,
-                    F.concat_ws(" ", F.get("_r", F.lit(0)), F.substring(path, 1, 200), status.cast("string")),
+                    F.concat_ws(" ", F.get("_r", F.lit(0)), path, status.cast("string")),
                 ).otherwise(F.concat(F.lit("malformed request "), status.cast("string"))),
                 "attributes": attributes(
                     http_status=status,
                     response_bytes=F.get("_l", F.lit(6)).try_cast("bigint"),
-                    referrer=X.clean(part("_l", 8), 1024),
-                    user_agent=X.clean(part("_l", 9), 1024),
+                    referrer=X.clean(part("_l", 8)),
+                    user_agent=X.clean(part("_l", 9)),
                     http_method=F.when(good, F.get("_r", F.lit(0))),
-                    url_path=F.when(good, F.substring(path, 1, 1024)),
-                    url_query=F.when(good, X.blank_to_null(F.substring(query, 1, 1024))),
+                    url_path=F.when(good, path),
+                    url_query=F.when(good, X.blank_to_null(query)),
                     http_version=F.when(good, F.get("_r", F.lit(2))),
-                    request_line=F.when(~good, X.blank_to_null(F.substring(request, 1, 256))),
+                    request_line=F.when(~good, X.blank_to_null(request)),
                 ),
             },
         )
@@ -632,12 +647,9 @@ def validate_events(df: DataFrame) -> DataFrame:
         F.col("timestamp").isNull(),
         F.coalesce((c["host"] != "") & ~host.rlike(HOSTNAME), no),
         *[F.coalesce((c[n] != "") & ~valid_ip(X.strip(c[n])), no) for n in IP_FIELDS],
-        *[F.coalesce(F.length(c[n]) > size, no) for n, size in LENGTHS.items()],
         *[F.coalesce(clean[n].rlike("[\r\n\t�]"), no) for n in ("username", "user_domain", "target_username")],
         *[F.coalesce(~F.col(n).between(0, 65535), no) for n in PORT_FIELDS],
-        F.coalesce(F.size(F.map_keys("attributes")) > MAX_ATTRIBUTES, no),
         F.coalesce(F.exists(F.map_keys("attributes"), lambda k: ~k.rlike(ATTRIBUTE_KEY)), no),
-        F.coalesce(F.exists(F.map_values("attributes"), lambda v: F.length(v) > MAX_ATTRIBUTE_VALUE), no),
     ]
     invalid = (F.col("parse_status") == "PARSED") & reduce(lambda a, b: a | b, bad)
     rows = df.withColumn("_invalid", invalid)

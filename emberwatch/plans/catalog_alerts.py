@@ -133,7 +133,7 @@ def _audit(s, d):
 def _reapplied(s, d):
     """Applying the same detections again changes nothing; counted per rule."""
     det, alerts, links = store.detections(s, d), store.applied(s, d)[0], store.links(s, d)
-    again, more = A.apply_detections(det, store.RULES, 0, alerts, links)
+    again, more = A.apply_detections(det, store.RULES, 0, alerts, links, store.evidence(s, d))
     n = again.groupBy("rule_id").agg(F.count("*").alias("alerts"), F.sum("event_count").alias("events"))
     return n.crossJoin(more.agg(F.count("*").alias("links")))
 
@@ -142,8 +142,8 @@ def _second_half(s, d):
     """Alerts after two runs: first the detections before 16 January, then all of them."""
     det = store.detections(s, d)
     early = det.filter(F.col("last_us") < 1705363200000000)
-    a1, l1 = A.apply_detections(early, store.RULES, 0)
-    a2, l2 = A.apply_detections(det, store.RULES, 1, a1, l1)
+    a1, l1 = A.apply_detections(early, store.RULES, 0, evidence=store.evidence(s, d))
+    a2, l2 = A.apply_detections(det, store.RULES, 1, a1, l1, store.evidence(s, d))
     return a2.select("dedup_key", "event_count", "detection_count", "status", F.size("history").alias("history"), "created_us")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
+
 
 from pyspark.sql import functions as F
 
@@ -17,12 +18,7 @@ from emberwatch.streaming import jobs, state
 
 def _folder(spark, name: str) -> str:
     """A new folder of this run in the shared checkpoint folder."""
-    base = checkpoint_folder(spark)
-    if "://" in base:
-        from uuid import uuid4
-
-        return f"{base}/{name}-{uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
 def _events(spark, folder: str):

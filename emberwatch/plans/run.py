@@ -73,6 +73,14 @@ def run_rules(
     return found if batch_id is None else found.filter(F.array_contains("batch_ids", batch_id))
 
 
+def run_with_evidence(
+    events: DataFrame, rules: list[dict], start: datetime | None = None, end: datetime | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Detections, and all their evidence (match_id, us, id) as a table beside them."""
+    evidence = cut(evidence_of(events, rules, start, end))
+    return build_detections(evidence, rules), evidence.select("match_id", "us", "id")
+
+
 def candidates(events: DataFrame, rule: dict):
     """The condition that makes an event a candidate of a rule."""
     if rule["kind"] == "sequence":

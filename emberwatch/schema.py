@@ -77,20 +77,6 @@ ACTIONS = {
     "application": ["app_event", "config_changed"],
 }
 CATEGORIES = list(ACTIONS)
-LENGTHS = {
-    "username": 256,
-    "user_domain": 256,
-    "target_username": 256,
-    "protocol": 32,
-    "service": 128,
-    "process_name": 256,
-    "parent_process_name": 256,
-    "command_line": 8192,
-    "session_id": 128,
-    "message": 1024,
-}
-MAX_ATTRIBUTES = 50
-MAX_ATTRIBUTE_VALUE = 1024
 MAX_RAW_BYTES = 65536
 INTERNAL_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7"]
 ACTIVE_ALERT = ["NEW", "TRIAGED", "IN_PROGRESS"]

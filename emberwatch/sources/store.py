@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.lineage import cut
 from emberwatch.operators.alerts import apply_detections, score_alerts
 from emberwatch.plans.rules import tuned
-from emberwatch.plans.run import run_rules
+from emberwatch.plans.run import run_with_evidence
 from emberwatch.sources import sample
 
 RULES = [tuned("AUTH-001", threshold=2, time_window="24h"), tuned("PRIV-001")]
@@ -23,15 +23,27 @@ def _once(spark: SparkSession, folder: str, name: str, make):
     return _kept[key]
 
 
+def found(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    def make():
+        detections, evidence = run_with_evidence(sample.events(spark, folder), RULES)
+        return cut(detections), evidence
+
+    return _once(spark, folder, "found", make)
+
+
 def detections(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder, "detections", lambda: cut(run_rules(sample.events(spark, folder), RULES)))
+    return found(spark, folder)[0]
+
+
+def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder)[1]
 
 
 def applied(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Alerts and links right after the first application, all NEW."""
 
     def make():
-        alerts, links = apply_detections(detections(spark, folder), RULES, 0)
+        alerts, links = apply_detections(detections(spark, folder), RULES, 0, evidence=evidence(spark, folder))
         links = cut(links)
         events = sample.events(spark, folder)
         scored = score_alerts(

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.lineage import checkpoint_folder, cut
 from emberwatch.operators.ingest import fingerprint, ingest
 from emberwatch.operators.reports import daily_counts, logon_success_daily, merge_daily_counts, merge_logons
-from emberwatch.plans.run import evidence_of, reach
+from emberwatch.plans.run import evidence_of
 from emberwatch.operators.explain import build_detections
 
 BATCH = "stream_batch"
@@ -26,10 +25,10 @@ def _write(df: DataFrame, path: str, epoch: int) -> None:
 
 def _others(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
     """What other batches stored, or None before the first."""
-    try:
-        return spark.read.parquet(path).filter(F.col(BATCH) != epoch)
-    except AnalysisException:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.parquet(path).filter(F.col(BATCH) != epoch)
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None, **trigger):
@@ -73,7 +72,9 @@ def summary_step(path: str):
     """Partial sums of each batch; `read_summaries` adds them."""
 
     def step(events: DataFrame, epoch: int) -> None:
-        raw = events.select(F.col("timestamp").alias("received_at"))
+        # Events that carry their receive time are counted by it; others by their own time.
+        received = "received_at" if "received_at" in events.columns else "timestamp"
+        raw = events.select(F.col(received).alias("received_at"))
         _write(daily_counts(events, raw), f"{path}/daily", epoch)
         _write(logon_success_daily(events), f"{path}/logons", epoch)
 
@@ -106,19 +107,9 @@ def detect_step(rules: list[dict], events_path: str, out_path: str):
         if span["a"] is None:
             return
         stored = spark.read.parquet(events_path).drop(BATCH)
-        parts = []
-        for rule in rules:
-            # A new-value rule also needs its lookback; the range bounds what it may report.
-            wide = F.expr(f"interval {reach(rule)} microseconds")
-            near = stored
-            if rule["kind"] != "new_value":
-                near = stored.filter(
-                    (F.col("timestamp") >= F.lit(span["a"]) - wide) & (F.col("timestamp") <= F.lit(span["b"]) + wide)
-                )
-            parts.append(evidence_of(near, [rule]))
-        evidence = parts[0]
-        for part in parts[1:]:
-            evidence = evidence.unionByName(part)
+        # A run over the span of the batch: each rule reads as far around it as it reaches, and a
+        # new-value rule reports what is new within the span, measured by its lookback before it.
+        evidence = evidence_of(stored, rules, span["a"], span["b"])
         found = build_detections(cut(evidence), rules)
         _write(found.filter(F.array_contains("batch_ids", f"stream-{epoch}")), out_path, epoch)
 

@@ -161,3 +161,21 @@ def test_ingest_keeps_one_copy_and_counts_the_rest(spark):
     assert (e.asset_id, e.asset_criticality, e.identity_privileged, e.source_ip_scope) == ("a1", "high", True, "external")
     again = ingest(records, sources, assets, people, stored=out.select("fingerprint"))
     assert again[1].count() == 0
+
+
+def test_lines_of_any_length_neither_fail_the_job_nor_lose_text(spark):
+    path, agent = "/find/" + "q" * 60_000, "tool " + r"a\"b\\c " * 8_000
+    start = "198.51.100.7 - kim [02/Mar/2026:08:15:00 +0000]"
+    rows = parse(spark, [
+        raw(1, "http_access", f'{start} "GET {path} HTTP/1.1" 200 17 "-" "{agent}"'),
+        raw(2, "http_access", f'{start} "' + "\\" * 60_000),
+        raw(3, "http_access", f'{start} "' + r"\"" * 30_000 + '" 400 - "-" "-"'),
+        raw(4, "linux_auth", "Mar  2 08:15:00 gate-02 sudo:  kim : TTY=pts/3 ; PWD=/srv ; USER=root ; COMMAND=/bin/echo " + "z" * 50_000),
+        raw(5, "linux_auth", "(" * 60_000), raw(6, "app_json", "{" * 60_000), raw(7, "generic_json", "[" * 60_000),
+        raw(8, "windows_security", '{"EventID": ' + "9" * 60_000),
+    ])
+    assert rows[1].parse_status == "PARSED" and rows[1].attributes["url_path"] == path
+    assert rows[1].attributes["user_agent"] == agent.strip()
+    assert rows[3].parse_status == "PARSED" and rows[3].attributes["request_line"] == r"\"" * 30_000
+    assert rows[4].parse_status == "PARSED" and rows[4].command_line == "/bin/echo " + "z" * 50_000
+    assert {rows[n].parse_status for n in (2, 5, 6, 7, 8)} <= {"FAILED", "SKIPPED"}
