@@ -23,13 +23,15 @@ IS = lambda c, v: f"CASE WHEN {c} THEN {v} END"
 def _parsed(kind, parse, *columns):
     def query(s, d):
         rows = parse(raw_records(s, d, kind))
-        return rows.select("record_no", "parse_status", "parse_detail", F.unix_micros("timestamp").alias("us"), *columns)
+        named = [c if isinstance(c, str) else c() for c in columns]
+        return rows.select("record_no", "parse_status", "parse_detail", F.unix_micros("timestamp").alias("us"), *named)
 
     return query
 
 
 def _attr(name):
-    return F.try_element_at("attributes", F.lit(name)).alias(name)
+    """Made when a query runs: columns need a session, and this module is read without one."""
+    return lambda: F.try_element_at("attributes", F.lit(name)).alias(name)
 
 
 def twice(s, d):
