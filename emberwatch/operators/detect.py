@@ -6,7 +6,7 @@ Times are microseconds (`us`); group values are text columns `_k0`, `_k1`, ...
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left
 from datetime import timedelta
 
 import pandas as pd
@@ -497,21 +497,19 @@ def _many_steps(rows: DataFrame, keys: list[str], rule: dict, window: int) -> Da
     )
 
     def stream(batches):
-        key, live, used = None, deque(), set()
+        key, waiting = None, _Waiting(needed, gap)
         for pdf in batches:
             found = []
-            for row in pdf.to_dict("records"):
-                here = (*[row[c] for c in plain], row["session"])
+            flags = pdf[[f"s{i + 1}" for i in range(k)]].to_numpy(bool)
+            names = pdf[[*plain, "session"]].itertuples(index=False, name=None)
+            for here, us, event, steps in zip(names, pdf["us"].tolist(), pdf["id"], flags.tolist(), strict=True):
                 if here != key:
-                    key, live, used = here, deque(), set()
-                while live and live[0]["us"] < row["us"] - window:
-                    used.discard(live.popleft()["id"])
-                parts = _walk_back(live, row, used, needed, gap) if row[f"s{k}"] else None
-                for i, part in enumerate(parts or []):
-                    for e in part:
-                        used.add(e["id"])
-                        found.append((*key[:-1], e["us"], e["id"], row["us"], row["id"], i))
-                live.append(row)
+                    key, waiting = here, _Waiting(needed, gap)
+                waiting.forget(us - window)
+                parts = waiting.complete((us, event)) if steps[-1] else []
+                found += [(*key[:-1], *e, us, event, i) for i, part in enumerate(parts) for e in part]
+                if not parts:
+                    waiting.add((us, event), steps)
             yield pd.DataFrame(found, columns=out.names)
 
     renamed = own.select(
@@ -526,19 +524,36 @@ def _many_steps(rows: DataFrame, keys: list[str], rule: dict, window: int) -> Da
     return rows.join(walked, [*keys, "us", "id"])
 
 
-def _walk_back(live: deque, final: dict, used: set, needed: list[int], gap: int | None):
-    """The parts of a sequence that ends at `final`, or None; `live` is one window of events."""
-    parts = [[final]]
-    for step in range(len(needed) - 2, -1, -1):
-        edge = parts[0][0]
-        part = [
-            e for e in live
-            if e[f"s{step + 1}"] and e["id"] not in used and (e["us"], e["id"]) < (edge["us"], edge["id"])
-        ]
-        if len(part) < needed[step] or (gap is not None and edge["us"] - part[-1]["us"] > gap):
-            return None
-        parts.insert(0, part)
-    return parts
+class _Waiting:
+    """Events of one session that no sequence has used: a line (time, id) per step but the last,
+    each in time order and one window long."""
+
+    def __init__(self, needed: list[int], gap: int | None):
+        self.needed, self.gap = [max(1, n) for n in needed[:-1]], gap
+        self.lines: list[list[tuple]] = [[] for _ in self.needed]
+
+    def add(self, event: tuple, steps: list[bool]) -> None:
+        for line, fits in zip(self.lines, steps, strict=False):
+            if fits:
+                line.append(event)
+
+    def forget(self, before: int) -> None:
+        for line in self.lines:
+            del line[: bisect_left(line, (before,))]
+
+    def complete(self, final: tuple) -> list[list[tuple]]:
+        """The parts of a sequence that this event ends, taken out of the lines; none if a step has
+        too few events ahead of the next one's first, or the last of them is too far from it."""
+        parts = [[final]]
+        for line, least in zip(reversed(self.lines), reversed(self.needed), strict=True):
+            first = parts[-1][0]
+            ahead = bisect_left(line, first)
+            if ahead < least or (self.gap is not None and first[0] - line[ahead - 1][0] > self.gap):
+                return []
+            parts.append(line[:ahead])
+        used = {event for part in parts for event in part}
+        self.lines = [[event for event in line if event not in used] for line in self.lines]
+        return parts[::-1]
 
 
 def detect_sequence(events: DataFrame, rule: dict) -> DataFrame:
