@@ -1,14 +1,18 @@
 """Benchmark decontamination: passages of documents that copy test items, edited copies included.
 
-Documents are read once for the n-grams of the test items. What they have of them is kept with the
-words around it: passages. Then the n-grams are counted over all documents, and those of an item that
-are not far more common than its others seed the search: a passage meets the items of whose seeds it
-has one. Each such pair is
-aligned by Smith-Waterman over words; its score is that of the alignment over the best possible for
-the item, and pairs from a threshold on are leaks.
-
-Test items are taken in blocks of bounded size, each sent to all tasks; every block reads the
-documents. Items with fewer words than an n-gram cannot be told from chance and match nothing, nor
+A document's score for an item is that of the best Smith-Waterman alignment over words, over the best
+possible for the item; from a threshold on it is a leak. No alignment that reaches the threshold is
+missed. If its m matches and e errors give 2m - e >= t, at most (2m - t) / 2 of the m - 1 steps from match
+to match hold two errors or more, so ceil(t / 2) - 1 steps (`need`) hold one at most: there, two words
+that are next to each other or one word apart in the item are so in the document, too. A document is
+aligned with an item where so many near pairs of the item begin within the longest span that such an
+alignment can have.
+
+Items are looked up by their rarer pairs: of the places where an item's pairs begin, all but the
+need - TIMES whose pairs most items share. TIMES of the steps above begin at the others.
+
+Documents are read once per block of test items, and not shuffled; blocks are of bounded size, each
+sent to all tasks. Items with fewer words than `gram` cannot be told from chance and match nothing, nor
 does null or empty text. Rows with a null doc_id give leaks with a null doc_id; repeated rows give
 one leak for a document and item, the best one. Ties go to the earliest place.
 """
@@ -26,83 +30,137 @@ from pyspark.sql import functions as F
 from emberwatch.llm.common import NO_ID, run_folder, small_or_shuffled, staged
 
 GRAM, SCORE, BLOCK_WORDS = 4, 0.5, 2_000_000
-#: An n-gram seeds no search if it is in more documents than the item's median n-gram, so many times.
-COMMON = 10
+#: So many of an item's rarer pairs lead to it; documents looked up at a time.
+TIMES, BATCH = 3, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 _TOKEN = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15
-_WRAP = 2**64 - 1
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-class Grams:
-    """The n-grams of a block of items: numbers of their words, and each gram's place in `keys`."""
-
-    def __init__(self, items: list[str], gram: int = GRAM):
-        self.gram = gram
-        split = [tokens(t) for t in items]
-        self.longest = max(map(len, split), default=0)
-        self.number = {w: k + 1 for k, w in enumerate(sorted({w for t in split for w in t}))}
-        of = [self.keys_of(self.numbers(t)) for t in split]
-        self.keys = np.unique(np.concatenate(of)) if of else np.empty(0, "u8")
-        self.of_item = [np.searchsorted(self.keys, k) for k in of]
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (length[0] numbers), then those of the next, and so on."""
+    skipped = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(begin - skipped, length)
+
+
+class Pairs:
+    """The near pairs of a block of items: which items have which, and by which an item is looked up."""
+
+    def __init__(self, items: list[str], gram: int = GRAM, score: float = SCORE):
+        if score * gram <= 1:
+            raise ValueError("a score that one word in common reaches tells nothing")
+        self.words = [tokens(t) for t in items]
+        self.number = {w: k + 1 for k, w in enumerate(sorted({w for t in self.words for w in t}))}
+        size = np.array([len(t) for t in self.words], "i8")
+        least = np.ceil(MATCH * score * size - 1e-9).astype("i8")
+        self.need = -(-least // MATCH) - 1
+        self.times = np.minimum(self.need, TIMES)
+        self.span = np.maximum(3 * size - least, 1)  # words of a document that such an alignment covers
+        owner, begin, key = [], [], []
+        for k, words in enumerate(self.words):
+            if len(words) >= gram:
+                at, of = self.pairs_of(self.numbers(words))
+                owner.append(np.full(len(at), k))
+                begin.append(at)
+                key.append(of)
+        none = np.empty(0, "i8")
+        owner, begin = (np.concatenate([none, *x]) for x in (owner, begin))
+        self.keys, pair = np.unique(np.concatenate([none, *key]), return_inverse=True)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(self.keys)] = True
+        # Rows by item: its pairs, each once.
+        owners, self.of_item = np.divmod(np.unique(owner * len(self.keys) + pair), max(1, len(self.keys)))
+        self.item_at = np.searchsorted(owners, np.arange(len(items) + 1))
+        # Rows by pair: the items that are looked up by it.
+        items_with = np.bincount(self.of_item, minlength=len(self.keys))
+        seeds = []
+        cuts = np.searchsorted(owner, np.arange(len(items) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a == b:
+                continue
+            common = np.bincount(begin[a:b], items_with[pair[a:b]])
+            rare = np.ones(len(common), bool)
+            rare[np.argsort(-common, kind="stable")[: self.need[k] - self.times[k]]] = False
+            of = np.unique(pair[a:b][rare[begin[a:b]]])
+            seeds.append(np.stack([of, np.full(len(of), k)]))
+        rows = np.concatenate([np.empty((2, 0), "i8"), *seeds], axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        self.seeded, self.seed_at = rows[1], np.searchsorted(rows[0], np.arange(len(self.keys) + 1))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.number.get
-        return np.array([get(w, 0) for w in words], "u8")
-
-    def keys_of(self, numbers: np.ndarray) -> np.ndarray:
-        n = max(0, len(numbers) - self.gram + 1)
-        key = np.zeros(n, "u8")
-        for k in range(self.gram):
-            key = (key + numbers[k : k + n]) * np.uint64(_ODD)
-            key ^= key >> np.uint64(29)
-        return key
-
-    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a gram of some item begins, and which."""
-        n = len(numbers) - self.gram + 1
-        if n < 1 or not len(self.keys):
-            return np.empty(0, "i8"), np.empty(0, "i8")
-        whole = numbers[:n] > 0
-        for k in range(1, self.gram):
-            whole &= numbers[k : k + n] > 0
-        at = np.flatnonzero(whole)
+        return np.array([get(w, 0) for w in words], "i8")
+
+    @staticmethod
+    def pairs_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a pair of known words begins, and which; the words are neighbours or one word apart."""
+        at = np.flatnonzero(numbers)
+        where = [at[:0]]
+        keys = [at[:0]]
+        for far in (1, 2):
+            here = at[at < len(numbers) - far]
+            other = numbers[here + far]
+            here, other = here[other > 0], other[other > 0]
+            where.append(here)
+            keys.append((numbers[here] << 32) | other)
+        return np.concatenate(where), np.concatenate(keys)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype("u8") * np.uint64(_ODD)) >> np.uint64(44)
+
+    def regions(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(document, item, first and past-the-last word) of the parts of documents to align."""
+        # Laid end to end; two unknown words between documents keep pairs within each.
+        start = np.cumsum([0, *[len(n) + 2 for n in docs]])
+        flat = np.zeros(int(start[-1]), "i8")
+        for at, numbers in zip(start.tolist(), docs, strict=False):
+            flat[at : at + len(numbers)] = numbers
+        at, key = self.pairs_of(flat)
+        maybe = self.maybe[self._slot(key)]
+        at, key = at[maybe], key[maybe]
         if not len(at):
-            return at, at
-        key = np.zeros(len(at), "u8")
-        for k in range(self.gram):
-            key = (key + numbers[at + k]) * np.uint64(_ODD)
-            key ^= key >> np.uint64(29)
-        near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[near] == key
-        return at[hit], near[hit]
-
-
-def _passages(shared):
-    """Per document with grams of items: windows of its words, the first one's place, the grams in it."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams: Grams = shared.value
-        around = grams.longest
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc"], frame["text"], strict=True):
-                words = tokens(text)
-                at, which = grams.places(grams.numbers(words))
-                if not len(at):
-                    continue
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > around) + 1):
-                    a = max(0, int(at[part[0]]) - around)
-                    b = int(at[part[-1]]) + grams.gram + around
-                    found = np.unique(which[part]).astype("i4").tolist()
-                    rows.append((doc, a, " ".join(words[a:b]), found))
-            yield pd.DataFrame(rows, columns=["doc", "start", "words", "grams"])
-
-    return run
+            return []
+        pair = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[pair] == key
+        at, pair = at[hit], pair[hit]
+        doc = np.searchsorted(start, at, "right") - 1
+        n_items, n_keys = len(self.words), len(self.keys)
+        owners = self.seed_at[pair + 1] - self.seed_at[pair]
+        met = np.repeat(doc, owners) * n_items + self.seeded[_ranges(self.seed_at[pair], owners)]
+        met, times = np.unique(met, return_counts=True)
+        met = met[times >= self.times[met % n_items]]
+        if not len(met):
+            return []
+        # All near pairs of the items met, where the document has them.
+        doc_pair = doc * n_keys + pair
+        order = np.argsort(doc_pair, kind="stable")
+        at, doc_pair = at[order], doc_pair[order]
+        items = met % n_items
+        own = self.item_at[items + 1] - self.item_at[items]
+        wanted = np.repeat(met // n_items, own) * n_keys + self.of_item[_ranges(self.item_at[items], own)]
+        low, high = np.searchsorted(doc_pair, wanted), np.searchsorted(doc_pair, wanted, "right")
+        which = np.repeat(np.repeat(np.arange(len(met)), own), high - low)
+        which, place = np.divmod(np.unique(which * len(flat) + at[_ranges(low, high - low)]), len(flat))
+        # The need-th place from each on, if there is one and it is within the span.
+        need, span = self.need[items][which], self.span[items][which]
+        last = np.arange(len(which)) + need - 1
+        inside = np.minimum(last, len(which) - 1)
+        dense = (last < len(which)) & (which[inside] == which) & (place[inside] - place < span)
+        found: list[tuple[int, int, int, int]] = []
+        for k in np.flatnonzero(dense).tolist():
+            d, i = (int(x) for x in np.divmod(met[which[k]], n_items))
+            a = max(0, int(place[k] - start[d] - span[k]))
+            b = min(len(docs[d]), int(place[inside[k]] - start[d] + span[k]) + 2)
+            if found and found[-1][:2] == (d, i) and a <= found[-1][3]:
+                found[-1] = (d, i, found[-1][2], b)
+            else:
+                found.append((d, i, a, b))
+        return found
 
 
 def align(item: list[str], passage: list[str]) -> tuple[int, int, int]:
@@ -131,14 +189,21 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int, int]:
     return best, *span
 
 
-def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for doc, start, words, item_id, item in zip(*(frame[c] for c in ("doc", "start", "words", "item_id", "item")), strict=True):
-            wanted = tokens(item)
-            score, a, b = align(wanted, words.split(" "))
-            rows.append((doc, item_id, score / (MATCH * len(wanted)), start + a, start + b))
-        yield pd.DataFrame(rows, columns=["doc", "item_id", "score", "first_word", "past_word"])
+def _search(shared, numbers: list[int], score: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: Pairs = shared.value
+        for frame in frames:
+            docs, rows = frame["doc"].tolist(), []
+            for begin in range(0, len(docs), BATCH):
+                split = [tokens(t) for t in frame["text"].iloc[begin : begin + BATCH]]
+                for d, k, a, b in pairs.regions([pairs.numbers(words) for words in split]):
+                    item = pairs.words[k]
+                    best, first, past = align(item, split[d][a:b])
+                    if best >= score * MATCH * len(item) - 1e-9:
+                        rows.append((docs[begin + d], numbers[k], best / (MATCH * len(item)), a + first, a + past))
+            yield pd.DataFrame(rows, columns=["doc", "item", "score", "first_word", "past_word"])
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SCORE) -> DataFrame:
@@ -147,44 +212,23 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SC
     spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     kept = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    kept = staged(kept.groupBy("item_id").agg(F.min("text").alias("text")), folder, "items")
+    kept = kept.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("item", F.monotonically_increasing_id())
+    kept = staged(kept, folder, "items")
     blocks = max(1, -(-int(kept.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * BLOCK_WORDS)))
-    parts = [
-        _of_block(texts, kept.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), f"{folder}/{k}", gram)
-        for k in range(blocks)
-    ]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    found = None
+    for k in range(blocks):
+        rows = kept.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "text").collect()  # of bounded size
+        pairs = spark.sparkContext.broadcast(Pairs([r["text"] for r in rows], gram, score))
+        kinds = "doc long, item long, score double, first_word long, past_word long"
+        part = texts.mapInPandas(_search(pairs, [r["item"] for r in rows], score), kinds)
+        found = part if found is None else found.unionByName(part)
     best = F.max_by(F.struct("score", "first_word", "past_word"), F.struct("score", -F.col("first_word")))
-    found = found.where(F.col("score") >= score).groupBy("doc", "item_id").agg(best.alias("best"))
+    found = found.groupBy("doc", "item").agg(best.alias("best"))
+    found = found.join(small_or_shuffled(kept.select("item", "item_id")), "item")
     doc = F.when(F.col("doc") != NO_ID, F.col("doc"))
     return found.select(doc.alias("doc_id"), "item_id", "best.*")
 
 
-def _of_block(texts: DataFrame, items: DataFrame, folder: str, gram: int) -> DataFrame:
-    spark = texts.sparkSession
-    rows = items.collect()  # of bounded size
-    grams = Grams([r["text"] for r in rows], gram)
-    kinds = "doc long, start long, words string, grams array<int>"
-    passages = texts.mapInPandas(_passages(spark.sparkContext.broadcast(grams)), kinds)
-    passages = staged(passages.withColumn("passage", F.monotonically_increasing_id()), folder, "passages")
-    places = [(r["item_id"], int(g)) for r, of in zip(rows, grams.of_item, strict=True) for g in np.unique(of)]
-    item_type = items.schema["item_id"].dataType.simpleString()
-    owned = spark.createDataFrame(places, f"item_id {item_type}, gram int")
-    hits = passages.select("doc", "passage", F.explode("grams").alias("gram"))
-    often = hits.groupBy("gram").agg(F.count_distinct("doc").alias("n_docs"))
-    seeds = owned.join(often, "gram")
-    middle = seeds.groupBy("item_id").agg(F.percentile("n_docs", F.lit(0.5)).alias("middle"))
-    seeds = seeds.join(middle, "item_id").where(F.col("n_docs") <= COMMON * F.col("middle")).select("item_id", "gram")
-    seeds = small_or_shuffled(staged(seeds, folder, "seeds"))
-    pairs = hits.join(seeds, "gram").select("passage", "item_id").distinct()
-    named = small_or_shuffled(items.withColumnRenamed("text", "item"))
-    wanted = passages.drop("grams").join(pairs, "passage").join(named, "item_id")
-    wanted = wanted.select("doc", "start", "words", "item_id", "item").repartition("doc", "start", "item_id")
-    return wanted.mapInPandas(_score, f"doc long, item_id {item_type}, score double, first_word long, past_word long")
-
-
 def drop_leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SCORE) -> DataFrame:
     """The documents that copy no item, with all their columns."""
     found = leaks(docs, items, gram, score).select(F.col("doc_id").alias("_leak")).distinct()

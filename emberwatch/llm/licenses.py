@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import NO_ID
-from emberwatch.llm.decontaminate import Grams, tokens
+from emberwatch.llm.decontaminate import tokens
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.8
 _TOKEN = re.compile(r"\w+")
+_ODD = 0x9E3779B97F4A7C15
 
 #: The wording of public license notices.
 TEMPLATES = {
@@ -61,6 +62,50 @@ TEMPLATES = {
 }
 
 
+class Grams:
+    """The n-grams of a block of items: numbers of their words, and each gram's place in `keys`."""
+
+    def __init__(self, items: list[str], gram: int):
+        self.gram = gram
+        split = [tokens(t) for t in items]
+        self.longest = max(map(len, split), default=0)
+        self.number = {w: k + 1 for k, w in enumerate(sorted({w for t in split for w in t}))}
+        of = [self.keys_of(self.numbers(t)) for t in split]
+        self.keys = np.unique(np.concatenate(of)) if of else np.empty(0, "u8")
+        self.of_item = [np.searchsorted(self.keys, k) for k in of]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(w, 0) for w in words], "u8")
+
+    def keys_of(self, numbers: np.ndarray) -> np.ndarray:
+        n = max(0, len(numbers) - self.gram + 1)
+        key = np.zeros(n, "u8")
+        for k in range(self.gram):
+            key = (key + numbers[k : k + n]) * np.uint64(_ODD)
+            key ^= key >> np.uint64(29)
+        return key
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a gram of some item begins, and which."""
+        n = len(numbers) - self.gram + 1
+        if n < 1 or not len(self.keys):
+            return np.empty(0, "i8"), np.empty(0, "i8")
+        whole = numbers[:n] > 0
+        for k in range(1, self.gram):
+            whole &= numbers[k : k + n] > 0
+        at = np.flatnonzero(whole)
+        if not len(at):
+            return at, at
+        key = np.zeros(len(at), "u8")
+        for k in range(self.gram):
+            key = (key + numbers[at + k]) * np.uint64(_ODD)
+            key ^= key >> np.uint64(29)
+        near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[near] == key
+        return at[hit], near[hit]
+
+
 def winnow(keys: np.ndarray, window: int = WINNOW) -> np.ndarray:
     """Places of the smallest key of every `window` consecutive ones; all of a shorter row are one."""
     if len(keys) <= window:

@@ -93,6 +93,15 @@ def test_leaks_match_plain_alignment(spark, docs):
     assert decontaminate.leaks(given, table.limit(0)).count() == 0
 
 
+def test_leaks_by_common_passages_of_an_item(spark):
+    words = [f"q{k}" for k in range(40)]
+    texts = {0: "before " + " ".join(words) + " after"} | {k: f"some{k} {' '.join(words[:20])} more{k}" for k in range(1, 12)}
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(given, table).collect()}
+    assert got == plain.leaking(texts, {1: " ".join(words)}) == {(k, 1) for k in range(12)}
+
+
 def test_alignment_score_is_that_of_the_plain_one():
     a, b = plain.paragraph(1).split(), plain.paragraph(3).split()
     assert decontaminate.align(a, b)[0] == plain.smith_waterman(a, b)
