@@ -102,6 +102,22 @@ def test_leaks_by_common_passages_of_an_item(spark):
     assert got == plain.leaking(texts, {1: " ".join(words)}) == {(k, 1) for k in range(12)}
 
 
+def test_leaks_without_intact_runs(spark):
+    items = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in (4, 5, 15, 16, 37, 59)}
+    texts = {0: "no copy of any item"}
+    for n, item in items.items():
+        words = item.split()
+        for every in (3, 4):
+            texts[len(texts)] = "x y " + " ".join("new" if k % every == every - 1 else w for k, w in enumerate(words)) + " z"
+            texts[len(texts)] = " ".join(w for k, w in enumerate(words) if k % every)
+        for every in (1, 2, 3):
+            texts[len(texts)] = " ".join(w + " new" * (k % every == 0) for k, w in enumerate(words))
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(given, table).collect()}
+    assert got == plain.leaking(texts, items) and len(got) > 25
+
+
 def test_alignment_score_is_that_of_the_plain_one():
     a, b = plain.paragraph(1).split(), plain.paragraph(3).split()
     assert decontaminate.align(a, b)[0] == plain.smith_waterman(a, b)
