@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import plain
 import pytest
 
@@ -119,6 +120,20 @@ def test_words_beyond_the_known_ones_are_scored_alike(spark, docs, monkeypatch):
         assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=0.2)
 
 
+@pytest.mark.parametrize("n", [40, 1500])
+def test_every_training_document_teaches_once(spark, monkeypatch, n):
+    given = spark.createDataFrame([(k, f"a b {k}") for k in range(n)] + [(None, None)], "doc_id long, text string")
+    taught = [r["doc_id"] for turn in range(lm_score.ROUNDS) for r in lm_score.lessons(given, turn).collect()]
+    assert Counter(taught) == Counter([*range(n), None])
+    weights = []
+    monkeypatch.setattr(lm_score, "staged", lambda df, folder, name: weights.append(df) or df)
+    top = pd.DataFrame({"h": lm_score.Names().of([b"a", b"b"]), "c": [n, n]})
+    shared = spark.sparkContext.broadcast(lm_score.Vocabulary(top, 4 * n, n + 2))
+    lm_score.fit(given, shared, "")
+    rounds = [df for df in weights if df.count()]
+    assert sum(r["weight"] for df in rounds for r in df.collect()) == 4 * n + 1  # three words and an end each, and the null text's end
+
+
 def test_scores_edges(spark):
     odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (30, None)], "doc_id long, text string")
     got = lm_score.log_likelihood(odd).collect()
