@@ -1,14 +1,17 @@
 """License scans: where documents carry a license notice, how much of it, and from where to where.
 
 Templates are winnowed: of every few consecutive word n-grams the one of smallest hash is a fingerprint,
-and an inverted index leads from fingerprints to templates and places in them. A document looks up all
-its n-grams, so a notice of any length is met if one fingerprint of it is intact. Hits of a template on
-like diagonals are one candidate, which is aligned with the template within a band around them: the
-longest common subsequence of words there gives coverage and span.
+and an inverted index leads from fingerprints to templates and places in them. Of short templates all
+pairs of neighbouring words are fingerprints, as an edit may hit the few that winnowing leaves. A document
+looks up all its n-grams, so a notice of any length is met if one fingerprint of it is intact. Hits of a
+template on like diagonals are one candidate, which is aligned with the template within a band around
+them: the longest common subsequence of words there gives coverage and span. License tags (SPDX) are exact
+names and are read as they stand, with coverage 1.
 
 The templates are a fixed, small set and go to all tasks; documents are not shuffled. Null or empty text
 has no hits. A document has a row per place where it carries a notice; places of one template that
-overlap are one row, the best one, ties to the earliest. Repeated rows are scanned each for itself.
+overlap are one row, the best one, ties to the earliest; so are places of like templates (LGPL, GPL) that
+cover nearly the same words. Repeated rows are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -26,6 +29,11 @@ from emberwatch.llm.common import NO_ID
 from emberwatch.llm.decontaminate import tokens
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.8
+#: Templates of fewer words have all their pairs of words in the index.
+SHORT = 24
+#: Places of two templates are the same if they share so much of the longer one.
+SAME = 0.75
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][\w.+-]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[A-Za-z0-9][\w.+-]*\)?)*)")
 _TOKEN = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15
 
@@ -59,6 +67,47 @@ TEMPLATES = {
     "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a
         copy of the MPL was not distributed with this file, You can obtain one at
         https://mozilla.org/MPL/2.0/.""",
+    "AGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms
+        of the GNU Affero General Public License as published by the Free Software Foundation, either version 3
+        of the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "BSD conditions": """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: Redistributions of source code must retain the
+        above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary
+        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution.""",
+    "BSD notice": "Released under the BSD License.",
+    "BSD-3-Clause endorsement": """Neither the name of the copyright holder nor the names of its contributors may
+        be used to endorse or promote products derived from this software without specific prior written
+        permission.""",
+    "CC-BY-4.0 short notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 notice": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0
+        International License.""",
+    "CC-BY-SA-4.0 short notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0 notice": """To the extent possible under law, the author has waived all copyright and related or
+        neighboring rights to this work.""",
+    "GPL-2.0 header": """This program is free software; you can redistribute it and/or modify it under the terms
+        of the GNU General Public License as published by the Free Software Foundation; either version 2 of
+        the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 header": """This library is free software; you can redistribute it and/or modify it under the terms
+        of the GNU Lesser General Public License as published by the Free Software Foundation; either version
+        2.1 of the License, or (at your option) any later version. This library is distributed in the hope that
+        it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms
+        of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3
+        of the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "MIT warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 
@@ -120,19 +169,24 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [tokens(templates[n]) for n in self.names]
-        self.grams = Grams([templates[n] for n in self.names], GRAM)
-        self.marks: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, of in enumerate(self.grams.of_item):
-            for place in winnow(self.grams.keys[of]):
-                self.marks[int(of[place])].append((k, int(place)))
+        short = [len(words) < SHORT for words in self.words]
+        self.tables = []
+        for gram, mine in ((GRAM, [not s for s in short]), (2, short)):
+            grams = Grams([templates[n] if m else "" for n, m in zip(self.names, mine, strict=True)], gram)
+            marks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for k, of in enumerate(grams.of_item):
+                for place in range(len(of)) if short[k] else winnow(grams.keys[of]):
+                    marks[int(of[place])].append((k, int(place)))
+            self.tables.append((grams, marks))
 
     def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(template, least and greatest diagonal) of hits that lie within one band."""
-        at, which = self.grams.places(self.grams.numbers(words))
         hits = defaultdict(list)
-        for place, gram in zip(at.tolist(), which.tolist(), strict=True):
-            for k, inside in self.marks.get(gram, ()):
-                hits[k].append(place - inside)
+        for grams, marks in self.tables:
+            at, which = grams.places(grams.numbers(words))
+            for place, gram in zip(at.tolist(), which.tolist(), strict=True):
+                for k, inside in marks.get(gram, ()):
+                    hits[k].append(place - inside)
         found = []
         for k, diagonals in hits.items():
             diagonals.sort()
@@ -176,17 +230,28 @@ def find(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tup
         count, a, b = align(index.words[k], words, low, high)
         if count >= coverage * len(index.words[k]):
             found.append((k, count, a, b))
+    tags = [(f"SPDX {' '.join(m[1].split())}", 1.0, *m.span()) for m in _SPDX.finditer(text or "")]
     if not found:
-        return []
+        return tags
     chosen: list[tuple[int, int, int, int]] = []
     for k, count, a, b in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
         if all(k != other or b <= c or a >= d for other, _, c, d in chosen):
             chosen.append((k, count, a, b))
+    best = [one for one in chosen if not any(_better(index, other, one) for other in chosen)]
     # Lower-casing may change a text's length, so places are those of the words as they stand.
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if len(spans) != len(words):
         spans = [m.span() for m in _TOKEN.finditer(text.lower())]
-    return sorted((index.names[k], n / len(index.words[k]), spans[a][0], spans[b - 1][1]) for k, n, a, b in chosen)
+    return sorted(
+        [*tags, *((index.names[k], n / len(index.words[k]), spans[a][0], spans[b - 1][1]) for k, n, a, b in best)]
+    )
+
+
+def _better(index: Index, one: tuple, other: tuple) -> bool:
+    """Whether one place is nearly that of the other and its template fits better."""
+    (k, n, a, b), (i, m, c, d) = one, other
+    same = min(b, d) - max(a, c) >= SAME * max(b - a, d - c)
+    return k != i and same and (n / len(index.words[k]), n) > (m / len(index.words[i]), m)
 
 
 def _scan(shared, coverage: float):

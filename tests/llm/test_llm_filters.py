@@ -143,6 +143,29 @@ def test_license_spans(spark):
     assert licenses.scan(given.limit(0)).count() == 0
 
 
+def test_short_notices_with_an_edit_at_every_place():
+    index = licenses.Index(licenses.TEMPLATES)
+    found = lambda text: [h[0] for h in licenses.find(index, text)]
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.tokens(template)
+        assert found(f"Intro. {template} Outro") == [name] or name == "Apache-2.0 header"
+        if 5 <= len(words) < licenses.SHORT:
+            for k in range(len(words)):
+                for edit in ([], ["edited"]):
+                    text = " ".join(["x y", *words[:k], *edit, *words[k + 1 :], "z"])
+                    index_of_one = licenses.Index({name: template})
+                    assert [h[0] for h in licenses.find(index_of_one, text)] == [name]
+                    assert found(text)
+    assert found("Released under MIT License") == ["MIT notice"]
+
+
+def test_license_tags():
+    text = "// SPDX-License-Identifier: MIT OR Apache-2.0\n# SPDX-License-Identifier: GPL-2.0-only */"
+    hits = licenses.find(licenses.Index(licenses.TEMPLATES), text)
+    assert [h[:2] for h in hits] == [("SPDX MIT OR Apache-2.0", 1.0), ("SPDX GPL-2.0-only", 1.0)]
+    assert text[hits[0][2] : hits[0][3]] == "SPDX-License-Identifier: MIT OR Apache-2.0"
+
+
 def test_language_on_held_out_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("score", table_clash())
     got = language.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
