@@ -14,7 +14,8 @@ need - TIMES whose pairs most items share. TIMES of the steps above begin at the
 Documents are read once per block of test items, and not shuffled; blocks are of bounded size, each
 sent to all tasks. Items with fewer words than `gram` cannot be told from chance and match nothing, nor
 does null or empty text. Rows with a null doc_id give leaks with a null doc_id; repeated rows give
-one leak for a document and item, the best one. Ties go to the earliest place.
+one leak for a document and item, the best one, and so do several texts of an item; items with a null
+item_id have no name to report and are searched by drop_leaks only. Ties go to the earliest place.
 """
 
 from __future__ import annotations
@@ -212,7 +213,7 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SC
     spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     kept = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    kept = kept.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("item", F.monotonically_increasing_id())
+    kept = kept.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id())
     kept = staged(kept, folder, "items")
     blocks = max(1, -(-int(kept.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * BLOCK_WORDS)))
     found = None
@@ -223,15 +224,17 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SC
         part = texts.mapInPandas(_search(pairs, [r["item"] for r in rows], score), kinds)
         found = part if found is None else found.unionByName(part)
     best = F.max_by(F.struct("score", "first_word", "past_word"), F.struct("score", -F.col("first_word")))
-    found = found.groupBy("doc", "item").agg(best.alias("best"))
     found = found.join(small_or_shuffled(kept.select("item", "item_id")), "item")
+    found = found.groupBy("doc", "item_id").agg(best.alias("best"))
     doc = F.when(F.col("doc") != NO_ID, F.col("doc"))
     return found.select(doc.alias("doc_id"), "item_id", "best.*")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, score: float = SCORE) -> DataFrame:
-    """The documents that copy no item, with all their columns."""
-    found = leaks(docs, items, gram, score).select(F.col("doc_id").alias("_leak")).distinct()
+    """The rows that copy no item, with all their columns; other rows of a leaking doc_id stay."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    found = leaks(rows, items.select(F.xxhash64("text").alias("item_id"), "text"), gram, score)
+    found = found.select(F.col("doc_id").alias("_leak")).distinct()
     folder = run_folder(docs.sparkSession)
     found = small_or_shuffled(staged(found, folder, "leaking"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == found["_leak"], "left_anti")

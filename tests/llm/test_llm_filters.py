@@ -118,6 +118,17 @@ def test_leaks_without_intact_runs(spark):
     assert got == plain.leaking(texts, items) and len(got) > 25
 
 
+def test_leaks_of_repeated_and_null_ids(spark):
+    copies = {n: " ".join(f"{n}{k}" for k in range(20)) for n in "abc"}
+    texts = [(None, copies["a"]), (None, "clean"), (1, copies["b"]), (1, "clean too"), (2, copies["c"]), (3, None)]
+    given = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([(7, copies["a"]), (7, copies["b"]), (None, copies["c"])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(given, table).collect()}
+    assert got == {(None, 7), (1, 7)}
+    left = {(r["doc_id"], r["text"]) for r in decontaminate.drop_leaks(given, table).collect()}
+    assert left == {(None, "clean"), (1, "clean too"), (3, None)}
+
+
 def test_alignment_score_is_that_of_the_plain_one():
     a, b = plain.paragraph(1).split(), plain.paragraph(3).split()
     assert decontaminate.align(a, b)[0] == plain.smith_waterman(a, b)
