@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontaminate, jaccard_join, language, licenses, line_dedup, lm_score, packing, quality, sql, url_templates, warc
+from emberwatch.llm import decontaminate, jaccard_join, language, licenses, line_dedup, lm_score, packing, quality, simhash, sql, url_templates, warc
 from emberwatch.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.link(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, sql.QUALITY),
     "op2_url_filters": (op2_url_filters, sql.URLS),
@@ -67,6 +71,7 @@ QUERIES = {
     "op7_language_id": (op7_language_id, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
+    "op13_simhash_near_dedup": (op13_simhash_near_dedup, None),
 }
 
 
