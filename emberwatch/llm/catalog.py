@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import decontaminate, hard_negatives, jaccard_join, language, licenses, line_dedup, lm_score, packing, quality, simhash, sql, url_templates, warc
+from emberwatch.llm import collocations, decontaminate, hard_negatives, jaccard_join, language, licenses, line_dedup, lm_score, packing, quality, simhash, sql, url_templates, warc
 from emberwatch.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents", "lang", "text"))
+
+
 def op12_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
     rows = hard_negatives.prepared(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
@@ -77,6 +81,7 @@ QUERIES = {
     "op7_language_id": (op7_language_id, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
+    "op11_phrase_collocations": (op11_phrase_collocations, sql.COLLOCATIONS),
     "op12_hard_negative_mining": (op12_hard_negative_mining, sql.HARD_NEGATIVES),
     "op13_simhash_near_dedup": (op13_simhash_near_dedup, None),
 }

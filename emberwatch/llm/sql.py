@@ -198,3 +198,51 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
 QUALIFY rank <= 3
 """
+
+def collocations(least: int = 100, top: int = 2000) -> str:
+    return f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOWER}) AS text
+    FROM documents
+), pieces AS (
+    SELECT r, lang, unnest(string_split_regex(text, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM texts
+), split AS (
+    SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM pieces
+), words AS (
+    SELECT p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split
+), runs AS (
+    SELECT lang, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
+    FROM words WINDOW o AS (PARTITION BY p ORDER BY i)
+), counts AS MATERIALIZED (
+    SELECT lang, phrase, size, count(*) AS f FROM (
+        SELECT lang, w AS phrase, 1 AS size FROM runs
+        UNION ALL SELECT lang, w || ' ' || w1, 2 FROM runs WHERE w1 IS NOT NULL
+        UNION ALL SELECT lang, w || ' ' || w1 || ' ' || w2, 3 FROM runs WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, w || ' ' || w1 || ' ' || w2 || ' ' || w3, 4 FROM runs WHERE w3 IS NOT NULL
+        UNION ALL SELECT lang, w || ' ' || w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 5 FROM runs WHERE w4 IS NOT NULL)
+    GROUP BY ALL HAVING count(*) >= {least}
+), totals AS (
+    SELECT lang, count(*) AS n FROM words GROUP BY lang
+), longer AS (
+    SELECT lang, f, string_split(phrase, ' ') AS ws FROM counts WHERE size > 2
+), inside AS (
+    SELECT DISTINCT lang, f, array_to_string(part, ' ') AS phrase
+    FROM (SELECT lang, f, unnest([ws[:-2], ws[2:]]) AS part FROM longer)
+), cuts AS (
+    SELECT c.lang, phrase, f AS a, k, array_to_string(ws[:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+    FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k
+        FROM counts ANTI JOIN inside USING (lang, phrase, f) WHERE size > 1) c
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail
+    JOIN totals t ON t.lang = c.lang
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+    a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= {top}
+"""
+
+
+COLLOCATIONS = collocations()
