@@ -45,7 +45,7 @@ RULES = [
     Rule("few letters", r"2 * regexp_count(text, '\\p{L}') < word_chars", "word_chars"),
 ]
 
-_TRIMMED = "btrim(text, ' \\t\\n\\u000b\\f\\r')"
+_TRIMMED = "btrim(text, ' \\t\\n\\u000b\\u000c\\r')"  # SQL strings know no \f
 _WORDS = f"CASE WHEN {_TRIMMED} = '' THEN cast(array() AS array<string>) ELSE split({_TRIMMED}, '{BLANK}+') END"
 _LINES = r"filter(split(text, '\n'), x -> x RLIKE '[^ \\t\\n\\x0B\\f\\r]')"
 _HASHES = f"""CASE WHEN n_words < {WINDOW} THEN cast(array() AS array<bigint>)

@@ -25,6 +25,16 @@ def test_quality_matches_sql(spark, docs):
     assert {r["doc_id"] for r in stays.collect()} == {d for d, k in kept.items() if k}
 
 
+def test_quality_counts_words_between_any_blanks(spark):
+    body = " ".join(f"w{k}" for k in range(30))
+    ends = [*plain.BLANKS, *"tnfrxu0bc\\", "f\f", "\ff", "\x1c", "\x85"]
+    texts = [f"{a}{body}{b}" for a in ends for b in ends]
+    got = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.collect():
+        words = plain.WORD.findall(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"]) == (len(words), sum(map(len, words))), repr(texts[r["doc_id"]])
+
+
 def test_quality_edges(spark):
     odd = spark.createDataFrame(plain.rows([None, None, 3, 3]), SCHEMA)
     assert quality.judge(odd).count() == 4
