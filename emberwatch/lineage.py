@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     does not cause the plan behind them to run again."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table of the shared folder: later plans read only the columns they
+    need, and losing an executor repeats a read."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/emberwatch/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ from emberwatch.functions.conditions import (
     require_group,
 )
 from emberwatch.functions.net import to_network
+from emberwatch.lineage import stored
 from emberwatch.operators import slices as S
 
 FACTS = {"value": "string", "history_count": "bigint", "indicator": "string", "step_no": "int"}
@@ -465,67 +466,90 @@ def _two_steps(rows: DataFrame, keys: list[str], rule: dict, window: int) -> Dat
     )
 
 
+#: Rows of one piece of a key's timeline, but for a single short span of time that has more.
+PIECE_ROWS = 20_000
+LEFT = "array<struct<step:int,us:bigint,id:string>>"
+
+
+def _pieces(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Adds `_p`: each key's timeline in pieces of consecutive short slices, by rows and not by time, so a
+    busy key or hour has more of them."""
+    placed = S.own_slice(rows, max(window // 16, 1_000_000))
+    before = S.prefix_counts(placed, keys, F.lit(1))
+    piece = F.floor(F.col("_before") / PIECE_ROWS).cast("bigint").alias("_p")
+    return placed.join(before.select(*keys, "_s", piece), [*keys, "_s"]).drop("_s")
+
+
 def _many_steps(rows: DataFrame, keys: list[str], rule: dict, window: int) -> DataFrame:
-    """Three or more steps: a key's quiet-separated sessions are sorted and walked as a stream,
-    keeping only one window of events in memory."""
-    k, plain = len(rule["steps"]), [c[1:] for c in keys]
+    """Three or more steps. What a piece finds depends on the events that are still unused when it begins,
+    which is what the piece before it leaves over. So every piece is first played as if nothing was left
+    over; then those whose beginning turns out different are played again, until none does. By induction
+    along a key the result is that of playing it in one go. Mostly two or three turns are enough, as
+    what a piece leaves over seldom depends on its beginning; no key or session is played in one task."""
+    k = len(rule["steps"])
     gap = micros(rule.get("max_gap"))
     needed = [rule["threshold"], *[s.get("min_count", 1) for s in rule["steps"][1:]]]
-    light = rows.select(*keys, "us", "id", *[f"s{i + 1}" for i in range(k)])
-    w = S.by_slice(keys, "us", "id")
-    width = S.width_for(window)
-    placed = S.spread(S.look_back(light, width, window), keys)
-    start = F.col("us") - F.lag("us").over(w)
-    own = placed.withColumn("_gap", start).filter("_own").withColumn(
-        "_piece",
-        F.max(F.when(F.col("_gap").isNull() | (F.col("_gap") > window), F.col("us"))).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    pieces = own.groupBy(*keys, "_s", "_piece").agg(F.lit(1).alias("_one"))
-    line = Window.partitionBy(*keys).orderBy("_s", F.col("_piece").asc_nulls_first())
-    named = pieces.withColumn(
-        "_session", F.last("_piece", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_pk", F.coalesce("_piece", F.lit(-1)))
-    own = own.withColumn("_pk", F.coalesce("_piece", F.lit(-1))).join(
-        named.select(*keys, "_s", "_pk", "_session"), [*keys, "_s", "_pk"]
-    )
+    flags = [f"s{i + 1}" for i in range(k)]
+    place = [*keys, "_p"]
+    light = stored(_pieces(rows.select(*keys, "us", "id", *flags), keys, window))
+    begins = light.groupBy(*place).agg(F.min("us").alias("_begin"))
+    line = stored(begins.withColumn("_prev", F.lag("_p").over(Window.partitionBy(*keys).orderBy("_p"))))
+    names = [f for f in light.schema.fields if f.name in place]
     out = T.StructType(
-        [*[f for f in light.schema.fields if f.name in (*keys, "us", "id")],
+        [*names, *[f for f in light.schema.fields if f.name in ("us", "id")],
          T.StructField("final_us", T.LongType()), T.StructField("final_id", T.StringType()),
-         T.StructField("step_no", T.IntegerType())]
+         T.StructField("step_no", T.IntegerType()), T.StructField("l_step", T.ArrayType(T.IntegerType())),
+         T.StructField("l_us", T.ArrayType(T.LongType())), T.StructField("l_id", T.ArrayType(T.StringType()))]
     )
 
-    def stream(batches):
-        key, waiting = None, _Waiting(needed, gap)
-        for pdf in batches:
-            found = []
-            flags = pdf[[f"s{i + 1}" for i in range(k)]].to_numpy(bool)
-            names = pdf[[*plain, "session"]].itertuples(index=False, name=None)
-            for here, us, event, steps in zip(names, pdf["us"].tolist(), pdf["id"], flags.tolist(), strict=True):
-                if here != key:
-                    key, waiting = here, _Waiting(needed, gap)
-                waiting.forget(us - window)
-                parts = waiting.complete((us, event)) if steps[-1] else []
-                found += [(*key[:-1], *e, us, event, i) for i, part in enumerate(parts) for e in part]
-                if not parts:
-                    waiting.add((us, event), steps)
-            yield pd.DataFrame(found, columns=out.names)
-
-    renamed = own.select(
-        *[F.col(c).alias(c[1:]) for c in keys], F.col("_session").alias("session"), "us", "id",
-        *[f"s{i + 1}" for i in range(k)],
-    )
-    walked = (
-        renamed.repartition(*plain, "session")
-        .sortWithinPartitions(*plain, "session", "us", "id")
-        .mapInPandas(stream, out)
-    )
-    return rows.join(walked, [*keys, "us", "id"])
+    def play(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(asked):
+            return pd.DataFrame(columns=out.names)
+        here = tuple(pdf[place].iloc[0])
+        waiting, found = _Waiting(needed, gap), []
+        for left in asked["left"].iloc[0]:
+            waiting.lines[left["step"]].append((left["us"], left["id"]))
+        pdf = pdf.sort_values(["us", "id"])
+        for us, event, steps in zip(pdf["us"].tolist(), pdf["id"], pdf[flags].to_numpy(bool).tolist(), strict=True):
+            waiting.forget(us - window)
+            parts = waiting.complete((us, event)) if steps[-1] else []
+            found += [(*here, *e, us, event, i, None, None, None) for i, part in enumerate(parts) for e in part]
+            if not parts:
+                waiting.add((us, event), steps)
+        over = [(step, *e) for step, events in enumerate(waiting.lines) for e in events]
+        ends = [list(column) for column in zip(*over, strict=True)] or [[], [], []]
+        return pd.DataFrame([*found, (*here, *[None] * 5, *ends)], columns=out.names).astype(object)
+
+    none = F.array().cast(LEFT)
+    asked, ended, turns = stored(line.select(*place, none.alias("left"))), None, []
+    begun = asked
+    while True:
+        mine = light.join(asked.select(*place), place, "left_semi")
+        ran = stored(mine.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(play, out))
+        turns.append((asked, ran))
+        zipped = F.arrays_zip(F.col("l_step").alias("step"), F.col("l_us").alias("us"), F.col("l_id").alias("id"))
+        ends = ran.where("l_step is not null").select(*place, zipped.cast(LEFT).alias("over"))
+        ended = stored(ends if ended is None else ended.join(asked.select(*place), place, "left_anti").unionByName(ends))
+        over = ended.select(*keys, F.col("_p").alias("_prev"), "over")
+        near = F.filter(F.coalesce("over", none), lambda e: e["us"] >= F.col("_begin") - window)
+        now = line.join(over, [*keys, "_prev"], "left").select(*place, near.alias("left"))
+        changed = now.join(begun.select(*place, F.col("left").alias("_was")), place).where("left != _was").drop("_was")
+        asked = stored(changed)
+        if asked.isEmpty():
+            break
+        begun = stored(begun.join(asked.select(*place), place, "left_anti").unionByName(asked))
+    # A piece counts as it was played last.
+    found = None
+    for turn, (was, ran) in enumerate(turns):
+        part = ran.where("l_step is null").drop("l_step", "l_us", "l_id")
+        for later, _ in turns[turn + 1 :]:
+            part = part.join(later.select(*place), place, "left_anti")
+        found = part if found is None else found.unionByName(part)
+    return rows.join(found.drop("_p"), [*keys, "us", "id"])
 
 
 class _Waiting:
-    """Events of one session that no sequence has used: a line (time, id) per step but the last,
+    """Events that no sequence has used: a line (time, id) per step but the last,
     each in time order and one window long."""
 
     def __init__(self, needed: list[int], gap: int | None):

@@ -25,6 +25,14 @@ AUTH3 = tuned("AUTH-003", threshold=3, time_window="24h")
 AUTH5 = tuned("AUTH-005", threshold=2, time_window="24h")
 ACCT1 = tuned("ACCT-001", time_window="24h")
 NET1 = tuned("NET-001", threshold=2, time_window="24h")
+SEQ3 = {
+    "id": "SEQ-003", "kind": "sequence", "group_by": ["host"], "threshold": 2, "time_window": "24h", "max_gap": "12h",
+    "steps": [
+        {"name": "failures", "match": {"all": [{"field": "event_action", "op": "eq", "value": "logon"}, {"field": "event_outcome", "op": "eq", "value": "failure"}]}},
+        {"name": "logons", "match": {"all": [{"field": "event_action", "op": "eq", "value": "logon"}, {"field": "event_outcome", "op": "eq", "value": "success"}]}, "min_count": 2},
+        {"name": "account change", "match": {"field": "event_category", "op": "eq", "value": "iam"}},
+    ],
+}
 TUNED = [AUTH1, AUTH2, AUTH3, tuned("AUTH-004"), AUTH5, ACCT1, NET1, tuned("PRIV-001"), tuned("PROC-001")]
 
 START, END = datetime(2024, 1, 8, tzinfo=UTC), datetime(2024, 1, 20, 12, tzinfo=UTC)
@@ -82,6 +90,29 @@ nv AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY username, v ORDER BY us, id) AS nth FROM nv_c
   WHERE same = 0 AND history >= 5) WHERE nth = 1)"""
 
+_ONE = "{'us': us, 'id': id}"
+SEQ3_SQL = f"""
+m_r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY us, id) AS nth FROM (
+  SELECT host, us, id, ({FAIL}) AS s1, ({GOOD}) AS s2, category = 'iam' AS s3 FROM ev) WHERE s1 OR s2 OR s3),
+m_w AS (
+  SELECT *, CASE WHEN s1 THEN [{_ONE}] ELSE [] END AS p1, CASE WHEN s2 THEN [{_ONE}] ELSE [] END AS p2,
+    NULL::STRUCT(us BIGINT, id VARCHAR)[] AS taken FROM m_r WHERE nth = 1
+  UNION ALL
+  SELECT host, us, id, s1, s2, s3, nth,
+    CASE WHEN done THEN list_filter(l1, lambda x: x.us > f.us OR (x.us = f.us AND x.id >= f.id))
+      WHEN s1 THEN list_append(l1, {_ONE}) ELSE l1 END,
+    CASE WHEN done THEN [] WHEN s2 THEN list_append(l2, {_ONE}) ELSE l2 END,
+    CASE WHEN done THEN t1 || l2 || [{_ONE}] END
+  FROM (
+    SELECT *, s3 AND len(l2) >= 2 AND us - l2[-1].us <= {12 * HOUR} AND len(t1) >= 2 AND f.us - t1[-1].us <= {12 * HOUR} AS done
+    FROM (
+      SELECT *, list_filter(l1, lambda x: x.us < f.us OR (x.us = f.us AND x.id < f.id)) AS t1
+      FROM (
+        SELECT *, l2[1] AS f FROM (
+          SELECT r.*, list_filter(w.p1, lambda x: x.us >= r.us - {DAY}) AS l1, list_filter(w.p2, lambda x: x.us >= r.us - {DAY}) AS l2
+          FROM m_w w JOIN m_r r ON r.host = w.host AND r.nth = w.nth + 1)))))"""
+
+
 def _matches(df, *extra):
     keys = ["match_id"]
     return df.groupBy(*keys).agg(
@@ -220,6 +251,11 @@ q_w AS (
   FROM q_w w JOIN q_r r ON r.source_ip = w.source_ip AND r.username = w.username AND r.host = w.host AND r.nth = w.nth + 1)""",
         body="""SELECT 'AUTH-002|' || source_ip || '|' || username || '|' || host || '|' || id AS match_id,
   len(taken) + 1 AS event_count, list_min([x.us FOR x IN taken]) AS first_us, us AS last_us FROM q_w WHERE taken IS NOT NULL"""),
+    ),
+    "det_sequence3": (
+        lambda s, d: _matches(detect.evaluate(events(s, d), SEQ3)),
+        with_("RECURSIVE " + EV.strip(), SEQ3_SQL, body="""SELECT 'SEQ-003|' || host || '|' || id AS match_id,
+  len(taken) AS event_count, list_min([x.us FOR x IN taken]) AS first_us, us AS last_us FROM m_w WHERE taken IS NOT NULL"""),
     ),
     "det_new_value": (
         lambda s, d: detect.evaluate(events(s, d), tuned("AUTH-004")).select("id", "username", "value", "history_count", "us"),

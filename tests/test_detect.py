@@ -161,6 +161,32 @@ def test_sequence_three_steps(spark):
     assert want and evidence_sets(detect.evaluate(to_frame(spark, rows), rule)) == want
 
 
+@pytest.mark.parametrize("piece", [9, 200])
+def test_sequence_in_pieces_is_the_sequence_in_one_go(spark, monkeypatch, piece):
+    """Four steps with counts; what is left over crosses many pieces."""
+    monkeypatch.setattr(detect, "PIECE_ROWS", piece)
+    rows = random_rows(25)
+    both = lambda *tests: {"all": list(tests)}
+    logon, logoff = ({"field": "event_action", "op": "eq", "value": v} for v in ("logon", "logoff"))
+    rule = dict(id="S", kind="sequence", group_by=["username"], threshold=2, time_window="1500s", max_gap="750s",
+                steps=[dict(name="a", match=both(FAIL, logon)), dict(name="b", match=both(FAIL, logoff), min_count=1),
+                       dict(name="c", match=both(GOOD, logon)), dict(name="d", match=GOOD)])
+    steps = [
+        lambda r: r["event_outcome"] == "failure" and r["event_action"] == "logon",
+        lambda r: r["event_outcome"] == "failure" and r["event_action"] == "logoff",
+        lambda r: r["event_outcome"] == "success" and r["event_action"] == "logon",
+        lambda r: r["event_outcome"] == "success",
+    ]
+    want = sequence_sets(rows, steps, [2, 1, 1], 1500, 750)
+    assert want and evidence_sets(detect.evaluate(to_frame(spark, rows), rule)) == want
+
+
+def test_sequence_three_steps_without_events(spark):
+    rule = dict(id="S", kind="sequence", group_by=["username"], threshold=1, time_window="900s",
+                steps=[dict(name=n, match=FAIL) for n in "abc"])
+    assert detect.evaluate(to_frame(spark, random_rows(1, n=5)).limit(0), rule).collect() == []
+
+
 @pytest.mark.parametrize("seed,lookback,least,values", [(16, 500, 2, 40), (17, 3000, 5, 60), (18, 64, 1, 10)])
 def test_new_value(spark, seed, lookback, least, values):
     rows = random_rows(seed, values=values)
