@@ -5,10 +5,11 @@ from __future__ import annotations
 from uuid import uuid4
 
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.lineage import checkpoint_folder
-from emberwatch.plans.catalog_detect import AUTH1, AUTH2, QUERIES as BATCH
+from emberwatch.plans.catalog_detect import AUTH1, AUTH2, B1, NV, P2, QUERIES as BATCH
 from emberwatch.plans.catalog_reports import QUERIES as REPORTS
 from emberwatch.plans.oracle import EV, with_
 from emberwatch.plans.rules import tuned
@@ -62,10 +63,26 @@ def _dedup(spark, folder: str):
     return spark.read.parquet(f"{out}/rows").select("fingerprint")
 
 
+def _in_files(spark, folder: str, out: str, columns: list[str]) -> DataFrame:
+    """The event table as a stream of seven files: five by time, of which each has rows that are up to
+    half an hour late, and two of closing rows."""
+    events = sample.events(spark, folder)
+    span = events.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    late = F.col("timestamp") + F.make_dt_interval(mins=F.pmod(F.xxhash64("id"), F.lit(4)).cast("int") * 10)
+    step = (span["b"] - span["a"]) / 5
+    for k in range(5):
+        low, high = span["a"] + k * step, span["a"] + (k + 1) * step
+        part = events.where((late >= low if k else F.lit(True)) & (late < high if k < 4 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    for after in ("1000 DAYS", "1100 DAYS"):
+        state.closing(events, columns, after).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
 def _stateful(make, rule):
     def query(spark, folder: str):
         out = _folder(spark, "state")
-        found = make(_events(spark, folder), rule, "1 hour")
+        found = make(_in_files(spark, folder, out, rule["group_by"]), rule, "1 hour")
         writer = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_log")
         writer.trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(found.schema).parquet(f"{out}/rows")
@@ -84,8 +101,18 @@ QUERIES: dict[str, tuple] = {
         _dedup,
         with_(EV, body="SELECT DISTINCT sha256((n % 4)::VARCHAR || chr(31) || message) AS fingerprint FROM ev"),
     ),
-    # Their results depend on the watermark: what is not closed when the stream ends is not emitted.
-    "str_bursts": (_stateful(state.stream_bursts, AUTH1), None),
-    "str_sequence": (_stateful(state.stream_sequence, AUTH2), None),
-    "str_new_value": (_stateful(state.stream_new_value, tuned("AUTH-004")), None),
+    "str_bursts": (
+        _stateful(state.stream_bursts, AUTH1),
+        with_(EV, B1, body="""SELECT source_ip AS _k0, host AS _k1, username AS _k2, min(us) AS lo, max(us) AS hi, count(*) AS n
+FROM f1_e GROUP BY source_ip, host, username, t0"""),
+    ),
+    "str_sequence": (
+        _stateful(state.stream_sequence, AUTH2),
+        with_(EV, P2, body="""SELECT source_ip AS _k0, username AS _k1, host AS _k2, final_us, final_id, count(*) AS n
+FROM p2_e GROUP BY source_ip, username, host, final_us, final_id"""),
+    ),
+    "str_new_value": (
+        _stateful(state.stream_new_value, tuned("AUTH-004")),
+        with_(EV, NV, body="SELECT username AS _k0, us, id, v AS value, history FROM nv"),
+    ),
 }

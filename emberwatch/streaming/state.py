@@ -1,149 +1,226 @@
 """Detection with state per key: low latency, bounded lateness.
 
-Events of a key wait until the watermark has passed them, so each key is always read in order; late
-events beyond the watermark are dropped by Spark. What is kept per key is bounded by the rule: the
-waiting events plus one window (or lookback)."""
+Events of a key wait until the watermark has passed them, so each key is always read in order; events
+that come after the watermark has passed their time are dropped. A timer per key, at the earliest
+waiting event or the end of what is kept, does the work, so a batch costs what its keys have due. Waiting events
+are a list, appended to; what a rule remembers are further lists and maps, of which only what changes is written.
+It is bounded by the rule: one window (or lookback) per key. A stream that ends is completed by `closing` rows,
+which move the watermark past all others."""
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from emberwatch.functions.conditions import holds
 from emberwatch.operators.detect import _value, group_keys, matching, micros, prepared
 
 COLUMNS = ["us", "id", "v", "s1", "s2"]
+_KINDS = {"bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "bigints": T.ArrayType(T.LongType())}
+
+
+def _of(fields: str) -> T.StructType:
+    """The type of a kept value; workers have no session that could read it from text."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+EVENT = _of("us bigint, id string, v string, s1 boolean, s2 boolean")
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Keyed(StatefulProcessor):
+    """Waiting events of a key, handed to `fold` in order once they are due."""
+
+    out = ""
+
+    def __init__(self, width: int) -> None:
+        self.names = [*[f"_k{i}" for i in range(width)], *[c.split()[0] for c in self.out.split(", ")]]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", EVENT)
+        self.remember(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for pdf in rows:
+            pdf = pdf.loc[pdf["us"] > mark, COLUMNS].astype(object)
+            if len(pdf):
+                events = pdf.where(pdf.notna(), None).values.tolist()
+                self.waiting.appendList([tuple(e) for e in events])
+                first = min(first or events[0][0], *[e[0] for e in events])
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(self.waiting.get(), key=lambda e: (e[0], e[1]))
+        n = bisect_left(events, mark + 1, key=lambda e: e[0])
+        due, rest = events[:n], events[n:]
+        if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        found, until = self.fold(due, mark)
+        times = [rest[0][0]] if rest else []
+        if until is not None:
+            times.append(until)
+        if times:
+            self.handle.registerTimer(max(min(times), mark) // 1000 + 1)
+        if found:
+            yield pd.DataFrame([(*key, *row) for row in found], columns=self.names)
 
+    def close(self) -> None:
+        pass
 
-class Bursts:
-    """Threshold bursts: the last N-1 times, and the burst that is going on."""
-
-    out = "lo bigint, hi bigint, n bigint"
-
-    def __init__(self, rule: dict) -> None:
-        self.needed, self.window = rule["threshold"], micros(rule["time_window"])
 
-    def start(self) -> dict:
-        return {"recent": [], "burst": None}
+def _kept(state, values: list[tuple], changed: bool) -> None:
+    """The list as it is now, written only if it changed."""
+    if changed and values:
+        state.put(values)
+    elif changed:
+        state.clear()
 
-    def feed(self, s: dict, e: list) -> list[tuple]:
-        us, out = e[0], self.close(s, e[0])
-        if s["burst"]:
-            s["burst"][1:] = [us, s["burst"][2] + 1]
-            return out
-        s["recent"] = [t for t in s["recent"] if us - t <= self.window] + [us]
-        if len(s["recent"]) >= self.needed:
-            s["burst"] = [s["recent"][0], us, len(s["recent"])]
-            s["recent"] = []
-        return out
 
-    def close(self, s: dict, now: int) -> list[tuple]:
-        """The burst, when nothing up to `now` can extend it."""
-        if s["burst"] and now - s["burst"][1] > self.window:
-            done, s["burst"], s["recent"] = tuple(s["burst"]), None, []
-            return [done]
-        return []
+class Bursts(Keyed):
+    """Threshold bursts: the last times, and the burst that is going on."""
 
-    def next_time(self, s: dict) -> int | None:
-        return s["burst"][1] + self.window + 1000 if s["burst"] else None
+    out = "lo bigint, hi bigint, n bigint"
 
+    def __init__(self, rule: dict, width: int) -> None:
+        super().__init__(width)
+        self.needed, self.window = rule["threshold"], micros(rule["time_window"])
 
-class Pairs:
+    def remember(self, handle) -> None:
+        self.recent = handle.getListState("recent", _of("us bigint"))
+        self.going = handle.getValueState("going", _of("lo bigint, hi bigint, n bigint"))
+
+    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
+        recent, going, out = [us for (us,) in self.recent.get()], self.going.get(), []
+        before = (list(recent), going)
+        for us in chain([e[0] for e in due], [None]):
+            now = mark if us is None else us  # last of all: is the burst over by now?
+            if going and now - going[1] > self.window:
+                out.append(tuple(going))
+                going, recent = None, []
+            recent = recent[bisect_left(recent, now - self.window) :]
+            if us is None:
+                break
+            if going:
+                going = (going[0], us, going[2] + 1)
+                continue
+            recent.append(us)
+            if len(recent) >= self.needed:
+                going, recent = (recent[0], us, len(recent)), []
+        _kept(self.recent, [(us,) for us in recent], recent != before[0])
+        if going and going != before[1]:
+            self.going.update(tuple(going))
+        elif not going and before[1]:
+            self.going.clear()
+        last = going[1] if going else recent[-1] if recent else None
+        return out, None if last is None else last + self.window + 1000
+
+
+class Pairs(Keyed):
     """Two-step sequences: first-step events of one window that are not used yet."""
 
     out = "final_us bigint, final_id string, n bigint"
 
-    def __init__(self, rule: dict) -> None:
-        self.needed, self.window = rule["threshold"], micros(rule["time_window"])
-        self.gap = micros(rule.get("max_gap"))
-
-    def start(self) -> dict:
-        return {"pending": []}
-
-    def feed(self, s: dict, e: list) -> list[tuple]:
-        us, ident, _, first, last = e
-        s["pending"] = [t for t in s["pending"] if us - t <= self.window]
-        ready = len(s["pending"]) >= self.needed and (self.gap is None or us - s["pending"][-1] <= self.gap)
-        if last and ready:
-            found = [(us, ident, len(s["pending"]) + 1)]
-            s["pending"] = []
-            return found
-        if first:
-            s["pending"].append(us)
-        return []
-
-    def close(self, s: dict, now: int) -> list[tuple]:
-        s["pending"] = [t for t in s["pending"] if now - t <= self.window]
-        return []
-
-    def next_time(self, s: dict) -> int | None:
-        return s["pending"][-1] + self.window + 1000 if s["pending"] else None
-
-
-class NewValues:
-    """Values unseen in the lookback: the (time, value) pairs inside it."""
+    def __init__(self, rule: dict, width: int) -> None:
+        super().__init__(width)
+        self.needed, self.window, self.gap = rule["threshold"], micros(rule["time_window"]), micros(rule.get("max_gap"))
+
+    def remember(self, handle) -> None:
+        self.pending = handle.getListState("pending", _of("us bigint"))
+
+    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
+        pending, out = [us for (us,) in self.pending.get()], []
+        before = list(pending)
+        for us, ident, _, first, last in due:
+            pending = pending[bisect_left(pending, us - self.window) :]
+            near = len(pending) >= self.needed and (self.gap is None or us - pending[-1] <= self.gap)
+            if last and near:
+                out.append((us, ident, len(pending) + 1))
+                pending = []
+            elif first:
+                pending.append(us)
+        pending = pending[bisect_left(pending, mark - self.window) :]
+        _kept(self.pending, [(us,) for us in pending], pending != before)
+        return out, pending[-1] + self.window + 1000 if pending else None
+
+
+class NewValues(Keyed):
+    """Values unseen in the lookback. Times are kept in spans of a 64th of it, so a batch writes the spans that
+    it adds to, and those that are too old go; of a value only its last time is kept."""
 
     out = "us bigint, id string, value string, history bigint"
 
-    def __init__(self, rule: dict) -> None:
+    def __init__(self, rule: dict, width: int) -> None:
+        super().__init__(width)
         self.lookback, self.least = micros(rule["lookback"]), rule["min_history"]
-
-    def start(self) -> dict:
-        return {"seen": [], "told": []}
-
-    def feed(self, s: dict, e: list) -> list[tuple]:
-        us, ident, value = e[:3]
-        s["seen"] = [p for p in s["seen"] if p[0] >= us - self.lookback]
-        past = [v for t, v in s["seen"] if t < us]
-        out = []
-        if len(past) >= self.least and value not in past and value not in s["told"]:
-            s["told"].append(value)
-            out = [(us, ident, value, len(past))]
-        s["seen"].append([us, value])
-        return out
-
-    def close(self, s: dict, now: int) -> list[tuple]:
-        s["seen"] = [p for p in s["seen"] if p[0] >= now - self.lookback]
-        return []
-
-    def next_time(self, s: dict) -> int | None:
-        return s["seen"][-1][0] + self.lookback + 1000 if s["seen"] else None
-
-
-def _stateful(rows: DataFrame, keys: list[str], machine, lateness: str) -> DataFrame:
-    width = len(keys)
-    names = [*keys, *[c.split()[0] for c in machine.out.split(", ")]]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"wait": [], "fold": machine.start()}
-        for pdf in batches:
-            kept["wait"] += pdf[COLUMNS].astype(object).where(pdf[COLUMNS].notna(), None).values.tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        due = sorted((e for e in kept["wait"] if e[0] <= mark), key=lambda e: (e[0], e[1]))
-        kept["wait"] = [e for e in kept["wait"] if e[0] > mark]
-        found = [r for e in due for r in machine.feed(kept["fold"], e)]
-        found += machine.close(kept["fold"], mark)
-        times = [min(e[0] for e in kept["wait"])] if kept["wait"] else []
-        after = machine.next_time(kept["fold"])
-        times += [after] if after is not None else []
-        if times:
-            state.update((json.dumps(kept, default=int),))
-            state.setTimeoutTimestamp(max(min(times) // 1000 + 1, mark // 1000 + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame([key[:width] + r for r in found], columns=names)
-
-    schema = ", ".join([f"{k} string" for k in keys] + [machine.out])
+        self.span = max(1, self.lookback // 64)
+
+    def remember(self, handle) -> None:
+        self.times = handle.getMapState("times", _of("span bigint"), _of("us bigints"))
+        self.values = handle.getMapState("values", _of("value string"), _of("last bigint, told boolean"))
+
+    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
+        spans = {span: list(us) for (span,), (us,) in list(self.times.iterator())}
+        known, added, touched, out = {}, set(), set(), []
+
+        def before(us: int) -> int:
+            """Events earlier than this among those of the spans."""
+            own = us // self.span
+            return sum(len(t) for s, t in spans.items() if s < own) + bisect_left(spans.get(own, []), us)
+
+        for us, ident, value, *_ in due:
+            if value not in known:
+                known[value] = self.values.getValue((value,)) or (None, False)
+            last, told = known[value]
+            history = before(us) - before(us - self.lookback)
+            if history >= self.least and not told and (last is None or last < us - self.lookback):
+                out.append((us, ident, value, history))
+                told = True
+            known[value] = (us, told)
+            touched.add(value)
+            spans.setdefault(us // self.span, []).append(us)
+            added.add(us // self.span)
+        oldest = (mark - self.lookback) // self.span
+        for span in [s for s in spans if s < oldest]:
+            del spans[span]
+            added.discard(span)
+            if self.times.containsKey((span,)):
+                self.times.removeKey((span,))
+        for span in added:
+            self.times.updateValue((span,), (spans[span],))
+        for value in touched:
+            self.values.updateValue((value,), known[value])
+        newest = max((t[-1] for t in spans.values() if t), default=None)
+        if newest is None or newest < mark - self.lookback:
+            # Nothing is near any more: values that were never told need not be known.
+            for (value,), (_, told) in list(self.values.iterator()):
+                if not told:
+                    self.values.removeKey((value,))
+        return out, None if newest is None or newest < mark - self.lookback else newest + self.lookback + 1000
+
+
+def _stateful(rows: DataFrame, keys: list[str], machine: Keyed, lateness: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    schema = ", ".join([*[f"{k} string" for k in keys], machine.out])
     return (
         rows.withWatermark("timestamp", lateness)
         .select("timestamp", *keys, *COLUMNS)
         .groupBy(*keys)
-        .applyInPandasWithState(step, schema, "blob string", "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(machine, schema, "append", "eventTime")
     )
 
 
@@ -154,17 +231,31 @@ def _plain(rows: DataFrame, **given) -> DataFrame:
 
 def stream_bursts(events: DataFrame, rule: dict, lateness: str) -> DataFrame:
     """Finished bursts: first and last time and number of events."""
-    return _stateful(_plain(matching(events, rule)), group_keys(rule), Bursts(rule), lateness)
+    keys = group_keys(rule)
+    return _stateful(_plain(matching(events, rule)), keys, Bursts(rule, len(keys)), lateness)
 
 
 def stream_sequence(events: DataFrame, rule: dict, lateness: str) -> DataFrame:
     """Completed two-step sequences."""
     first, last = (holds(s.get("match")) for s in rule["steps"])
     rows = _plain(prepared(events, rule), s1=first, s2=last).filter("s1 or s2")
-    return _stateful(rows, group_keys(rule), Pairs(rule), lateness)
+    keys = group_keys(rule)
+    return _stateful(rows, keys, Pairs(rule, len(keys)), lateness)
 
 
 def stream_new_value(events: DataFrame, rule: dict, lateness: str) -> DataFrame:
     """Values new for their key."""
     rows = _plain(matching(events, rule), v=_value(rule)).filter("v is not null")
-    return _stateful(rows, group_keys(rule), NewValues(rule), lateness)
+    keys = group_keys(rule)
+    return _stateful(rows, keys, NewValues(rule, len(keys)), lateness)
+
+
+def closing(events: DataFrame, group_by: list[str], after: str) -> DataFrame:
+    """Rows that end a stream: of each kind of event the last one, so much later and each for a key of its
+    own. Once they have been read, the watermark is past everything before them: all that waits is taken and
+    all that is going on is closed with the next batch (which may be closing rows of a later time)."""
+    kinds = ["event_category", "event_action", "event_outcome", "service"]
+    last = events.groupBy(*kinds).agg(F.max_by(F.struct(*events.columns), "timestamp").alias("_row")).select("_row.*")
+    apart = {c: F.concat(F.lit("closing-"), "id") for c in group_by}
+    later = F.col("timestamp") + F.expr(f"INTERVAL {after}")
+    return last.withColumns({**apart, "id": F.concat(F.lit("closing-"), "id"), "timestamp": later})
