@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.lineage import cut
+from emberwatch import lineage
 from emberwatch.operators.enrich import enrich
 from emberwatch.operators.parsers import parse_records
 from emberwatch.schema import EVENT_SCHEMA, INTERNAL_NETWORKS, MAX_RAW_BYTES
@@ -97,12 +97,14 @@ def ingest(
     internal: list[str] = INTERNAL_NETWORKS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(received, raw, events): all records with `rejected`, the kept ones with their outcome, and the
-    events of the parsed ones, enriched. Ids follow from the fingerprint, so a repeated run
+    events of the parsed ones, enriched. Oversize records cannot be kept without changing them, so
+    they are in the first only. `stored`: fingerprints that are stored already. Ids follow from the fingerprint, so a repeated run
     writes the same rows."""
     received = reject_oversize(with_sources(records, sources))
     fresh = drop_duplicates(received.filter("not rejected"), stored)
-    parsed = enforce_host_allowlist(parse_records(fresh)).withColumn("raw_event_id", F.col("fingerprint"))
-    raw = cut(parsed)  # evidence first: what follows reads the kept outcome, it never parses again
+    formats = [r[0] for r in sources.select("source_type").distinct().collect()]  # a few words
+    parsed = enforce_host_allowlist(parse_records(fresh, formats)).withColumn("raw_event_id", F.col("fingerprint"))
+    raw = lineage.stored(parsed)  # evidence first: what follows reads the kept outcome, it never parses again
     events = raw.filter("parse_status = 'PARSED'").withColumns(
         {
             "id": F.substring(F.sha2(F.concat(F.lit("event"), "fingerprint"), 256), 1, 32),

@@ -700,8 +700,10 @@ def parse_generic_json(df: DataFrame) -> DataFrame:
     return validate_events(_generic_json(df))
 
 
-def parse_records(df: DataFrame) -> DataFrame:
+def parse_records(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Every record with exactly one outcome. One branch per format: where the raw store is
-    partitioned by source_type, each branch reads only its own files."""
-    parts = [parse(df.filter(F.col("source_type") == name)) for name, parse in FORMATS.items()]
+    partitioned by source_type, each branch reads only its own files. `formats`: those that occur, if
+    that is known; records of others give no rows."""
+    wanted = [name for name in FORMATS if formats is None or name in formats] or list(FORMATS)
+    parts = [FORMATS[name](df.filter(F.col("source_type") == name)) for name in wanted]
     return validate_events(reduce(DataFrame.unionByName, parts))

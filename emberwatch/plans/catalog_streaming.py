@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberwatch.lineage import checkpoint_folder
 from emberwatch.plans.catalog_detect import AUTH1, AUTH2, B1, NV, P2, QUERIES as BATCH
 from emberwatch.plans.catalog_reports import QUERIES as REPORTS
-from emberwatch.plans.oracle import EV, with_
+from emberwatch.plans.oracle import EV, IDENTITIES, with_
 from emberwatch.plans.rules import tuned
 from emberwatch.sources import sample
 from emberwatch.streaming import jobs, state
@@ -90,6 +90,34 @@ def _stateful(make, rule):
     return query
 
 
+def _resent(spark, folder: str, out: str):
+    """Access-log records as a stream of four files; a sixth of each file comes again with the next one."""
+    rows = sample.raw_records(spark, folder, "http_access")
+    again = rows.where("record_no % 6 = 0").withColumns(
+        {"record_no": F.col("record_no") + 1_000_000_000, "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY")}
+    )
+    for k in range(4):
+        part = rows.where(f"record_no % 4 = {k}").unionByName(again.where(f"record_no % 4 = {k - 1}"))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+def _ingest(spark, folder: str):
+    out = _folder(spark, "ingest")
+    sources = sample.events(spark, folder).select(F.col("source_id").alias("id")).distinct().withColumns({
+        "source_type": F.lit("http_access"), "timezone": F.lit("UTC"), "default_host": F.lit("app-01"),
+        "allowed_hosts": F.lit(None).cast("array<string>"),
+    })
+    jobs.stream_ingest(
+        _resent(spark, folder, out), sources, sample.assets(spark, folder), sample.identities(spark, folder),
+        f"{out}/raw", f"{out}/events", "ingest", checkpoint=f"{out}/_log",
+    ).awaitTermination()
+    taken = spark.read.parquet(f"{out}/events").select(
+        F.col("raw_event_id").alias("fingerprint"), F.unix_micros("timestamp").alias("us"), "username", "identity_id"
+    )
+    return spark.read.parquet(f"{out}/raw").select("record_no", "fingerprint", "parse_status").join(taken, "fingerprint", "left")
+
+
 QUERIES: dict[str, tuple] = {
     "str_daily_summaries": (
         _daily,
@@ -101,6 +129,13 @@ QUERIES: dict[str, tuple] = {
         _dedup,
         with_(EV, body="SELECT DISTINCT sha256((n % 4)::VARCHAR || chr(31) || message) AS fingerprint FROM ev"),
     ),
+    "str_ingest": (
+        _ingest,
+        with_(EV, IDENTITIES, body="""SELECT n AS record_no, sha256((n % 4)::VARCHAR || chr(31) || source_ip || ' - ' || username || ' [' || strftime(ts, '%d/%b/%Y:%H:%M:%S')
+  || ' +0000] "GET /p/' || (n % 60000) || '?q=' || host || ' HTTP/1.1" ' || CASE outcome WHEN 'success' THEN 200 ELSE 403 END || ' ' || (n % 60000) || ' "-" "agent"') AS fingerprint,
+  'PARSED' AS parse_status, us // 1000000 * 1000000 AS us, username, i.id AS identity_id
+FROM ev LEFT JOIN identities i USING (username)"""),
+    ),
     "str_bursts": (
         _stateful(state.stream_bursts, AUTH1),
         with_(EV, B1, body="""SELECT source_ip AS _k0, host AS _k1, username AS _k2, min(us) AS lo, max(us) AS hi, count(*) AS n

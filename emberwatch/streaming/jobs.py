@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.lineage import checkpoint_folder, cut
+from emberwatch.lineage import checkpoint_folder, cut, stored
 from emberwatch.operators.ingest import fingerprint, ingest
 from emberwatch.operators.reports import daily_counts, logon_success_daily, merge_daily_counts, merge_logons
 from emberwatch.plans.run import evidence_of
@@ -41,15 +41,66 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], name:
 # ---------- ingest ----------
 
 
-def ingest_step(sources: DataFrame, assets: DataFrame, identities: DataFrame, raw_path: str, events_path: str):
-    """Evidence first, then events; records stored by any other batch are not taken again."""
+class Prints:
+    """The fingerprints of all stored records, by batch and bucket (their first hexadecimal digits; more
+    of them for a larger store), and beside them a filter per bucket: 2**20 bits of which each fingerprint sets two, kept as the words that are not zero.
+
+    A batch first asks the filters of its own buckets, then reads only the buckets that may hold a record of
+    it: new records read next to nothing, however much is stored. Each batch writes folders of its own."""
+
+    def __init__(self, path: str, digits: int = 1) -> None:
+        self.prints, self.filters, self.digits = f"{path}/prints", f"{path}/filters", digits
+
+    def bucket(self) -> Column:
+        return F.concat(F.lit("p"), F.substring("fingerprint", 1, self.digits)).alias("bucket")
+
+    def _slots(self, prints: DataFrame) -> DataFrame:
+        """fingerprint, bucket, place, bit, twice: a fingerprint's digits are as good as a hash."""
+        slot = lambda at: F.conv(F.substring("fingerprint", at, 5), 16, 10).cast("bigint")
+        rows = prints.select("fingerprint", self.bucket(), F.explode(F.array(slot(11), slot(16))).alias("slot"))
+        bit = F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit")
+        return rows.select("fingerprint", "bucket", F.expr("slot div 64").alias("place"), bit)
+
+    @staticmethod
+    def _buckets(rows: DataFrame) -> list[str]:
+        return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # 16 ** digits at most
+
+    def known(self, prints: DataFrame, epoch: int) -> DataFrame | None:
+        """The stored fingerprints among these, of other batches; None if there cannot be any."""
+        spark = prints.sparkSession
+        filters = _others(spark, self.filters, epoch)
+        if filters is None:
+            return None
+        asked = stored(self._slots(prints))
+        words = filters.where(F.col("bucket").isin(self._buckets(asked)))
+        words = words.groupBy("bucket", "place").agg(F.bit_or("bits").alias("bits"))
+        met = asked.join(words, ["bucket", "place"], "left")
+        met = met.groupBy("fingerprint", "bucket").agg(F.bool_and(F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("met"))
+        maybe = stored(met.where("met").drop("met"))
+        buckets = self._buckets(maybe)
+        if not buckets:
+            return None
+        return _others(spark, self.prints, epoch).where(F.col("bucket").isin(buckets)).select("fingerprint")
+
+    def add(self, prints: DataFrame, epoch: int) -> None:
+        rows = prints.select("fingerprint", self.bucket()).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.prints}/{BATCH}={epoch}")
+        words = self._slots(prints).groupBy("bucket", "place").agg(F.bit_or("bit").alias("bits"))
+        words.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.filters}/{BATCH}={epoch}")
+
+
+def ingest_step(sources: DataFrame, assets: DataFrame, identities: DataFrame, raw_path: str, events_path: str, digits: int = 1):
+    """Evidence first, then events; records stored by any other batch are not taken again. Fingerprints are kept
+    beside the raw records."""
+    prints = Prints(f"{raw_path.rstrip('/')}-prints", digits)
 
     def step(records: DataFrame, epoch: int) -> None:
-        stored = _others(records.sparkSession, raw_path, epoch)
-        known = None if stored is None else stored.select("fingerprint")
-        _, raw, events = ingest(records, sources, assets, identities, known)
+        records = records.withColumn("fingerprint", fingerprint())
+        _, raw, events = ingest(records, sources, assets, identities, prints.known(records.select("fingerprint").distinct(), epoch))
         _write(raw, raw_path, epoch)
         _write(events, events_path, epoch)
+        # Last: a batch that fails before this is taken again whole.
+        prints.add(raw, epoch)
 
     return step
 

@@ -1,5 +1,6 @@
 """Streaming jobs against their batch twins on the same rows."""
 
+import re
 from collections import defaultdict
 
 from frames import event
@@ -103,3 +104,23 @@ def test_ingest_takes_a_record_once(spark, tmp_path):
     q = deduped.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == 2
+
+
+def test_known_fingerprints_read_only_buckets_that_may_hold_them(spark, tmp_path):
+    import hashlib
+
+    prints = jobs.Prints(str(tmp_path / "prints"), 2)
+    digest = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    frame_of = lambda ks: spark.createDataFrame([(digest(k),) for k in ks], "fingerprint string")
+    assert prints.known(frame_of([1, 2]), 0) is None
+    prints.add(frame_of(range(300)), 0)
+    prints.add(frame_of(range(300, 600)), 1)
+    assert prints.known(frame_of(range(600, 640)), 2) is None  # nothing is read for new records
+    found = prints.known(frame_of([7, 450, 9999]), 2)
+    assert {digest(7), digest(450)} <= {r[0] for r in found.collect()}
+    assert {r[0][:2] for r in found.collect()} == {digest(7)[:2], digest(450)[:2]}
+    plan = found._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]* IN ", plan), plan
+    assert prints.known(frame_of(range(300, 310)), 1) is None  # a batch that is retried does not see itself
+    prints.add(frame_of(range(300, 600)), 1)
+    assert spark.read.parquet(prints.prints).count() == 600
