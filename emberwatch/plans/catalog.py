@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ["detect", "ingest", "alerts", "incidents", "reports", "streaming"]
+PARTS = ["detect", "ingest", "stores", "alerts", "incidents", "reports", "streaming"]
 
 
 def _all() -> dict[str, tuple]:
