@@ -113,6 +113,15 @@ m_w AS (
           FROM m_w w JOIN m_r r ON r.host = w.host AND r.nth = w.nth + 1)))))"""
 
 
+#: A rule that cannot be planned, and below an evaluation that fails while it runs.
+BROKEN = dict(tuned("PRIV-001"), id="BROKEN", match={"field": "no_such_field", "op": "eq", "value": 1})
+
+
+def _failing(rows, rule, *span):
+    found = detect.evaluate(rows, rule, *span)
+    return found.withColumn("value", F.raise_error(F.lit("broken")).cast("string")) if rule["id"] == "FAILS" else found
+
+
 def _matches(df, *extra):
     keys = ["match_id"]
     return df.groupBy(*keys).agg(
@@ -291,11 +300,19 @@ SELECT rule_id, count(*) AS detections, sum(n)::BIGINT AS events, min(a) AS firs
   UNION ALL SELECT 'PROC-001', 1, us, us FROM pc WHERE indicator IS NOT NULL) GROUP BY rule_id"""),
     ),
     "det_rule_results": (
-        lambda s, d: run.rule_counts(events(s, d), [AUTH1, AUTH3, tuned("PRIV-001")]),
-        with_(EV, B1, B3, PRIV, body=f"""
-SELECT 'AUTH-001' AS rule_id, (SELECT count(*) FROM f1_m) AS candidates, (SELECT count(*) FROM f1_t) AS detections
-UNION ALL SELECT 'AUTH-003', (SELECT count(*) FROM f3_m), (SELECT count(*) FROM f3_t)
-UNION ALL SELECT 'PRIV-001', (SELECT count(*) FROM pr), (SELECT count(*) FROM pr WHERE indicator IS NOT NULL)"""),
+        lambda s, d: run.run_isolated(events(s, d), [*TUNED, BROKEN, dict(tuned("PROC-001"), id="FAILS")], evaluator=_failing)[1],
+        with_(EV, B1, B3, B5, BN, PRIV, PROC, P2, PA, NV, body="""
+SELECT rule_id, candidates, detections, NULL::VARCHAR AS error FROM (
+  SELECT 'AUTH-001' AS rule_id, (SELECT count(*) FROM f1_m) AS candidates, (SELECT count(*) FROM f1_t) AS detections
+  UNION ALL SELECT 'AUTH-002', (SELECT count(*) FROM p2_r), (SELECT count(*) FROM p2_d)
+  UNION ALL SELECT 'AUTH-003', (SELECT count(*) FROM f3_m), (SELECT count(*) FROM f3_t)
+  UNION ALL SELECT 'AUTH-004', (SELECT count(*) FROM nv_m), (SELECT count(*) FROM nv)
+  UNION ALL SELECT 'AUTH-005', (SELECT count(*) FROM f5_m), (SELECT count(*) FROM f5_t)
+  UNION ALL SELECT 'ACCT-001', (SELECT count(*) FROM pa_r), (SELECT count(*) FROM pa_d)
+  UNION ALL SELECT 'NET-001', (SELECT count(*) FROM fn_m), (SELECT count(*) FROM fn_t)
+  UNION ALL SELECT 'PRIV-001', (SELECT count(*) FROM pr), (SELECT count(*) FROM pr WHERE indicator IS NOT NULL)
+  UNION ALL SELECT 'PROC-001', (SELECT count(*) FROM pc), (SELECT count(*) FROM pc WHERE indicator IS NOT NULL))
+UNION ALL SELECT 'BROKEN', 0, 0, 'evaluation_error' UNION ALL SELECT 'FAILS', 0, 0, 'evaluation_error'"""),
     ),
     "det_batch_run": (
         lambda s, d: run.run_rules(events(s, d), [AUTH1], batch_id="b-2024-01-10").select("match_id", "event_count", "first_us"),

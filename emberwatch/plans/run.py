@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.conditions import compile_condition, excluded, holds
-from emberwatch.lineage import cut
+from emberwatch.lineage import cut, stored
 from emberwatch.operators.detect import evaluate, micros
 from emberwatch.operators.explain import build_detections
 
@@ -89,46 +89,64 @@ def candidates(events: DataFrame, rule: dict):
     return compile_condition(rule["match"])
 
 
-def rule_results(
+EVALUATION_ERROR = "evaluation_error"
+RESULT = "rule_id string, candidates bigint, detections bigint, error string"
+
+
+def _apart(parts: dict, together: Callable, alone: Callable) -> dict:
+    """What `together` makes of all parts at once; if that fails, what `alone` makes of each, without those that
+    fail. So a run costs one action, and only one with a broken rule pays for taking the rules one by one."""
+    try:
+        return together(parts) if parts else {}
+    except Exception:  # some rule fails at run time: which one shows below
+        made = {}
+        for name, part in parts.items():
+            try:
+                made[name] = alone(part)
+            except Exception:
+                continue
+        return made
+
+
+def run_isolated(
     events: DataFrame,
     rules: list[dict],
-    evaluator: Callable[[DataFrame, dict], DataFrame] = evaluate,
-) -> list[dict]:
-    """Per rule: candidates, detections, and the name of the error if it failed. A failing rule
-    does not stop the others; each rule is one action here, so failures stay apart."""
-    results = []
-    for rule in rules:
-        if not rule.get("enabled", True):
-            continue
-        entry = {"rule_id": rule["id"], "candidates": 0, "detections": 0, "error": None}
+    start: datetime | None = None,
+    end: datetime | None = None,
+    evaluator: Callable[..., DataFrame] = evaluate,
+) -> tuple[DataFrame, DataFrame]:
+    """Evidence of all enabled rules as a table, and per rule its candidates, its detections and its error.
+    A rule that cannot be planned or fails at run time gives no evidence and does not stop the
+    others."""
+    low = None if start is None else to_micros(start)
+    high = None if end is None else to_micros(end)
+    plans, tests, enabled = {}, {}, [r for r in rules if r.get("enabled", True)]
+    for rule in enabled:
         try:
-            counted = events.filter(candidates(events, rule)).agg(F.count("*").alias("n"))
-            found = evaluator(events, rule).select("match_id").distinct().agg(F.count("*").alias("n"))
-            entry["candidates"] = counted.first()["n"]
-            entry["detections"] = found.first()["n"]
-        except Exception as problem:  # reported per rule
-            entry["error"] = type(problem).__name__
-        results.append(entry)
-    return results
-
-
-def rule_counts(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """rule_results as one plan: candidates and detections of every rule."""
-    tests = {r["id"]: candidates(events, r) for r in rules if r.get("enabled", True)}
-    hits = F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])
-    found = (
-        events.select(F.explode(F.array_compact(hits)).alias("rule_id"))
-        .groupBy("rule_id")
-        .agg(F.count("*").alias("candidates"))
-    )
-    detections = (
-        evidence_of(events, rules)
-        .groupBy("rule_id", "match_id")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("rule_id")
-        .agg(F.count("*").alias("detections"))
-    )
-    return found.join(detections, "rule_id", "left").na.fill(0, ["detections"])
+            part = window_for(events, rule, start, end)
+            found = evaluator(part, rule, low, high).select(*EVIDENCE_COLUMNS)
+            counted = part.filter(candidates(events, rule)).agg(F.count("*").alias("n"))
+            plans[rule["id"]], tests[rule["id"]] = found, counted
+        except Exception:  # a rule that cannot be planned
+            continue
+    whole = lambda parts: {"": stored(reduce(DataFrame.unionByName, parts.values()))}
+    made = _apart(plans, whole, stored)
+    evidence = reduce(DataFrame.unionByName, made.values()) if made else None
+    named = lambda n, df: df.select(F.lit(n).alias("rule_id"), "n")
+    good = {n: named(n, t) for n, t in tests.items() if "" in made or n in made}
+    rows = lambda df: {r["rule_id"]: r["n"] for r in df.collect()}
+    # One row per rule each.
+    count = _apart(good, lambda parts: rows(reduce(DataFrame.unionByName, parts.values())), lambda df: df.first()["n"])
+    matches = rows(evidence.groupBy("rule_id").agg(F.count_distinct("match_id").alias("n"))) if made else {}
+    results = [
+        (r["id"], count.get(r["id"], 0), matches.get(r["id"], 0) if r["id"] in count else 0, None if r["id"] in count else EVALUATION_ERROR)
+        for r in enabled
+    ]
+    if evidence is None:
+        kinds = {"value": "string", "history_count": "bigint", "step_no": "int", "us": "bigint", "destination_port": "int",
+                 "group_values": "array<string>", "attributes": "map<string,string>"}
+        evidence = events.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in EVIDENCE_COLUMNS))
+    return evidence, events.sparkSession.createDataFrame(results, RESULT)
 
 
 def rule_stats(detections: DataFrame, results: DataFrame | None = None) -> DataFrame:
