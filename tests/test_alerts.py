@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.operators import alerts as A
 from emberwatch.operators import correlate as C
 from emberwatch.operators import workflow
+from emberwatch.operators.assembly import Walk
 from emberwatch.operators.priority import alert_priority, band
 from emberwatch.plans.rules import tuned
 from emberwatch.plans.run import run_rules
@@ -89,7 +90,7 @@ def test_link_strength(spark, a, b, strength):
             assert ("a001", "a002") in {tuple(r) for r in C.candidate_pairs(rows).collect()}
 
 
-def test_assembly_by_component_equals_one_board(spark):
+def test_assembly_by_component_equals_one_walk(spark):
     rng = random.Random(5)
     rows = [
         subject(i, 10**15 + rng.randrange(6000) * MIN, host=f"h{rng.randrange(12)}", user=f"u{rng.randrange(12)}" if rng.random() < 0.6 else None,
@@ -102,7 +103,7 @@ def test_assembly_by_component_equals_one_board(spark):
     got = {(r.incident_id, r.alert_id, r.strength) for r in C.assemble_incidents(df).collect()}
     whole = df.toPandas()
     whole["external"], whole["open"], whole["prior"], whole["incident_open"], whole["apart"] = whole["sources"], True, None, None, None
-    want = C._Board(whole, C.CORRELATION_WINDOW, C.SEQUENCE_WINDOW).play()
+    want = Walk(whole, C.CORRELATION_WINDOW, C.SEQUENCE_WINDOW).run()
     assert got == set(zip(want.incident_id, want.alert_id, want.strength)) and len(got) > 50
 
 
