@@ -145,12 +145,16 @@ def read_archive(data: bytes) -> Iterator[dict]:
         at = end
 
 
-def train_dictionary(pages: DataFrame) -> bytes:
-    """From a bounded sample: the pages of smallest hash, of each the leading characters."""
+def train_dictionary(pages: DataFrame, folder: str) -> bytes:
+    """From a bounded sample: the distinct pages of smallest hash, of each the leading characters. The
+    hashes are found first and written, so only the sample's pages come to the driver, however
+    many tasks read the table."""
     heads = pages.where("length(html) > 0").select(
         F.xxhash64("html").alias("at"), F.substring("html", 1, SAMPLE_CHARS).alias("head")
     )
-    texts = [r["head"].encode() for r in heads.orderBy("at", "head").limit(SAMPLE_PAGES).collect()]
+    least = staged(heads.select("at").distinct().orderBy("at").limit(SAMPLE_PAGES), folder, "sample")
+    heads = heads.join(F.broadcast(least), "at").groupBy("at").agg(F.min("head").alias("head"))
+    texts = [r["head"].encode() for r in sorted(heads.collect())]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too short pages to train on
@@ -228,7 +232,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     key = F.upper(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     joined = mine.join(revisits, mine["page"].eqNullSafe(revisits["page"]) & (key == revisits["key"]), "left")
     joined = joined.select(mine["page"], "url", "html", "first")
-    shared = spark.sparkContext.broadcast(train_dictionary(pages))
+    shared = spark.sparkContext.broadcast(train_dictionary(pages, folder))
     return staged(joined.mapInPandas(_write(f"{folder}/archives", shared), "name string, records long"), folder, "manifest")
 
 

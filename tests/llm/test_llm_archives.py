@@ -80,3 +80,13 @@ def test_reader_refuses_broken_archives():
     ):
         with pytest.raises((ValueError, struct.error)):
             list(warc.read_archive(data))
+
+
+def test_dictionary_sample_is_bounded_and_copies_count_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE_PAGES", 5)
+    seen = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, texts: seen.append(texts) or warc.zstandard.ZstdCompressionDict(b""))
+    pages = [(f"<p>{k % 9}</p>" if k % 3 else "<p>hot</p>",) for k in range(300)] + [(None,), ("",)]
+    for parts in (1, 40):
+        warc.train_dictionary(spark.createDataFrame(pages, "html string").repartition(parts), str(tmp_path / str(parts)))
+    assert seen[0] == seen[1] and len(seen[0]) == len(set(seen[0])) == 5
