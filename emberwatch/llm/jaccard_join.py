@@ -284,8 +284,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     sets = staged(texts.mapInPandas(_sets(width, percent), kinds), folder, "sets")
     known = sets.where(F.col("digest").isNotNull() & (F.col("doc") != NO_ID))
     first = known.groupBy("digest").agg(F.min("doc").alias("b"), F.count("*").alias("k"))
-    equal = known.select(F.col("doc").alias("a"), "digest").join(first.where("k > 1"), "digest")
-    equal = staged(equal.where("a <> b").select("a", "b"), folder, "equal")
+    equal = known.select(F.col("doc").alias("a"), "n", "digest").join(first.where("k > 1"), "digest")
+    copies = staged(equal.where("a <> b").select("a", "b", "n"), folder, "equal")
+    equal = copies.select("a", "b")
     pairs = "a long, b long"
     width_now = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sigs = known.where("length(sigs) > 0").select("doc", "sigs").mapInPandas(_rows_of("sigs"), pairs)
@@ -293,10 +294,11 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     near = known.where("length(leads) > 0").select("doc", "leads").mapInPandas(_rows_of("leads"), pairs)
     candidates = stars.unionByName(near).unionByName(equal)
     blocks = components(candidates, f"{folder}/blocks")
-    copies = equal.select(F.col("a").alias("node")).distinct()
-    sizes = known.groupBy(F.col("doc").alias("node")).agg(F.max("n").alias("n"))
-    blocks = blocks.join(copies, "node", "left_anti").join(sizes, "node")
-    cells = _cells(staged(blocks, folder, "blocks_of"), percent)
+    # A document has a place for each size of its rows, unless all rows of that size are copies.
+    sizes = known.groupBy(F.col("doc").alias("node"), "n").agg(F.count("*").alias("rows"))
+    copies = copies.groupBy(F.col("a").alias("node"), "n").agg(F.count("*").alias("copied"))
+    sizes = sizes.join(copies, ["node", "n"], "left").where("rows > coalesce(copied, 0)").select("node", "n")
+    cells = _cells(staged(blocks.join(sizes, "node"), folder, "blocks_of"), percent)
     cells = small_or_shuffled(staged(cells, folder, "cells"))
     inside = texts.join(cells, texts["doc"] == cells["node"]).select("block", "cell", "side", "doc", "text")
     found = inside.groupBy("block", "cell").applyInPandas(_cell(width, percent), pairs)

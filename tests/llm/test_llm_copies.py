@@ -114,3 +114,22 @@ def test_components_of_long_chains(spark, tmp_path):
     for r in got.collect():
         roots[r["root"]].add(r["node"])
     assert roots == {0: set(range(61)), 100: {100, 101, 102}}
+
+
+@pytest.mark.parametrize("chunk", [3, 1500])
+def test_a_document_has_the_links_of_all_its_rows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b + " more")]
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(1, 1), (5, 1), (7, 1)}
+    pick = random.Random(chunk)
+    rows = [(pick.randrange(45), t) for seed in (3, 4) for t in near_copies(seed, 9).values() for _ in range(pick.choice([1, 1, 2]))]
+    root = {d: d for d, _ in rows}
+    each = plain.jaccard_groups(dict(enumerate(t for _, t in rows)))
+    for _ in rows:
+        for k, first in each.items():
+            low = min(root[rows[k][0]], root[rows[first][0]])
+            root[rows[k][0]] = root[rows[first][0]] = low
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(root.items())
