@@ -80,9 +80,17 @@ PAIRS = f"""
 pp AS (SELECT a.id, b.id AS other, a.host = b.host AS h, list_has_any(a.users, b.users) AS u,
     list_filter(list_sort(list_intersect(a.sources, b.sources)), lambda x: starts_with(x, '203')) AS x, len(list_intersect(a.sources, b.sources)) > 0 AS s,
     a.host = b.host AND b.access AS acc, a.technique <> b.technique AS nt, a.first_us >= b.first_us AS later,
-    greatest(a.first_us - b.last_us, b.first_us - a.last_us, 0) AS gap
+    greatest(a.first_us - b.last_us, b.first_us - a.last_us, 0) AS gap, a.host AS at_host, a.technique AS finding, b.first_us AS since,
+    list_concat(CASE WHEN a.host = b.host THEN ['host ' || a.host] ELSE []::VARCHAR[] END,
+      list_transform(list_sort(list_intersect(a.users, b.users)), lambda v: 'user ' || v),
+      list_transform(list_sort(list_intersect(a.sources, b.sources)), lambda v: 'source ' || v)) AS shared
   FROM sj a JOIN sj b ON a.id <> b.id AND a.first_us <= b.last_us + {W} AND a.last_us >= b.first_us - {W}),
 cp AS (SELECT * FROM pp WHERE (h AND (u OR s)) OR len(x) > 0 OR acc)"""
+TOLD = f"""
+td AS (SELECT *, acc AND nt AND later AND gap <= {HOUR // 2} AS foothold,
+    CASE len(shared) WHEN 1 THEN shared[1] ELSE array_to_string(shared[1:len(shared) - 1], ', ') || ' and ' || shared[len(shared)] END AS listed,
+    CASE WHEN gap = 0 THEN 'during the same period' WHEN gap < 120000000 THEN (gap // 1000000) || ' s apart' ELSE (gap // 60000000) || ' min apart' END AS apart
+  FROM cp)"""
 
 
 def _isql(body: str, *more: str) -> str:
@@ -159,10 +167,15 @@ QUERIES: dict[str, tuple] = {
     ),
     "cor_pairs": (pairs, _isql("SELECT id, other FROM cp", PAIRS)),
     "cor_links": (
-        lambda s, d: C.score_links(pairs(s, d), subjects(s, d)).select("id", "other", "strength", F.substring("reason", 1, 12).alias("why")),
-        _isql(f"""SELECT id, other, CASE WHEN h AND (u OR s) THEN 'STRONG' WHEN len(x) > 0 OR (acc AND nt AND later AND gap <= {HOUR // 2}) THEN 'MEDIUM' ELSE 'WEAK' END AS strength,
-  CASE WHEN h AND (u OR s) THEN 'Same host an' WHEN len(x) > 0 THEN 'Same outside' WHEN acc AND nt AND later AND gap <= {HOUR // 2} THEN 'On ' || (SELECT host FROM sj WHERE sj.id = cp.id) || ', after the access'
-  ELSE 'Only host sr' END[1:12] AS why FROM cp""", PAIRS),
+        lambda s, d: C.score_links(pairs(s, d), subjects(s, d)).select("id", "other", "strength", F.array_join("shared", ";").alias("shared"), "reason"),
+        _isql("""SELECT id, other, CASE WHEN h AND (u OR s) THEN 'STRONG' WHEN len(x) > 0 OR foothold THEN 'MEDIUM' ELSE 'WEAK' END AS strength,
+  array_to_string(shared, ';') AS shared,
+  CASE WHEN h AND u THEN 'Same host and user (' || listed || '), ' || apart || '.'
+    WHEN h AND s THEN 'Same host and source (' || listed || '), ' || apart || '.'
+    WHEN len(x) > 0 THEN 'Same outside source ' || array_to_string(x, ', ') || ' (one campaign across hosts), ' || apart || '.'
+    WHEN foothold THEN 'On ' || at_host || ', after the access the incident shows there (since ' || strftime(make_timestamp(since), '%Y-%m-%d %H:%M:%S')
+      || ' UTC): a new kind of finding (' || finding || '), ' || apart || '.'
+    ELSE 'Only ' || listed || ' in common, ' || apart || ': not linked.' END AS reason FROM td""", PAIRS, TOLD),
     ),
     "cor_assemble": (_assembled, None),
     "cor_incidents": (_full, None),
