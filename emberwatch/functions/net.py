@@ -105,6 +105,13 @@ def optional_ip(c: Column) -> Column:
     return _let(clean(c), canonical_ip)
 
 
+def address_bits(c: Column) -> Column:
+    """The address as 32 or 128 binary digits, null for junk."""
+    word = lambda h, i: F.lpad(F.conv(F.substring(h, i, 8), 16, 2), 32, "0")
+    v6 = _let(v6_hex(c), lambda h: F.concat(*[word(h, i) for i in (1, 9, 17, 25)]))
+    return F.when(c.contains(":"), v6).otherwise(F.lpad(F.bin(v4_long(c)), 32, "0"))
+
+
 def _v4_inside(c: Column, net: ipaddress.IPv4Network) -> Column:
     if net.prefixlen % 8 == 0 and net.prefixlen:  # whole octets: a text prefix, which scans can use
         octets = str(net.network_address).split(".")[: net.prefixlen // 8]

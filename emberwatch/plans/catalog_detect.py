@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from emberwatch.functions.allowlist import exclude_listed
 from emberwatch.functions.conditions import apply_exclusions, compile_condition, field, require_group
 from emberwatch.functions.net import to_network
 from emberwatch.functions.text import fold
@@ -14,7 +15,22 @@ from emberwatch.plans import run
 from emberwatch.plans.oracle import DAY, EV, HOUR, NET, bursts, with_
 from emberwatch.plans.rules import tuned
 from emberwatch.sources.readers import scan_events
-from emberwatch.sources.sample import events
+from emberwatch.sources.sample import events, warehouse
+
+
+def _allowlist(s, d):
+    """An entry per customer: a /31, an account for three days, or one address."""
+    key, kind = F.col("c_custkey"), F.col("c_custkey") % 3
+    host = ((kind + key % 2) * 2).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    day = F.when(kind == 1, F.timestamp_add("DAY", (key % 20).cast("int"), F.lit("2024-01-02").cast("timestamp")))
+    return warehouse(s, d, "customer").select(
+        F.when(kind == 1, "username").otherwise("source_ip").alias("field"),
+        F.when(kind == 0, text("10.", key % 2, ".", key % 5, ".", host, "/31")).when(kind == 1, text("USER", key))
+        .otherwise(text("203.0.113.", key % 9)).alias("value"),
+        day.alias("active_from"), F.timestamp_add("DAY", F.lit(3), day).alias("active_until"),
+    )
+
 
 FAIL = "category = 'authentication' AND action = 'logon' AND outcome = 'failure'"
 GOOD = "category = 'authentication' AND action = 'logon' AND outcome = 'success'"
@@ -207,6 +223,14 @@ QUERIES: dict[str, tuple] = {
         ).groupBy("host").agg(F.count("*").alias("n")),
         with_(EV, body="""SELECT host, count(*) AS n FROM ev WHERE NOT (source_ip LIKE '10.0.3.%' OR username = 'user5'
   OR (host = 'srv-8' AND ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-20 12:00:00')) GROUP BY 1"""),
+    ),
+    "cnd_allowlist": (
+        lambda s, d: exclude_listed(events(s, d), _allowlist(s, d)).groupBy("host").agg(F.count("*").alias("n")),
+        with_(EV, body="""SELECT host, count(*) AS n FROM ev WHERE NOT (EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND
+    source_ip LIKE '10.' || (c_custkey % 2) || '.' || (c_custkey % 5) || '.%' AND split_part(source_ip, '.', 4)::INT // 2 = c_custkey % 3 + c_custkey % 2)
+  OR EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 1 AND username = 'user' || c_custkey
+    AND ts >= TIMESTAMP '2024-01-02' + to_days((c_custkey % 20)::INT) AND ts < TIMESTAMP '2024-01-05' + to_days((c_custkey % 20)::INT))
+  OR EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 2 AND source_ip = '203.0.113.' || (c_custkey % 9))) GROUP BY 1"""),
     ),
     "cnd_group_required": (
         lambda s, d: require_group(events(s, d), ["host", "target_account"]).groupBy("host").agg(F.count("*").alias("n")),

@@ -1,13 +1,14 @@
 """Column helpers against the Python standard library and plain restatements."""
 
 import ipaddress
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from frames import T0, event, frame
 from pyspark.sql import functions as F
 
-from emberwatch.functions import net, text
+from emberwatch.functions import allowlist, net, text
 from emberwatch.functions.conditions import apply_exclusions, compile_condition, holds
 
 ADDRESSES = [
@@ -100,6 +101,54 @@ def test_exclusions(spark):
     assert rows.select(holds({"field": "source_ip", "op": "cidr", "value": "203.0.113.0/24"}).alias("h")).filter("h is null").count() == 0
 
 
+def test_ten_thousand_entries_cover_what_each_of_them_covers(spark):
+    pick = random.Random(8)
+    v4 = lambda: f"198.{pick.randrange(4)}.{pick.randrange(9)}.{pick.randrange(256)}"
+    v6 = lambda: f"2001:db8:{pick.randrange(9):x}::{pick.randrange(40):x}"
+    at = lambda: T0 + timedelta(seconds=pick.randrange(900))
+    entries = []
+    for _ in range(10_000):
+        start = at() if pick.random() < 0.5 else None
+        window = {"active_from": start, "active_until": start + timedelta(seconds=pick.randint(1, 90))} if start else {}
+        name, value = pick.choice([
+            ("source_ip", f"{v4()}/{pick.choice([30, 31, 32])}"), ("source_ip", f"{v6()}/{pick.choice([125, 127, 128])}"),
+            ("source_ip", v4()), ("username", f"U{pick.randrange(60_000)}"), ("host", f"h{pick.randrange(60_000)}"),
+        ])
+        entries.append({"field": name, "value": value, **window})
+    ips = [None, "junk", "::ffff:198.1.1.1", *[v4() for _ in range(250)], *[v6() for _ in range(250)]]
+    given = [(str(k), pick.choice(ips), f"u{pick.randrange(60_000)}", f"H{pick.randrange(60_000)}", pick.choice([None, at()])) for k in range(400)]
+    rows = spark.createDataFrame(given, "id string, source_ip string, username string, host string, timestamp timestamp")
+    rows = rows.withColumns({"target_username": F.lit(None).cast("string"), "value": F.lit("kept"), "bits": F.lit(1)})
+
+    def parsed(text, kind):
+        try:
+            return kind(text) if text else None
+        except ValueError:
+            return None
+
+    nets = [(e, ipaddress.ip_network(e["value"], strict=False)) for e in entries if e["field"] == "source_ip"]
+    named = {}
+    for e in entries:
+        if e["field"] != "source_ip":
+            named.setdefault((e["field"], e["value"].lower()), []).append(e)
+
+    def covered(r):
+        ip, when = parsed(r[1], ipaddress.ip_address), r[4]
+        hits = [e for e, n in nets if ip is not None and ip in n] + named.get(("username", r[2]), []) + named.get(("host", r[3].lower()), [])
+        return any("active_from" not in e or (when is not None and e["active_from"] <= when < e["active_until"]) for e in hits)
+
+    left = apply_exclusions(rows, entries)
+    want = {r[0] for r in given if not covered(r)}
+    assert left.columns == rows.columns and {r.id for r in left.collect()} == want and 20 < len(want) < 380
+    plan = lambda some: apply_exclusions(rows, some)._jdf.queryExecution().analyzed().toString().count("LeftAnti")
+    assert plan(entries) == plan(entries[:2000]) == 8
+    none = spark.createDataFrame([], allowlist.SCHEMA)
+    assert allowlist.exclude_listed(rows, none).count() == 400
+    for bad in [("source_ip", "198.0.0.0/33"), ("source_ip", "x"), ("colour", "x"), ("host", None)]:
+        with pytest.raises(ValueError):
+            allowlist.exclude_listed(rows, spark.createDataFrame([(*bad, None, None)], allowlist.SCHEMA))
+
+
 def test_durations_and_masks(spark):
     spans = {0: "0 s", 38: "38 s", 60: "1 min", 300: "5 min", 330: "5 min 30 s", 7500: "2 h 5 min", 3601: "1 h", 86400: "1 day", 1209600: "14 days"}
     df = spark.createDataFrame([(s,) for s in spans], "s long")
