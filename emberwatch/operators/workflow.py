@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.lineage import cut
 from emberwatch.schema import ACTIVE_ALERT
 
+#: Changes of an item that are replayed together.
+CHUNK = 1000
+
 # Which status may follow which.
 ALERT_TRANSITIONS = {
     "NEW": ["TRIAGED", "IN_PROGRESS", "FALSE_POSITIVE"],
@@ -60,15 +64,20 @@ def _replay(items: DataFrame, changes: DataFrame, states: list[str], code, chunk
     """Each change with the status it met, `accepted` and `code`.
 
     A change is a small function from status to status, written as the array of its results, so
-    changes can be chained without knowing where they start. Changes are cut into chunks per item:
+    changes can be chained without knowing where they start. All changes are put in order by item and time
+    over many tasks, and cut into chunks of at most so many rows of an item, however they lie in time:
     every chunk first yields its combined function, chunks are chained by one small row each, and
-    then the changes of a chunk are replayed from the status it really starts with."""
+    then the changes of a chunk are replayed from the status it really starts with. The cut is
+    checkpointed, as both passes must see the same chunks."""
     codes = F.array(*[code(s) for s in states])
     target = F.array_position(F.array(*[F.lit(s) for s in states]), F.col("to_status")).cast("int") - 1
     rows = changes.withColumns({"_codes": codes, "_to": target})
-    rows = rows.withColumn("_day", F.floor(F.col("at") / chunk))
+    order = ["item_id", "at", "change_id"]
+    rows = rows.select(*order, "_codes", "_to").repartitionByRange(*order).sortWithinPartitions(*order, "_codes", "_to")
+    # Numbers rise with the order of tasks and of rows in them, so chunks of an item are in order too.
+    rows = cut(rows.withColumn("_chunk", F.expr(f"monotonically_increasing_id() div {chunk}")))
     step = F.struct("at", "change_id", "_codes", "_to")
-    grouped = rows.groupBy("item_id", "_day").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    grouped = rows.groupBy("item_id", "_chunk").agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
     def run(steps: Column, start: Column) -> Column:
         return F.aggregate(
@@ -76,7 +85,7 @@ def _replay(items: DataFrame, changes: DataFrame, states: list[str], code, chunk
         )
 
     ends = grouped.withColumn("ends", F.array(*[run(F.col("steps"), F.lit(i)) for i in range(len(states))]))
-    line = F.array_sort(F.collect_list(F.struct("_day", "ends")))
+    line = F.array_sort(F.collect_list(F.struct("_chunk", "ends")))
     starts = (
         ends.groupBy("item_id")
         .agg(line.alias("line"))
@@ -93,7 +102,7 @@ def _replay(items: DataFrame, changes: DataFrame, states: list[str], code, chunk
             )["seen"],
         )
         .select("item_id", F.explode(F.arrays_zip("line", "walk")).alias("z"))
-        .select("item_id", F.col("z.line._day").alias("_day"), F.col("z.walk").alias("start"))
+        .select("item_id", F.col("z.line._chunk").alias("_chunk"), F.col("z.walk").alias("start"))
     )
     met = F.aggregate(
         "steps",
@@ -105,7 +114,7 @@ def _replay(items: DataFrame, changes: DataFrame, states: list[str], code, chunk
     )["seen"]
     names = F.array(*[F.lit(s) for s in states])
     return (
-        grouped.join(starts, ["item_id", "_day"])
+        grouped.join(starts, ["item_id", "_chunk"])
         .withColumn("seen", met)
         .select("item_id", F.explode(F.arrays_zip("steps", "seen")).alias("z"))
         .select(
@@ -120,18 +129,15 @@ def _replay(items: DataFrame, changes: DataFrame, states: list[str], code, chunk
     )
 
 
-DAY = 86_400_000_000
-
-
-def fold_transitions(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+def fold_transitions(alerts: DataFrame, changes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """alerts: item_id, status; changes: item_id, change_id, at (microseconds), to_status,
     disposition, reason. Refused changes keep their code and change nothing."""
-    return _replay(alerts, changes, list(ALERT_TRANSITIONS), _alert_code, DAY)
+    return _replay(alerts, changes, list(ALERT_TRANSITIONS), _alert_code, chunk)
 
 
-def fold_incident_transitions(incidents: DataFrame, changes: DataFrame) -> DataFrame:
+def fold_incident_transitions(incidents: DataFrame, changes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """As fold_transitions, with a `resolution` and the incident states."""
-    return _replay(incidents, changes, list(INCIDENT_TRANSITIONS), _incident_code, DAY)
+    return _replay(incidents, changes, list(INCIDENT_TRANSITIONS), _incident_code, chunk)
 
 
 def final_status(items: DataFrame, replayed: DataFrame) -> DataFrame:

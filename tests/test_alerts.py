@@ -118,7 +118,7 @@ def test_prior_incidents_and_unlinked_pairs(spark):
 
 def test_status_changes_replay_in_order(spark):
     items = spark.createDataFrame([("a", "NEW"), ("b", "NEW")], "item_id string, status string")
-    day = workflow.DAY
+    day = 86_400_000_000
     log = [
         ("a", "1", 1, "RESOLVED", "benign_expected", None, "not_allowed"),
         ("a", "2", 2, "TRIAGED", None, None, None),
@@ -141,3 +141,30 @@ def test_explanations(spark):
     found = run_rules(rows, [tuned("AUTH-003")]).first()
     assert found.explanation.startswith("203.0.113.45 (external) failed to log on as 6 different accounts (u0, u1, u2, u3, u4, …) within 50 s, on several (2).")
     assert found.evidence_ids == [f"e{i:06d}" for i in range(6)] and found.entities["host"] == ["web-00", "web-01"]
+
+
+def test_an_item_with_most_changes_is_replayed_in_chunks(spark):
+    pick, states = random.Random(11), list(workflow.INCIDENT_TRANSITIONS)
+    log = [
+        (f"i{0 if pick.random() < 0.8 else pick.randrange(1, 30)}", f"c{k:05}", 10**15 + pick.randrange(500), pick.choice(states[:5]),
+         pick.choice([None, "benign"]), pick.choice([None, "", "done"]), pick.choice([None, "again"]))
+        for k in range(3000)
+    ]
+    now, want = {f"i{k}": "OPEN" for k in range(30)}, {}
+    for item, change, _, to, disposition, resolution, reason in sorted(log, key=lambda c: (c[0], c[2], c[1])):
+        at = now[item]
+        code = (
+            "already" if to == at else "not_allowed" if to not in workflow.INCIDENT_TRANSITIONS[at]
+            else "resolution_required" if to == "RESOLVED" and not (disposition and resolution)
+            else "resolution_unexpected" if to != "RESOLVED" and (disposition or resolution)
+            else "reason_required" if (at, to) == ("RESOLVED", "INVESTIGATING") and not reason else None
+        )
+        want[change] = (at, code)
+        now[item] = to if code is None else at
+    items = spark.createDataFrame([(i, "OPEN") for i in now], "item_id string, status string")
+    kinds = "item_id string, change_id string, at bigint, to_status string, disposition string, resolution string, reason string"
+    changes = spark.createDataFrame(log, kinds).repartition(7)
+    for chunk in (1, 37, workflow.CHUNK):
+        done = workflow.fold_incident_transitions(items, changes, chunk)
+        assert {r.change_id: (r.from_status, r.code) for r in done.collect()} == want
+    assert {r.item_id: r.status for r in workflow.final_status(items, done).collect()} == now
