@@ -167,6 +167,21 @@ def _p(name, op, value=None):
     return {"field": name, "op": op, "value": value}
 
 
+# A run over [START, END] reads a window more on both sides; single events have none.
+RANGE_COLUMNS = ["rule_id", "event_count", "first_us", "last_us"]
+_FROM, _TO = (f"epoch_us(TIMESTAMP '{t:%Y-%m-%d %H:%M:%S}')" for t in (START, END))
+_NEAR = f" AND us BETWEEN {_FROM} - {DAY} AND {_TO} + {DAY}"
+RANGE = [
+    bursts("g1", FAIL + " AND service = 'sshd'" + _NEAR, ["source_ip", "host", "username"], 2, DAY),
+    bursts("g3", FAIL + _NEAR, ["source_ip"], 3, DAY, "username"),
+    PRIV,
+]
+_FACTS = "count(*) AS event_count, min(us) AS first_us, max(us) AS last_us, list(batch_id) AS batches"
+RANGE_ALL = f""", found AS (SELECT 'AUTH-001' AS rule_id, {_FACTS} FROM g1_e GROUP BY source_ip, host, username, t0
+UNION ALL SELECT 'AUTH-003', {_FACTS} FROM g3_e GROUP BY source_ip, t0
+UNION ALL SELECT 'PRIV-001', {_FACTS} FROM pr WHERE indicator IS NOT NULL AND us BETWEEN {_FROM} AND {_TO} GROUP BY id)"""
+
+
 QUERIES: dict[str, tuple] = {
     "cnd_fold": (
         lambda s, d: events(s, d).groupBy(fold(F.upper("message")).alias("folded")).agg(F.count("*").alias("n")),
@@ -242,6 +257,14 @@ QUERIES: dict[str, tuple] = {
         with_(EV, PRIV, PROC, body="""SELECT 'PRIV-001' AS rule_id, indicator, host, count(*) AS n, min(us) AS first_us FROM pr WHERE indicator IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'PROC-001', indicator, host, count(*), min(us) FROM pc WHERE indicator IS NOT NULL GROUP BY ALL"""),
     ),
+    "det_range_run": (
+        lambda s, d: run.run_rules(events(s, d), [AUTH1, AUTH3, tuned("PRIV-001")], START, END).select(*RANGE_COLUMNS),
+        with_(EV, *RANGE, body=f"{RANGE_ALL} SELECT rule_id, event_count, first_us, last_us FROM found"),
+    ),
+    "det_batch_run": (
+        lambda s, d: run.run_rules(events(s, d), [AUTH1, AUTH3, tuned("PRIV-001")], START, END, "b-2024-01-10").select(*RANGE_COLUMNS),
+        with_(EV, *RANGE, body=f"{RANGE_ALL} SELECT rule_id, event_count, first_us, last_us FROM found WHERE list_contains(batches, 'b-2024-01-10')"),
+    ),
     "det_threshold": (
         lambda s, d: _matches(detect.evaluate(events(s, d), AUTH1)),
         _burst_sql("f1", "AUTH-001", ["source_ip", "host", "username"], B1),
