@@ -2,9 +2,12 @@
 
 Words are counted over all training documents. The most frequent ones, a table of bounded size, go to
 all tasks; scores of other words come from a join of their hashes with all counts, each of which is
-rare by definition, so no join key is hot. The recurrent model (recurrent.py) predicts the most frequent
-words, the end of a text, and one symbol for all other words; such a word then has its smoothed share of
-them. It is trained on all training documents, each in one round, in shards that each train one copy
+rare by definition, so no join key is hot. After counting, texts are split into words once more and written
+down as the model's word numbers; training and scoring read those.
+
+The recurrent model (recurrent.py) predicts the end of a text, the most frequent words, in number about the
+square root of all counted ones, and one symbol for other words; such a word then has its smoothed share
+of them. It is trained on all training documents, each in one round, in shards that each train one copy
 from the same start; the copies are averaged in a tree, and the next round starts from there.
 
 Null text is empty: one token, its end. Rows with a null doc_id are not held out. Repeated rows count
@@ -31,8 +34,10 @@ ADD = 0.1
 #: Words whose counts go to all tasks (12 bytes each).
 KNOWN_WORDS = 200_000
 #: The recurrent model trains in ROUNDS rounds of shards.
-ROUNDS, SHARD_DOCS, FAN_IN = 2, 1000, 64
+ROUNDS, SHARD_DOCS, FAN_IN = 2, 1000, 16
 END = 0  # the hash that stands for the end of a text
+#: Characters of texts that are numbered at a time, beyond one text, and words remembered by a task.
+PART_CHARS, REMEMBERED = 1_000_000, 400_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -84,18 +89,19 @@ def _chunks(items: list, size: int) -> list[list]:
 
 class Vocabulary:
     """Counts of the most frequent words, sorted by hash, and totals of all. `rank` is a word's number in
-    the recurrent model: 0 is its symbol for other words."""
+    the recurrent model: 0 is its symbol for other words, 1 the end of a text, if counted."""
 
     def __init__(self, top: pd.DataFrame, tokens: int, kinds: int):
-        top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
-        self.tokens, self.kinds = tokens, kinds
-        inside = top[: recurrent.SIZE - 1]
+        top = top.assign(word=top["h"] != END).sort_values(["word", "c", "h"], ascending=[True, False, True], ignore_index=True)
+        self.tokens, self.kinds, self.side = tokens, kinds, recurrent.side_for(kinds)
+        size = self.side**2
+        inside = top[: size - 1]
         self.other_tokens = tokens - int(inside["c"].sum())
         self.other_kinds = kinds - len(inside)
         self.model_counts = np.r_[self.other_tokens, inside["c"].to_numpy("i8")]
         order = np.argsort(top["h"].to_numpy("i8"))
         self.hashes, self.counts = top["h"].to_numpy("i8")[order], top["c"].to_numpy("i8")[order]
-        self.ranks = np.where(order < recurrent.SIZE - 1, order + 1, 0)
+        self.ranks = np.where(order < size - 1, order + 1, 0)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ranks; count -1 for words that are not among the most frequent."""
@@ -112,12 +118,108 @@ class Vocabulary:
         return np.log10((counts + ADD) / (self.other_tokens + ADD * (self.other_kinds + 1)))
 
 
-def _train(vocabulary, start: bytes):
+class Codes(dict):
+    """Running numbers of words met, and what the vocabulary says of each: hash, whether it is known, its
+    shares of the base score and of the model's symbol for other words, its rank. The empty word is the end."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.fresh = vocabulary, []
+        self.columns = self._look_up([])
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def _look_up(self, found: list[bytes]) -> list[np.ndarray]:
+        hashes = np.array([(xxhash.xxh3_64_intdigest(w) or 1) if w else END for w in found], "u8").view("i8")
+        counts, ranks = self.vocabulary.find(hashes)
+        there, more = counts >= 0, np.zeros(len(hashes))
+        base = np.where(there, self.vocabulary.base(np.maximum(counts, 0)), 0) if there.any() else np.zeros(len(hashes))
+        other = there & (ranks == 0)
+        more[other] = self.vocabulary.other(counts[other])
+        return [hashes, there, base, more, ranks.astype("u2")]
+
+    def of(self, found: list[bytes]) -> list[np.ndarray]:
+        """The columns for each of these words."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.columns = self._look_up([])
+        numbers = np.fromiter(map(self.__getitem__, found), "i8", len(found))
+        if self.fresh:
+            self.columns = [np.concatenate(pair) for pair in zip(self.columns, self._look_up(self.fresh), strict=True)]
+            self.fresh = []
+        return [column[numbers] for column in self.columns]
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in turn, in parts of PART_CHARS characters or one text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > PART_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
+CODED = "doc long, n_tokens long, n_known long, base double, more double, rare binary, times binary, ranks binary"
+
+
+def _code(vocabulary):
+    """Per document what the frequent words give, the other words with how often they occur, and all words'
+    numbers in the model, 16 bits each."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes(vocabulary.value)
+        for frame in frames:
+            docs, at = frame["doc"].to_numpy("i8"), 0
+            for part in _parts(frame["text"].tolist()):
+                found, lengths = [], []
+                for text in part:
+                    more = words(text)
+                    found += more
+                    found.append(b"")
+                    lengths.append(len(more) + 1)
+                hashes, there, base, more, ranks = codes.of(found)
+                text, ends = np.repeat(np.arange(len(part)), lengths), np.cumsum(lengths)
+                rare, times = [], []
+                for a, b in zip(ends - lengths, ends, strict=True):
+                    kinds, n = np.unique(hashes[a:b][~there[a:b]], return_counts=True)
+                    rare.append(kinds.tobytes())
+                    times.append(n.astype("i8").tobytes())
+                yield pd.DataFrame(
+                    {
+                        "doc": docs[at : at + len(part)],
+                        "n_tokens": lengths,
+                        "n_known": np.bincount(text, there, len(part)).astype("i8"),
+                        "base": np.bincount(text, base, len(part)),
+                        "more": np.bincount(text, more, len(part)),
+                        "rare": rare,
+                        "times": times,
+                        "ranks": [ranks[a:b].tobytes() for a, b in zip(ends - lengths, ends, strict=True)],
+                    }
+                )
+                at += len(part)
+
+    return run
+
+
+def coded(docs: DataFrame, vocabulary) -> DataFrame:
+    """Rows of CODED, one per document, with a number `row` of their own; doc is NO_ID for null ids."""
+    numbered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    return numbered.mapInPandas(_code(vocabulary), CODED).withColumn("row", F.monotonically_increasing_id())
+
+
+def _ranks(frame: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(data, "u2") for data in frame["ranks"]]
+
+
+def _train(start: bytes):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names, texts = Names(), []
-        for text in frame.sort_values(["doc_id", "text"])["text"]:  # the same copy, should a task run again
-            hashes = np.r_[names.of(words(text)), np.int64(END)]
-            texts.append(vocabulary.value.find(hashes)[1])
+        texts = _ranks(frame.sort_values("row"))  # the same copy, should a task run again
         weights = recurrent.train(recurrent.unpack(start), texts)
         tokens = float(sum(map(len, texts)))
         return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "weight": [tokens], "data": [recurrent.pack(weights)]})
@@ -132,22 +234,23 @@ def _average(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "weight": [total], "data": [mean.astype("f4").tobytes()]})
 
 
-def lessons(docs: DataFrame, turn: int) -> DataFrame:
-    """The documents of a round; each is in one round."""
-    return docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS)) == turn).select("doc_id", "text")
+def lessons(codes: DataFrame, turn: int) -> DataFrame:
+    """The training documents of a round; each is in one round. Copies and repeated rows are spread, as
+    every row has a number of its own."""
+    taught = codes.where((F.col("doc") == NO_ID) | ~held_out(F.col("doc"), 10, 0))
+    return taught.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn).select("row", "doc", "ranks")
 
 
-def fit(docs: DataFrame, vocabulary, folder: str) -> bytes:
+def fit(codes: DataFrame, vocabulary, folder: str) -> bytes:
     """The recurrent model's weights. Shards grow in number with the documents, not in size; a mean
-    takes FAN_IN copies at most."""
-    start = recurrent.pack(recurrent.initial(vocabulary.value.model_counts))
-    n = docs.count()
+    takes about FAN_IN copies."""
+    start = recurrent.pack(recurrent.initial(vocabulary.value.model_counts, vocabulary.value.side))
     kinds = "shard long, weight double, data binary"
-    for turn in range(ROUNDS if n else 0):
-        shards = max(1, n // (ROUNDS * SHARD_DOCS))
-        now = lessons(docs, turn).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.lit("shard")), F.lit(shards)))
-        now = staged(now.groupBy("shard").applyInPandas(_train(vocabulary, start), kinds), folder, f"round{turn}")
-        left, level = shards, 0
+    for turn in range(ROUNDS):
+        now = lessons(codes, turn)
+        left, level = max(1, now.count() // SHARD_DOCS), 0
+        now = now.withColumn("shard", F.pmod(F.xxhash64("row", F.lit("shard")), F.lit(left)))
+        now = staged(now.groupBy("shard").applyInPandas(_train(start), kinds), folder, f"round{turn}")
         while left > 1:
             left = -(-left // FAN_IN)
             now = now.withColumn("shard", F.pmod("shard", F.lit(left))).groupBy("shard")
@@ -157,28 +260,17 @@ def fit(docs: DataFrame, vocabulary, folder: str) -> bytes:
     return start
 
 
-def _score(vocabulary, weights: bytes):
-    """Per document what the frequent words give, and the other words with how often they occur."""
+SCORED = "row long, doc long, n_tokens long, n_known long, base double, more double"
+
+
+def _score(weights: bytes):
+    """The model's score of each document, added to what `more` holds for its words outside the model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, model, names = vocabulary.value, recurrent.unpack(weights), Names()
+        model = recurrent.unpack(weights)
         for frame in frames:
-            for begin in range(0, len(frame), 1024):
-                part = frame.iloc[begin : begin + 1024]
-                rows, texts = [], []
-                for text in part["text"]:
-                    hashes = np.r_[names.of(words(text)), np.int64(END)]
-                    counts, ranks = known.find(hashes)
-                    there = counts >= 0
-                    other = there & (ranks == 0)
-                    base, more = known.base(counts[there]).sum(), known.other(counts[other]).sum()
-                    rare, times = np.unique(hashes[~there], return_counts=True)
-                    rows.append((len(hashes), int(there.sum()), base, more, rare.tobytes(), times.astype("i8").tobytes()))
-                    texts.append(ranks)
-                out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "more", "rare", "times"])
-                out["more"] += recurrent.score(model, texts) / np.log(10)
-                out.insert(0, "row", part["row"].to_numpy())
-                yield out
+            more = frame["more"] + recurrent.score(model, _ranks(frame)) / np.log(10)
+            yield frame.drop(columns="ranks").assign(more=more)
 
     return run
 
@@ -216,15 +308,13 @@ def log_likelihood(docs: DataFrame) -> DataFrame:
     counts = training.select("text").mapInPandas(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = staged(counts.where("c > 0"), folder, "counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= _known_from(counts)).toPandas()
+    top = counts.where((F.col("c") >= _known_from(counts)) | (F.col("h") == END)).toPandas()
     shared = spark.sparkContext.broadcast(Vocabulary(top, tokens, kinds))
-    weights = fit(training, shared, folder)
-    # Rows are told apart by a number of their own, given once and written down with the scores.
-    numbered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row"), "text")
-    kinds_of = "row long, n_tokens long, n_known long, base double, more double, rare binary, times binary"
-    first = numbered.mapInPandas(_score(shared, weights), kinds_of)
-    first = staged(first.withColumnRenamed("row", "doc").withColumn("row", F.monotonically_increasing_id()), folder, "scores")
-    rare = first.where("length(rare) > 0").select("row", "rare", "times").mapInPandas(_rare, "row long, h long, times long")
+    # Rows are told apart by a number of their own, given once and written down with their codes.
+    codes = staged(coded(docs, shared), folder, "codes")
+    columns = ["row", "doc", "n_tokens", "n_known", "base", "more"]
+    first = codes.select(*columns, "ranks").mapInPandas(_score(fit(codes, shared, folder)), SCORED)
+    rare = codes.where("length(rare) > 0").select("row", "rare", "times").mapInPandas(_rare, "row long, h long, times long")
     c = F.coalesce("c", F.lit(0))
     base = F.log10((c + ADD) / (tokens + ADD * (kinds + 1)))
     other = F.log10((c + ADD) / (shared.value.other_tokens + ADD * (shared.value.other_kinds + 1)))
@@ -233,7 +323,7 @@ def log_likelihood(docs: DataFrame) -> DataFrame:
         F.sum(base * F.col("times")).alias("_base"),
         F.sum(other * F.col("times")).alias("_more"),
     )
-    whole = first.select("row", "doc", "n_tokens", "n_known", "base", "more").join(sums, "row", "left").na.fill(0)
+    whole = first.join(sums, "row", "left").na.fill(0)
     doc = F.when(F.col("doc") != NO_ID, F.col("doc"))
     return whole.select(
         doc.alias("doc_id"), held_out(doc, 10, 0).alias("held_out"), "n_tokens",

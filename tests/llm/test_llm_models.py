@@ -123,15 +123,16 @@ def test_words_beyond_the_known_ones_are_scored_alike(spark, docs, monkeypatch):
 @pytest.mark.parametrize("n", [40, 1500])
 def test_every_training_document_teaches_once(spark, monkeypatch, n):
     given = spark.createDataFrame([(k, f"a b {k}") for k in range(n)] + [(None, None)], "doc_id long, text string")
-    taught = [r["doc_id"] for turn in range(lm_score.ROUNDS) for r in lm_score.lessons(given, turn).collect()]
-    assert Counter(taught) == Counter([*range(n), None])
-    weights = []
-    monkeypatch.setattr(lm_score, "staged", lambda df, folder, name: weights.append(df) or df)
     top = pd.DataFrame({"h": lm_score.Names().of([b"a", b"b"]), "c": [n, n]})
     shared = spark.sparkContext.broadcast(lm_score.Vocabulary(top, 4 * n, n + 2))
-    lm_score.fit(given, shared, "")
+    codes = lm_score.coded(given, shared).cache()
+    taught = [r["doc"] for turn in range(lm_score.ROUNDS) for r in lm_score.lessons(codes, turn).collect()]
+    assert Counter(taught) == Counter([*(k for k in range(n) if zlib.crc32(str(k).encode()) % 10), lm_score.NO_ID])
+    weights = []
+    monkeypatch.setattr(lm_score, "staged", lambda df, folder, name: weights.append(df) or df)
+    lm_score.fit(codes, shared, "")
     rounds = [df for df in weights if df.count()]
-    assert sum(r["weight"] for df in rounds for r in df.collect()) == 4 * n + 1  # three words and an end each, and the null text's end
+    assert sum(r["weight"] for df in rounds for r in df.collect()) == 4 * (len(taught) - 1) + 1  # three words and an end each, and the null text's end
 
 
 def test_scores_edges(spark):
@@ -160,6 +161,38 @@ def test_recurrent_model_is_a_distribution_and_carries_its_state():
     assert recurrent.score(weights, texts) == pytest.approx([slow_score(weights, t) for t in texts], rel=1e-4)
 
 
+def test_a_larger_vocabulary_has_more_classes_and_is_a_distribution():
+    assert [recurrent.side_for(n) for n in (0, 1000, 24**4, 24**4 + 1, 10**7, 10**12)] == [24, 24, 24, 25, 57, 255]
+    pick, side = np.random.default_rng(2), 30
+    weights = recurrent.initial(np.arange(900, 0, -1), side)
+    every = recurrent.outputs(weights, np.zeros((900, recurrent.UNITS), "f4"), np.arange(900))
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+    texts = [pick.integers(0, 900, n) for n in (700, 3, 40, 1)]
+    taught = recurrent.train(weights, texts)
+    assert all((recurrent.unpack(recurrent.pack(taught))[k] == v).all() for k, v in taught.items())
+    assert recurrent.score(taught, texts[:1])[0] > recurrent.score(weights, texts[:1])[0]
+
+
+def test_the_last_words_of_a_shard_teach_too():
+    """131 words in one lane and 257 in two: places that fill up the last lane teach nothing, the words do."""
+    for n in (131, 257):
+        texts = [np.arange(n) % 5, np.array([7])]
+        weights = recurrent.initial(np.ones(recurrent.SIZE))
+        other = [texts[0], np.array([9])]
+        with_seven, with_nine = recurrent.train(weights, texts), recurrent.train(weights, other)
+        assert recurrent.score(with_seven, texts[1:])[0] > recurrent.score(with_nine, texts[1:])[0]
+
+
+def test_the_end_of_a_text_has_a_rank_however_rare():
+    counts = pd.DataFrame({"h": [*range(1, 5000), lm_score.END], "c": [9] * 4999 + [1]})
+    known = lm_score.Vocabulary(counts, 9 * 4999 + 1, 5000)
+    assert known.find(np.array([lm_score.END]))[1][0] == 1 and known.side == 24
+    codes = lm_score.Codes(known)
+    hashes, there, base, _, ranks = codes.of([b"", b"never met", b""])
+    assert (hashes[0], there.tolist(), ranks.tolist()) == (lm_score.END, [True, False, True], [1, 0, 1])
+    assert base[0] == pytest.approx(math.log10(1.1 / (9 * 4999 + 1 + 500.1))) and base[1] == 0
+
+
 def test_recurrent_model_learns_order():
     pick = np.random.default_rng(4)
     texts = [np.tile(np.arange(k, k + 6), 10) for k in pick.integers(0, 12, 400)]
