@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from emberwatch.functions.allowlist import exclude_listed
 from emberwatch.functions.conditions import apply_exclusions, compile_condition, field, require_group
 from emberwatch.functions.net import to_network
 from emberwatch.functions.text import fold
+from emberwatch.lineage import stored
 from emberwatch.operators import detect, explain, hunts
 from emberwatch.plans import run
 from emberwatch.plans.oracle import DAY, EV, HOUR, NET, bursts, with_
@@ -32,6 +33,19 @@ def _allowlist(s, d):
     )
 
 
+def _on_history(s, d):
+    """Two runs, one after the other; each reads the sums that the one before it left."""
+    rule, rows = tuned("AUTH-004"), events(s, d)
+    first, second, last = (datetime(*t, tzinfo=UTC) for t in ((2024, 1, 16), (2024, 1, 19, 6), (2024, 3, 1)))
+    tick = timedelta(microseconds=1)
+    sums = stored(detect.compact_history(rows.filter(F.col("timestamp") < F.lit(first)), rule))
+    found = run.evidence_of(rows, [rule], first, second - tick, {rule["id"]: sums}).withColumn("run", F.lit(0))
+    between = rows.filter((F.col("timestamp") >= F.lit(first)) & (F.col("timestamp") < F.lit(second)))
+    sums = stored(detect.merge_history(sums, detect.compact_history(between, rule), detect.group_keys(rule)))
+    found = found.unionByName(run.evidence_of(rows, [rule], second, last, {rule["id"]: sums}).withColumn("run", F.lit(1)))
+    return found.select("run", "id", "username", "value", "history_count", "us")
+
+
 FAIL = "category = 'authentication' AND action = 'logon' AND outcome = 'failure'"
 GOOD = "category = 'authentication' AND action = 'logon' AND outcome = 'success'"
 AUTH1 = tuned("AUTH-001", threshold=2, time_window="24h")
@@ -261,7 +275,7 @@ UNION ALL SELECT 'PROC-001', indicator, host, count(*), min(us) FROM pc WHERE in
         lambda s, d: run.run_rules(events(s, d), [AUTH1, AUTH3, tuned("PRIV-001")], START, END).select(*RANGE_COLUMNS),
         with_(EV, *RANGE, body=f"{RANGE_ALL} SELECT rule_id, event_count, first_us, last_us FROM found"),
     ),
-    "det_batch_run": (
+    "det_range_batch_run": (
         lambda s, d: run.run_rules(events(s, d), [AUTH1, AUTH3, tuned("PRIV-001")], START, END, "b-2024-01-10").select(*RANGE_COLUMNS),
         with_(EV, *RANGE, body=f"{RANGE_ALL} SELECT rule_id, event_count, first_us, last_us FROM found WHERE list_contains(batches, 'b-2024-01-10')"),
     ),
@@ -317,6 +331,13 @@ q_w AS (
         lambda s, d: detect.evaluate(events(s, d), tuned("AUTH-004")).select("id", "username", "value", "history_count", "us"),
         with_(EV, NV, body="SELECT id, username, v AS value, history AS history_count, us FROM nv"),
     ),
+    "det_new_value_history": (
+        _on_history,
+        with_(EV, NV, body=f"""SELECT run, id, username, v AS value, history AS history_count, us FROM (
+  SELECT *, row_number() OVER (PARTITION BY run, username, v ORDER BY us, id) AS nth FROM (
+    SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-19 06:00:00' THEN 0 ELSE 1 END AS run FROM nv_c WHERE same = 0 AND history >= 5 AND ts >= TIMESTAMP '2024-01-16 00:00:00'))
+WHERE nth = 1"""),
+    ),
     "det_network": (
         lambda s, d: events(s, d).groupBy(to_network(F.col("source_ip")).alias("network")).agg(F.count("*").alias("n")),
         with_(EV, body=f"SELECT {NET.format('source_ip')} AS network, count(*) AS n FROM ev GROUP BY 1"),

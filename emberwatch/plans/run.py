@@ -48,15 +48,20 @@ def evidence_of(
     rules: list[dict],
     start: datetime | None = None,
     end: datetime | None = None,
+    history: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Evidence of all enabled rules, one plan per rule over the shared scan."""
+    """Evidence of all enabled rules, one plan per rule over the shared scan. `history`: by rule id, the
+    sums (compact_history) of the events before `start`, for rules of new values."""
     low = None if start is None else to_micros(start)
     high = None if end is None else to_micros(end)
-    parts = [
-        evaluate(window_for(events, rule, start, end), rule, low, high).select(*EVIDENCE_COLUMNS)
-        for rule in rules
-        if rule.get("enabled", True)
-    ]
+    kept = history or {}
+
+    def found(rule: dict) -> DataFrame:
+        if rule["id"] in kept:  # narrows the events itself, to whole slices
+            return evaluate(events, rule, low, high, kept[rule["id"]])
+        return evaluate(window_for(events, rule, start, end), rule, low, high)
+
+    parts = [found(rule).select(*EVIDENCE_COLUMNS) for rule in rules if rule.get("enabled", True)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -66,18 +71,23 @@ def run_rules(
     start: datetime | None = None,
     end: datetime | None = None,
     batch_id: str | None = None,
+    history: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Detections of all enabled rules. A batch run keeps those that touch the batch."""
     # The evidence is read by several aggregations, and each rule's plan is deep: keep it once.
-    found = build_detections(cut(evidence_of(events, rules, start, end)), rules)
+    found = build_detections(cut(evidence_of(events, rules, start, end, history)), rules)
     return found if batch_id is None else found.filter(F.array_contains("batch_ids", batch_id))
 
 
 def run_with_evidence(
-    events: DataFrame, rules: list[dict], start: datetime | None = None, end: datetime | None = None
+    events: DataFrame,
+    rules: list[dict],
+    start: datetime | None = None,
+    end: datetime | None = None,
+    history: dict[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Detections, and all their evidence (match_id, us, id) as a table beside them."""
-    evidence = cut(evidence_of(events, rules, start, end))
+    evidence = cut(evidence_of(events, rules, start, end, history))
     return build_detections(evidence, rules), evidence.select("match_id", "us", "id")
 
 

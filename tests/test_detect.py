@@ -2,9 +2,11 @@
 
 import random
 from collections import defaultdict
+from datetime import UTC, datetime
 
 import pytest
-from frames import event, frame
+from frames import T0, event, frame
+from pyspark.sql import functions as F
 
 from emberwatch.operators import detect
 
@@ -205,6 +207,27 @@ def test_new_value(spark, seed, lookback, least, values):
     assert want and {(r[0], r[1], int(r[2][1:]), r[3]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed,lookback,cuts", [(41, 3000, (4000, 4321, 9000)), (42, 640, (3000, 6000, 6001)), (43, 20000, (1, 5000, 20000))])
+def test_new_value_on_stored_history_equals_the_full_run(spark, seed, lookback, cuts):
+    rule = dict(id="N", kind="new_value", match=GOOD, group_by=["username"], value_field="source_ip",
+                value_transform="ip_network", lookback=f"{lookback}s", min_history=2)
+    df = to_frame(spark, random_rows(seed, values=50)).cache()
+    at = [detect.micros(T0 - datetime.fromtimestamp(0, UTC)) + c * 1_000_000 for c in cuts]
+    before = lambda low, high: df.filter((F.unix_micros("timestamp") >= low) & (F.unix_micros("timestamp") < high))
+    rows = lambda found: sorted(map(tuple, found.select("username", "value", "id", "history_count").collect()))
+    history, some = detect.compact_history(before(0, at[0]), rule), 0
+    for start, end in zip(at, at[1:], strict=False):
+        spans = [(F.unix_micros("timestamp") >= a) & (F.unix_micros("timestamp") < b) for a, b in detect.history_ranges(rule, start, end - 1)]
+        near = df.filter(spans[0] | spans[-1])
+        want = rows(detect.evaluate(df, rule, start, end - 1))
+        assert rows(detect.evaluate(near, rule, start, end - 1, history)) == want
+        some += len(want)
+        history = detect.merge_history(history, detect.compact_history(before(start, end), rule), ["_k0"])
+    assert some
+    with pytest.raises(ValueError, match="start and its end"):
+        detect.evaluate(df, rule, at[0], None, history)
+
+
 def test_single_takes_the_first_indicator(spark):
     rows = frame(spark, [event(1, command_line="x /dev/tcp/ y"), event(2, command_line="x"), event(3, host=None)])
     rule = dict(id="P", kind="single", match={"field": "event_category", "op": "exists"}, group_by=["host"],
