@@ -73,6 +73,25 @@ def chained(s, d):
     )
 
 
+def sealed(s, d):
+    """Orders as audit entries in volumes of 64 sequence numbers, each a ledger that is hashed entry by entry; then some
+    entries are edited and some removed. Entries before 100 are older than the chain."""
+    rows = ledger(s, d).withColumn("volume", F.expr("seq div 64"))
+    fields = [c for c in rows.columns if c != "volume"]
+    entry = F.struct("seq", *[c for c in fields if c != "seq"])
+    lines = rows.filter("seq >= 100").groupBy("volume").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    last = lambda hashes: F.element_at(hashes, -1)
+    add = lambda hashes, e: F.concat(hashes, F.array(L.entry_hash(last(hashes), lambda c: e[c])))
+    lines = lines.withColumn("hashes", F.aggregate("entries", F.array(F.lit(L.GENESIS)), add))
+    one = F.posexplode("entries").alias("at", "e")
+    made = lines.select("volume", "hashes", one).select(
+        "volume", "e.*", F.expr("hashes[at]").alias("prev_hash"), F.expr("hashes[at + 1]").alias("entry_hash")
+    )
+    made = made.filter("seq % 89 <> 7").withColumn("result", F.when(F.col("seq") % 97 == 5, F.lit("X")).otherwise(F.col("result")))
+    old = rows.filter("seq < 100").withColumns({"prev_hash": F.lit(None).cast("string"), "entry_hash": F.lit(None).cast("string")})
+    return made.unionByName(old)
+
+
 def _links(s, d):
     """Entries whose link to the entry before is wrong, over blocks of sequence numbers."""
     log = chained(s, d)
@@ -231,6 +250,19 @@ UNION ALL SELECT 'account', r.name, i.id, r.roles FROM (SELECT name, string_agg(
         """WITH e AS (SELECT o_orderkey AS seq, lag(o_orderkey) OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS b, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS g FROM orders),
 x AS (SELECT seq, CASE WHEN seq = 777 THEN 'edited' WHEN b >= 100 THEN sha256(b::VARCHAR) ELSE repeat('0', 64) END AS prev_hash, CASE WHEN g >= 100 THEN sha256(g::VARCHAR) ELSE repeat('0', 64) END AS expected_prev FROM e WHERE seq >= 100)
 SELECT * FROM x WHERE prev_hash <> expected_prev""",
+    ),
+    "aud_chains": (
+        lambda s, d: L.verify_chains(sealed(s, d), ["volume"], block=16, group=2),
+        """WITH RECURSIVE o AS (SELECT o_orderkey AS seq, o_orderkey // 64 AS volume, row_number() OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) AS k,
+  '","' || o_orderkey || '","' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","' || CASE WHEN o_orderkey % 3 = 0 THEN 'LOGIN' ELSE 'RULE_UPDATED' END
+  || '","' || o_orderstatus || '","' || o_custkey || '",null,null,null,null,null,null]' AS fields FROM orders WHERE o_orderkey >= 100),
+c AS (SELECT seq, volume, k, repeat('0', 64) AS prev, sha256('["' || repeat('0', 64) || fields) AS h FROM o WHERE k = 1
+  UNION ALL SELECT o.seq, o.volume, o.k, c.h, sha256('["' || c.h || o.fields) FROM c JOIN o ON o.volume = c.volume AND o.k = c.k + 1),
+x AS (SELECT *, seq % 97 = 5 OR prev <> coalesce(lag(h) OVER (PARTITION BY volume ORDER BY seq), repeat('0', 64)) AS broken FROM c WHERE seq % 89 <> 7),
+y AS (SELECT volume, count(*) AS chained, min(seq) FILTER (WHERE broken) AS first_broken, max(seq) AS head_seq, max_by(h, seq) AS head_hash FROM x GROUP BY volume),
+z AS (SELECT DISTINCT volume FROM y UNION SELECT o_orderkey // 64 FROM orders WHERE o_orderkey < 100)
+SELECT z.volume, coalesce(chained, 0) AS chained, first_broken, head_seq, head_hash,
+  (SELECT count(*) FROM orders WHERE o_orderkey < 100 AND o_orderkey // 64 = z.volume) AS legacy FROM z LEFT JOIN y ON y.volume = z.volume""",
     ),
     "aud_chain": (
         lambda s, d: L.verify_chain(chained(s, d), block=1000).select("chained", "legacy", "head_seq", "head_hash"),
