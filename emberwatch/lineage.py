@@ -28,9 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table of the shared folder: later plans read only the columns they
-    need, and losing an executor repeats a read."""
+def stored(df: DataFrame, *parts: str) -> DataFrame:
+    """The same rows as a Parquet table of the shared folder, in a folder per value of `parts`: later plans read only
+    the columns and folders they need, and losing an executor repeats a read."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/emberwatch/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -30,16 +30,22 @@ def to_micros(moment: datetime) -> int:
     return micros(moment - datetime.fromtimestamp(0, moment.tzinfo))
 
 
+def _low(rule: dict, start: datetime | None) -> list[int]:
+    """From when a run over [start, ...] reads events for a rule, if it is bounded."""
+    return [] if start is None else [to_micros(start) - reach(rule) - (micros(rule.get("lookback")) or 0)]
+
+
+def _high(rule: dict, end: datetime | None) -> list[int]:
+    return [] if end is None else [to_micros(end) + reach(rule)]
+
+
 def window_for(events: DataFrame, rule: dict, start: datetime | None, end: datetime | None) -> DataFrame:
     """The events a run over [start, end] reads for a rule: widened by the rule's reach, and by
     its lookback before the start for history."""
-    back = reach(rule) + (micros(rule.get("lookback")) or 0)
-    if start is not None:
-        low = F.timestamp_micros(F.lit(to_micros(start) - back))
-        events = events.filter(F.col("timestamp") >= low)
-    if end is not None:
-        high = F.timestamp_micros(F.lit(to_micros(end) + reach(rule)))
-        events = events.filter(F.col("timestamp") <= high)
+    for low in _low(rule, start):
+        events = events.filter(F.col("timestamp") >= F.timestamp_micros(F.lit(low)))
+    for high in _high(rule, end):
+        events = events.filter(F.col("timestamp") <= F.timestamp_micros(F.lit(high)))
     return events
 
 
@@ -65,6 +71,48 @@ def evidence_of(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _mentioned(part) -> set[str]:
+    """All texts of a rule; the names of the fields that it uses are among them."""
+    if isinstance(part, dict):
+        part = [*part.keys(), *part.values()]
+    if isinstance(part, list | tuple | set):
+        return set().union(*map(_mentioned, part))
+    return {part} if isinstance(part, str) else set()
+
+
+def candidate_rows(events: DataFrame, rules: list[dict], start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """One scan for all rules: a row per event and rule that it is a candidate of, `rule_part` names the rule,
+    with the columns that evidence and these rules use."""
+    used = {"timestamp", *EVIDENCE_COLUMNS}.union(*map(_mentioned, rules))
+    tests = {}
+    for rule in rules:
+        inside = [F.col("timestamp") >= F.timestamp_micros(F.lit(low)) for low in _low(rule, start)]
+        inside += [F.col("timestamp") <= F.timestamp_micros(F.lit(high)) for high in _high(rule, end)]
+        tests[rule["id"]] = reduce(lambda a, b: a & b, [candidates(events, rule), *inside])
+    hit = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    rows = events.filter(reduce(lambda a, b: a | b, tests.values()))
+    return rows.select(*[c for c in events.columns if c in used], F.explode(hit).alias("rule_part"))
+
+
+def evidence_at_once(
+    events: DataFrame,
+    rules: list[dict],
+    start: datetime | None = None,
+    end: datetime | None = None,
+    history: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """As evidence_of, for runs of several rules: the events are read once, their candidates are written in a
+    folder per rule, and each rule reads its own. A rule with stored history reads events itself."""
+    kept, enabled = history or {}, [r for r in rules if r.get("enabled", True)]
+    shared = [r for r in enabled if r["id"] not in kept]
+    if len(shared) < 2:
+        return evidence_of(events, rules, start, end, history)
+    rows = stored(candidate_rows(events, shared, start, end), "rule_part")
+    parts = [evidence_of(rows.filter(F.col("rule_part") == r["id"]).drop("rule_part"), [r], start, end) for r in shared]
+    parts += [evidence_of(events, [r], start, end, kept) for r in enabled if r["id"] in kept]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_rules(
     events: DataFrame,
     rules: list[dict],
@@ -75,7 +123,7 @@ def run_rules(
 ) -> DataFrame:
     """Detections of all enabled rules. A batch run keeps those that touch the batch."""
     # The evidence is read by several aggregations, and each rule's plan is deep: keep it once.
-    found = build_detections(cut(evidence_of(events, rules, start, end, history)), rules)
+    found = build_detections(cut(evidence_at_once(events, rules, start, end, history)), rules)
     return found if batch_id is None else found.filter(F.array_contains("batch_ids", batch_id))
 
 
@@ -87,7 +135,7 @@ def run_with_evidence(
     history: dict[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Detections, and all their evidence (match_id, us, id) as a table beside them."""
-    evidence = cut(evidence_of(events, rules, start, end, history))
+    evidence = cut(evidence_at_once(events, rules, start, end, history))
     return build_detections(evidence, rules), evidence.select("match_id", "us", "id")
 
 

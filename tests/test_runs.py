@@ -2,9 +2,11 @@
 
 from datetime import timedelta
 
+import pytest
 from frames import T0
 from pyspark.sql import functions as F
 from test_detect import FAIL, random_rows, to_frame
+from test_detect import GOOD as SUCCESS
 
 from emberwatch.operators import detect
 from emberwatch.plans import run
@@ -39,6 +41,40 @@ def test_without_broken_rules_the_evidence_is_that_of_a_run(spark):
     assert rows(evidence) == rows(run.evidence_of(df, [GOOD_RULE, SINGLE]))
 
 
+SEQUENCE = dict(id="SEQ", kind="sequence", group_by=["username"], threshold=2, time_window="900s",
+                steps=[dict(name="a", match=FAIL), dict(name="b", match=SUCCESS)])
+NEW = dict(id="NEW", kind="new_value", match=SUCCESS, group_by=["username"], value_field="source_ip", lookback="3000s", min_history=2)
+SPARED = dict(GOOD_RULE, id="SPARED", exclusions=[{"field": "username", "value": "u1"}])
+NOTHING = dict(SINGLE, id="NOTHING", match={"field": "message", "op": "eq", "value": "never"})
+EVERY = [GOOD_RULE, SINGLE, SEQUENCE, NEW, SPARED, NOTHING, OFF]
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_one_scan_gives_the_evidence_of_each_rule(spark, bounded):
+    df = to_frame(spark, random_rows(35, n=400))
+    span = (T0 + timedelta(seconds=6000), T0 + timedelta(seconds=14000)) if bounded else ()
+    rows = lambda d: sorted(d.select("rule_id", "match_id", "id", "value", "history_count", "step_no").collect(), key=str)
+    want = rows(run.evidence_of(df, EVERY, *span))
+    found = run.evidence_at_once(df, EVERY, *span)
+    assert {r["rule_id"] for r in want} == {"OK", "ONE", "SEQ", "NEW", "SPARED"} and rows(found) == want
+
+
+def test_one_scan_with_a_rule_on_history(spark):
+    df = to_frame(spark, random_rows(36, n=400))
+    start, end = T0 + timedelta(seconds=6000), T0 + timedelta(seconds=14000)
+    sums = detect.compact_history(df.filter(F.col("timestamp") < F.lit(start)), NEW)
+    rows = lambda d: sorted(d.select("rule_id", "match_id", "id", "value", "history_count").collect(), key=str)
+    assert rows(run.evidence_at_once(df, EVERY, start, end, {"NEW": sums})) == rows(run.evidence_of(df, EVERY, start, end))
+
+
+def test_candidates_keep_only_columns_in_use(spark):
+    df = to_frame(spark, random_rows(37, n=50))
+    rows = run.candidate_rows(df, [GOOD_RULE, SEQUENCE])
+    assert "message" not in rows.columns and {"username", "event_outcome", "timestamp", "rule_part"} <= set(rows.columns)
+    assert "message" in run.candidate_rows(df, [NOTHING, SINGLE]).columns
+    assert run.evidence_at_once(df.limit(0), EVERY).collect() == []
+
+
 def test_a_range_counts_what_it_reads(spark):
     df = to_frame(spark, random_rows(33, n=200))
     start, end = T0 + timedelta(seconds=5000), T0 + timedelta(seconds=9000)
