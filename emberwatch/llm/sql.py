@@ -133,7 +133,7 @@ def _urls(depth: int = 3) -> str:
             FROM {last} JOIN hosts USING (host) GROUP BY {leaf})""",
         f"known AS (SELECT {shape}, template, purity FROM {last} JOIN leaves USING ({leaf}))",
     ]
-    rules = {"example.org/en/1": "allow", "example.org/es/": "block", "com/de/": "block", "com/fr/": "allow", "org/": "allow"}
+    rules = {"example.org/en/1": "block", "example.org/es/": "block", "com/de/": "block", "com/fr/": "allow", "org/": "allow"}
     fits = "".join(
         f" WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}'))"
         f" AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'"

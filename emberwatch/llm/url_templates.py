@@ -26,7 +26,7 @@ ALLOW, BLOCK = "allow", "block"
 RULES = {
     "org/": ALLOW,
     "example.org/es/": BLOCK,
-    "example.org/en/1": ALLOW,
+    "example.org/en/1": BLOCK,
     "com/fr/": ALLOW,
     "com/de/": BLOCK,
 }
