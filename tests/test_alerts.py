@@ -90,6 +90,48 @@ def test_link_strength(spark, a, b, strength):
             assert ("a001", "a002") in {tuple(r) for r in C.candidate_pairs(rows).collect()}
 
 
+def meeting(spark):
+    """Alerts of very different spans that share several things at once."""
+    rng, day = random.Random(8), 24 * 60 * MIN
+    rows = []
+    for i in range(150):
+        at = 10**15 + rng.randrange(6000) * MIN
+        one = list(subject(i, at, host=f"h{rng.randrange(4)}", user=f"u{rng.randrange(6)}", technique=f"T{rng.randrange(3)}",
+                           access=rng.random() < 0.3, last=at + rng.choice([0, 0, MIN, 5 * day])))
+        one[14] = [f"203.0.113.{k}" for k in range(3) if rng.random() < 0.4] + ["10.0.0.1"]
+        rows.append(tuple(one))
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def test_pairs_meet_once_and_never_move(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL", 7)
+    df = meeting(spark)
+    facts = [r.asDict() for r in df.collect()]
+
+    def meets(a, b):
+        host, near = set(a["hosts"]) & set(b["hosts"]), a["first_us"] <= b["last_us"] + C.CORRELATION_WINDOW and a["last_us"] >= b["first_us"] - C.CORRELATION_WINDOW
+        sources = set(a["sources"]) & set(b["sources"])
+        return near and (bool(host and (set(a["users"]) & set(b["users"]) or sources or b["access"])) or any(x.startswith("203") for x in sources))
+
+    want = sorted((a["id"], b["id"]) for a in facts for b in facts if a["id"] != b["id"] and meets(a, b))
+    pairs = C.candidate_pairs(df)
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 500
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    twice = C.candidate_pairs(df.unionByName(df.limit(9)))  # an id with several rows
+    assert sorted(map(tuple, twice.collect())) == want
+
+
+def test_links_are_scored_where_pairs_meet(spark):
+    df = meeting(spark)
+    joins = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    plain, carried = C.candidate_pairs(df), C.candidate_pairs(df, facts=True)
+    rows = lambda links: sorted(repr(r) for r in links.collect())
+    got = C.score_links(carried, df)
+    assert joins(got) == joins(carried) and rows(got) == rows(C.score_links(plain, df))
+    repeated = df.unionByName(df.limit(9))
+    assert rows(C.score_links(C.candidate_pairs(repeated, facts=True), repeated)) == rows(C.score_links(plain, repeated))
+
+
 def test_assembly_by_component_equals_one_walk(spark):
     rng = random.Random(5)
     rows = [
