@@ -1,17 +1,19 @@
 """Detection with state per key: low latency, bounded lateness.
 
 Events of a key wait until the watermark has passed them, so each key is always read in order; events
-that come after the watermark has passed their time are dropped. A timer per key, at the earliest
-waiting event or the end of what is kept, does the work, so a batch costs what its keys have due. Waiting events
-are a list, appended to; what a rule remembers are further lists and maps, of which only what changes is written.
-It is bounded by the rule: one window (or lookback) per key. A stream that ends is completed by `closing` rows,
+that come after the watermark has passed their time are dropped. Keys are dealt to buckets by their hash, and a bucket
+is one state: what waits is appended to, a piece for each batch, and what a rule remembers of its keys is one
+value. So a batch asks the state store a few times per bucket, however many keys there are. A timer per bucket, at the
+earliest waiting event or the end of what is kept, does the work.
+What is remembered is bounded by the rule: one window (or lookback) per key. A stream that ends is completed by `closing` rows,
 which move the watermark past all others."""
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,74 +25,91 @@ from emberwatch.functions.conditions import holds
 from emberwatch.operators.detect import _value, group_keys, matching, micros, prepared
 
 COLUMNS = ["us", "id", "v", "s1", "s2"]
-_KINDS = {"bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "bigints": T.ArrayType(T.LongType())}
-
-
-def _of(fields: str) -> T.StructType:
-    """The type of a kept value; workers have no session that could read it from text."""
-    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+#: How many states the keys are dealt to. More of them make each smaller; a stream keeps its number.
+BUCKETS = 1_024
+#: Workers have no session that could read a type from text.
+PIECE = T.StructType([T.StructField("rows", T.BinaryType())])
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-EVENT = _of("us bigint, id string, v string, s1 boolean, s2 boolean")
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def _plain_names(keys: list[str]) -> list[str]:
+    """Names without the underscore, with which pandas would not hand them over."""
+    return [k.lstrip("_") for k in keys]
 
 
 class Keyed(StatefulProcessor):
-    """Waiting events of a key, handed to `fold` in order once they are due."""
+    """Waiting events of a bucket's keys. Once they are due, each key's are handed to `fold` in order, with what is
+    remembered of the key; it returns what it found, what to remember (None: nothing), and until when."""
 
     out = ""
 
     def __init__(self, width: int) -> None:
+        self.width = width
         self.names = [*[f"_k{i}" for i in range(width)], *[c.split()[0] for c in self.out.split(", ")]]
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
-        self.remember(handle)
+        self.handle, self.done = handle, {}
+        self.waiting = handle.getListState("waiting", PIECE)
+        self.memory = handle.getValueState("memory", PIECE)
+
+    def fold(self, kept, due: list[tuple], mark: int) -> tuple[list[tuple], object, int | None]:
+        raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        mark, events = timerValues.getCurrentWatermarkInMs() * 1000, []
         for pdf in rows:
-            pdf = pdf.loc[pdf["us"] > mark, COLUMNS].astype(object)
-            if len(pdf):
-                events = pdf.where(pdf.notna(), None).values.tolist()
-                self.waiting.appendList([tuple(e) for e in events])
-                first = min(first or events[0][0], *[e[0] for e in events])
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+            pdf = pdf.loc[pdf["us"] > mark, [*_plain_names(self.names[: self.width]), *COLUMNS]].astype(object)
+            events += pdf.where(pdf.notna(), None).values.tolist()
+        if events:
+            self._wait(events)
         yield from ()
 
+    def _wait(self, events: list) -> None:
+        self.waiting.appendValue((pickle.dumps(events),))
+        self.handle.registerTimer(min(e[self.width] for e in events) // 1000 + 1)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get(), key=lambda e: (e[0], e[1]))
-        n = bisect_left(events, mark + 1, key=lambda e: e[0])
-        due, rest = events[:n], events[n:]
+        mark, width = timerValues.getCurrentWatermarkInMs() * 1000, self.width
+        if self.done.get(key) == mark:  # an earlier timer of the bucket has seen to all that is due by now
+            return
+        self.done[key] = mark
+        due, rest = [], []
+        for (piece,) in self.waiting.get():
+            for event in pickle.loads(piece):
+                (due if event[width] <= mark else rest).append(event)
         if due:
+            self.waiting.clear()
             if rest:
-                self.waiting.put(rest)
+                self._wait(rest)
+        elif rest:
+            self.handle.registerTimer(min(e[width] for e in rest) // 1000 + 1)
+        due.sort(key=lambda e: e[: width + 2])
+        old = self.memory.get()
+        kept = pickle.loads(old[0]) if old else {}
+        new = {k: [e[width:] for e in events] for k, events in groupby(due, key=lambda e: tuple(e[:width]))}
+        found, until = [], None
+        for k in list(dict.fromkeys(chain(kept, new))):
+            rows, memory, end = self.fold(kept.get(k), new.get(k, []), mark)
+            found += [(*k, *row) for row in rows]
+            if memory is None:
+                kept.pop(k, None)
             else:
-                self.waiting.clear()
-        found, until = self.fold(due, mark)
-        times = [rest[0][0]] if rest else []
+                kept[k] = memory
+            if end is not None:
+                until = end if until is None else min(until, end)
+        if kept:
+            self.memory.update((pickle.dumps(kept),))
+        elif old:
+            self.memory.clear()
         if until is not None:
-            times.append(until)
-        if times:
-            self.handle.registerTimer(max(min(times), mark) // 1000 + 1)
+            self.handle.registerTimer(max(until, mark) // 1000 + 1)
         if found:
-            yield pd.DataFrame([(*key, *row) for row in found], columns=self.names)
+            yield pd.DataFrame(found, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def _kept(state, values: list[tuple], changed: bool) -> None:
-    """The list as it is now, written only if it changed."""
-    if changed and values:
-        state.put(values)
-    elif changed:
-        state.clear()
-
-
 class Bursts(Keyed):
     """Threshold bursts: the last times, and the burst that is going on."""
 
@@ -100,19 +119,15 @@ class Bursts(Keyed):
         super().__init__(width)
         self.needed, self.window = rule["threshold"], micros(rule["time_window"])
 
-    def remember(self, handle) -> None:
-        self.recent = handle.getListState("recent", _of("us bigint"))
-        self.going = handle.getValueState("going", _of("lo bigint, hi bigint, n bigint"))
-
-    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
-        recent, going, out = [us for (us,) in self.recent.get()], self.going.get(), []
-        before = (list(recent), going)
+    def fold(self, kept, due: list[tuple], mark: int) -> tuple[list[tuple], object, int | None]:
+        (recent, going), out = kept or ([], None), []
         for us in chain([e[0] for e in due], [None]):
             now = mark if us is None else us  # last of all: is the burst over by now?
             if going and now - going[1] > self.window:
                 out.append(tuple(going))
                 going, recent = None, []
-            recent = recent[bisect_left(recent, now - self.window) :]
+            if recent and recent[0] < now - self.window:
+                recent = recent[bisect_left(recent, now - self.window) :]
             if us is None:
                 break
             if going:
@@ -121,13 +136,8 @@ class Bursts(Keyed):
             recent.append(us)
             if len(recent) >= self.needed:
                 going, recent = (recent[0], us, len(recent)), []
-        _kept(self.recent, [(us,) for us in recent], recent != before[0])
-        if going and going != before[1]:
-            self.going.update(tuple(going))
-        elif not going and before[1]:
-            self.going.clear()
         last = going[1] if going else recent[-1] if recent else None
-        return out, None if last is None else last + self.window + 1000
+        return out, None if last is None else (recent, going), None if last is None else last + self.window + 1000
 
 
 class Pairs(Keyed):
@@ -139,87 +149,58 @@ class Pairs(Keyed):
         super().__init__(width)
         self.needed, self.window, self.gap = rule["threshold"], micros(rule["time_window"]), micros(rule.get("max_gap"))
 
-    def remember(self, handle) -> None:
-        self.pending = handle.getListState("pending", _of("us bigint"))
-
-    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
-        pending, out = [us for (us,) in self.pending.get()], []
-        before = list(pending)
+    def fold(self, kept, due: list[tuple], mark: int) -> tuple[list[tuple], object, int | None]:
+        pending, at, out = kept or [], 0, []  # those before `at` are too old
         for us, ident, _, first, last in due:
-            pending = pending[bisect_left(pending, us - self.window) :]
-            near = len(pending) >= self.needed and (self.gap is None or us - pending[-1] <= self.gap)
+            at = bisect_left(pending, us - self.window, at)
+            count = len(pending) - at
+            near = count >= self.needed and (self.gap is None or us - pending[-1] <= self.gap)
             if last and near:
-                out.append((us, ident, len(pending) + 1))
-                pending = []
+                out.append((us, ident, count + 1))
+                pending, at = [], 0
             elif first:
                 pending.append(us)
-        pending = pending[bisect_left(pending, mark - self.window) :]
-        _kept(self.pending, [(us,) for us in pending], pending != before)
-        return out, pending[-1] + self.window + 1000 if pending else None
+        pending = pending[bisect_left(pending, mark - self.window, at) :]
+        return out, pending or None, pending[-1] + self.window + 1000 if pending else None
 
 
 class NewValues(Keyed):
-    """Values unseen in the lookback. Times are kept in spans of a 64th of it, so a batch writes the spans that
-    it adds to, and those that are too old go; of a value only its last time is kept."""
+    """Values unseen in the lookback: the times of the lookback in order, and of a value its last time and whether it was told."""
 
     out = "us bigint, id string, value string, history bigint"
 
     def __init__(self, rule: dict, width: int) -> None:
         super().__init__(width)
         self.lookback, self.least = micros(rule["lookback"]), rule["min_history"]
-        self.span = max(1, self.lookback // 64)
-
-    def remember(self, handle) -> None:
-        self.times = handle.getMapState("times", _of("span bigint"), _of("us bigints"))
-        self.values = handle.getMapState("values", _of("value string"), _of("last bigint, told boolean"))
-
-    def fold(self, due: list[tuple], mark: int) -> tuple[list[tuple], int | None]:
-        spans = {span: list(us) for (span,), (us,) in list(self.times.iterator())}
-        known, added, touched, out = {}, set(), set(), []
-
-        def before(us: int) -> int:
-            """Events earlier than this among those of the spans."""
-            own = us // self.span
-            return sum(len(t) for s, t in spans.items() if s < own) + bisect_left(spans.get(own, []), us)
 
+    def fold(self, kept, due: list[tuple], mark: int) -> tuple[list[tuple], object, int | None]:
+        (times, values), out = kept or ([], {}), []
         for us, ident, value, *_ in due:
-            if value not in known:
-                known[value] = self.values.getValue((value,)) or (None, False)
-            last, told = known[value]
-            history = before(us) - before(us - self.lookback)
-            if history >= self.least and not told and (last is None or last < us - self.lookback):
-                out.append((us, ident, value, history))
-                told = True
-            known[value] = (us, told)
-            touched.add(value)
-            spans.setdefault(us // self.span, []).append(us)
-            added.add(us // self.span)
-        oldest = (mark - self.lookback) // self.span
-        for span in [s for s in spans if s < oldest]:
-            del spans[span]
-            added.discard(span)
-            if self.times.containsKey((span,)):
-                self.times.removeKey((span,))
-        for span in added:
-            self.times.updateValue((span,), (spans[span],))
-        for value in touched:
-            self.values.updateValue((value,), known[value])
-        newest = max((t[-1] for t in spans.values() if t), default=None)
-        if newest is None or newest < mark - self.lookback:
+            last, told = values.get(value, (None, False))
+            if not told and (last is None or last < us - self.lookback):
+                history = bisect_left(times, us) - bisect_left(times, us - self.lookback)
+                if history >= self.least:
+                    out.append((us, ident, value, history))
+                    told = True
+            values[value] = (us, told)
+            times.append(us)
+        # Later events are after the mark, and look no further back than this.
+        times = times[bisect_left(times, mark - self.lookback) :]
+        if not times:
             # Nothing is near any more: values that were never told need not be known.
-            for (value,), (_, told) in list(self.values.iterator()):
-                if not told:
-                    self.values.removeKey((value,))
-        return out, None if newest is None or newest < mark - self.lookback else newest + self.lookback + 1000
+            values = {v: known for v, known in values.items() if known[1]}
+        return out, (times, values) if times or values else None, times[-1] + self.lookback + 1000 if times else None
 
 
 def _stateful(rows: DataFrame, keys: list[str], machine: Keyed, lateness: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     schema = ", ".join([*[f"{k} string" for k in keys], machine.out])
+    bucket = F.pmod(F.xxhash64(*_plain_names(keys)), F.lit(BUCKETS))
     return (
         rows.withWatermark("timestamp", lateness)
-        .select("timestamp", *keys, *COLUMNS)
-        .groupBy(*keys)
+        .withColumnsRenamed(dict(zip(keys, _plain_names(keys))))
+        .select("timestamp", *_plain_names(keys), *COLUMNS, bucket.alias("bucket"))
+        .groupBy("bucket")
         .transformWithStateInPandas(machine, schema, "append", "eventTime")
     )
 

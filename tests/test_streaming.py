@@ -2,13 +2,17 @@
 
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from frames import event
 from test_detect import FAIL, GOOD, random_rows, to_frame
 from test_parsers import raw
 
 from emberwatch.operators import detect
 from emberwatch.operators.reports import daily_counts
+from emberwatch.plans import catalog_streaming
 from emberwatch.schema import EVENT_SCHEMA, RAW_SCHEMA
 from emberwatch.streaming import jobs, state
 
@@ -68,6 +72,90 @@ def test_new_value(spark, tmp_path):
     assert want and {(r["_k0"], r["id"], r["value"], r["history"]) for r in got} == want
 
 
+class Kept:
+    """A state store of one bucket that counts what it is asked."""
+
+    def __init__(self):
+        self.states, self.timers, self.calls = {}, [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def asked(self, value):
+        self.calls += 1
+        return value
+
+
+class KeptList(Kept):
+    values = ()
+
+    def appendValue(self, value):
+        self.values = self.asked((*self.values, value))
+
+    def get(self):
+        return iter(self.asked(self.values))
+
+    def clear(self):
+        self.values = self.asked(())
+
+
+class KeptValue(KeptList):
+    values = None
+
+    def get(self):
+        return self.asked(self.values)
+
+    def update(self, value):
+        self.values = self.asked(value)
+
+    def clear(self):
+        self.values = self.asked(None)
+
+
+@pytest.mark.parametrize("kind", ["bursts", "pairs", "news"])
+def test_state_is_asked_a_few_times_for_many_keys(kind):
+    """Three batches of a bucket of 400 keys: late rows and timers of earlier batches among them."""
+    rule = dict(threshold=1 if kind == "pairs" else 2, time_window="100s", lookback="100s", min_history=1)
+    made = {"bursts": state.Bursts, "pairs": state.Pairs, "news": state.NewValues}[kind](rule, 1)
+    handle = Kept()
+    handle.getListState, handle.getValueState = lambda *_: waiting, lambda *_: memory
+    waiting, memory = KeptList(), KeptValue()
+    made.init(handle)
+    second, out = 1_000_000, []
+    at = lambda mark: SimpleNamespace(getCurrentWatermarkInMs=lambda: mark * 1000)
+    for batch, mark in ((0, 0), (1, 150), (2, 400)):
+        rows = [(f"key{k}", (batch * 200 + 1 + 10 * i) * second, f"e{i}", f"v{i}", i == 0, i == 1) for k in range(400) for i in range(2)]
+        rows.append(("key0", mark * second, "late", "late", True, True))
+        list(made.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["k0", *state.COLUMNS])]), at(mark)))
+        if mark:
+            for _ in range(2):
+                out += [tuple(r) for f in made.handleExpiredTimer((7,), at(mark), None) for r in f.itertuples(index=False)]
+    key = lambda rows: sorted(r[1:] for r in rows if r[0] == "key5")
+    starts = [1, 201]
+    want = {"bursts": [(s * second, (s + 10) * second, 2) for s in starts], "pairs": [((s + 10) * second, "e1", 2) for s in starts],
+            "news": [(11 * second, "e1", "v1", 1)]}[kind]
+    assert key(out) == want and len({r[0] for r in out}) == 400
+    assert waiting.calls + memory.calls < 20
+
+
+def test_parts_arrive_whole_from_several_tasks(spark, tmp_path):
+    seen, place = [], tmp_path / "in"
+
+    def start(stream):
+        writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        return writer.foreachBatch(lambda batch, epoch: seen.append((epoch, sorted(r[0] for r in batch.collect())))).start()
+
+    parts = (spark.range(a, a + 30, 1, 5) for a in (0, 100, 200))
+    catalog_streaming._arrive(spark, parts, str(place), start)
+    assert seen == [(k, list(range(a, a + 30))) for k, a in enumerate((0, 100, 200))]
+    assert len(list(place.glob("*.parquet"))) == 15
+
+
 def test_detect_and_summaries_are_exact(spark, tmp_path):
     rule = dict(id="T", name="t", kind="threshold", category="c", severity="low", confidence="low", match=FAIL, group_by=["username"],
                 threshold=3, time_window="900s", mitre=[], explanation="$count", response=[])
