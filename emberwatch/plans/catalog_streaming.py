@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.lineage import checkpoint_folder
 from emberwatch.plans.catalog_detect import AUTH1, AUTH2, B1, NV, P2, QUERIES as BATCH
@@ -63,8 +64,8 @@ def _dedup(spark, folder: str):
     return spark.read.parquet(f"{out}/rows").select("fingerprint")
 
 
-def _in_files(spark, folder: str, out: str, columns: list[str]) -> DataFrame:
-    """The event table as a stream of seven files: five by time, of which each has rows that are up to
+def _in_turn(spark, folder: str, columns: list[str]) -> Iterator[DataFrame]:
+    """The event table in seven parts that arrive one after the other: five by time, of which each has rows that are up to
     half an hour late, and two of closing rows."""
     events = sample.events(spark, folder)
     span = events.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
@@ -72,34 +73,43 @@ def _in_files(spark, folder: str, out: str, columns: list[str]) -> DataFrame:
     step = (span["b"] - span["a"]) / 5
     for k in range(5):
         low, high = span["a"] + k * step, span["a"] + (k + 1) * step
-        part = events.where((late >= low if k else F.lit(True)) & (late < high if k < 4 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+        yield events.where((late >= low if k else F.lit(True)) & (late < high if k < 4 else F.lit(True)))
     for after in ("1000 DAYS", "1100 DAYS"):
-        state.closing(events, columns, after).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        yield state.closing(events, columns, after)
+
+
+def _arrive(spark, parts: Iterator[DataFrame], place: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Each part is written by all tasks that have rows of it and read to its end as one batch, before the next one is; the
+    query goes on from its checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(place)
+        start(spark.readStream.schema(part.schema).parquet(place)).awaitTermination()
 
 
 def _stateful(make, rule):
     def query(spark, folder: str):
-        out = _folder(spark, "state")
-        found = make(_in_files(spark, folder, out, rule["group_by"]), rule, "1 hour")
-        writer = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_log")
-        writer.trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(found.schema).parquet(f"{out}/rows")
+        out, schema = _folder(spark, "state"), []
+
+        def start(stream: DataFrame) -> StreamingQuery:
+            found = make(stream, rule, "1 hour")
+            schema[:] = [found.schema]
+            writer = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_log")
+            return writer.trigger(availableNow=True).start()
+
+        _arrive(spark, _in_turn(spark, folder, rule["group_by"]), f"{out}/in", start)
+        return spark.read.schema(schema[0]).parquet(f"{out}/rows")
 
     return query
 
 
-def _resent(spark, folder: str, out: str):
-    """Access-log records as a stream of four files; a sixth of each file comes again with the next one."""
+def _resent(spark, folder: str) -> Iterator[DataFrame]:
+    """Access-log records in four parts; a sixth of each part comes again with the next one."""
     rows = sample.raw_records(spark, folder, "http_access")
     again = rows.where("record_no % 6 = 0").withColumns(
         {"record_no": F.col("record_no") + 1_000_000_000, "received_at": F.col("received_at") + F.expr("INTERVAL 1 DAY")}
     )
     for k in range(4):
-        part = rows.where(f"record_no % 4 = {k}").unionByName(again.where(f"record_no % 4 = {k - 1}"))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        yield rows.where(f"record_no % 4 = {k}").unionByName(again.where(f"record_no % 4 = {k - 1}"))
 
 
 def _ingest(spark, folder: str):
@@ -108,10 +118,10 @@ def _ingest(spark, folder: str):
         "source_type": F.lit("http_access"), "timezone": F.lit("UTC"), "default_host": F.lit("app-01"),
         "allowed_hosts": F.lit(None).cast("array<string>"),
     })
-    jobs.stream_ingest(
-        _resent(spark, folder, out), sources, sample.assets(spark, folder), sample.identities(spark, folder),
+    _arrive(spark, _resent(spark, folder), f"{out}/in", lambda stream: jobs.stream_ingest(
+        stream, sources, sample.assets(spark, folder), sample.identities(spark, folder),
         f"{out}/raw", f"{out}/events", "ingest", checkpoint=f"{out}/_log",
-    ).awaitTermination()
+    ))
     taken = spark.read.parquet(f"{out}/events").select(
         F.col("raw_event_id").alias("fingerprint"), F.unix_micros("timestamp").alias("us"), "username", "identity_id"
     )
