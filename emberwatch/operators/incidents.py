@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.lineage import cut
 from emberwatch.operators.priority import incident_risk
 from emberwatch.schema import SEVERITIES
 
@@ -205,8 +206,8 @@ def incident_timeline(
     merged = seen.unionByName(raised).unionByName(done)
     if after is not None:
         cursor = F.struct(F.lit(after[0]).cast("bigint").alias("at"), F.lit(after[1]).alias("kind"), F.lit(after[2]).alias("ref"))
-        merged = merged.filter(F.struct("at", "kind", "ref") > cursor)
-    page = merged.orderBy("at", "kind", "ref").limit(limit)
+        merged = merged.filter((F.col("at") >= after[0]) & (F.struct("at", "kind", "ref") > cursor))
+    page = cut(merged.orderBy("at", "kind", "ref").limit(limit))  # `limit` rows, read twice below
     rules = (
         cited.join(page.filter("kind = '1event'").select(F.col("ref").alias("event_id")), "event_id", "left_semi")
         .join(alerts.select(F.col("id").alias("alert_id"), "rule_id"), "alert_id")

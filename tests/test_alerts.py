@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators import alerts as A
 from emberwatch.operators import correlate as C
-from emberwatch.operators import workflow
+from emberwatch.operators import incidents, workflow
 from emberwatch.operators.assembly import Walk
 from emberwatch.operators.priority import alert_priority, band
 from emberwatch.plans.rules import tuned
@@ -210,3 +210,30 @@ def test_an_item_with_most_changes_is_replayed_in_chunks(spark):
         done = workflow.fold_incident_transitions(items, changes, chunk)
         assert {r.change_id: (r.from_status, r.code) for r in done.collect()} == want
     assert {r.item_id: r.status for r in workflow.final_status(items, done).collect()} == now
+
+
+def cited(spark):
+    events = frame(spark, [event(1), event(2, 5, host="web-02")])
+    return events, spark.createDataFrame([("a", "e000001"), ("a", "e000002")], "alert_id string, event_id string")
+
+
+def test_context_meets_events_once(spark):
+    events, links = cited(spark)
+    assets = spark.createDataFrame([("7", "web-02", ["10.0.0.9"], "high")], "id string, hostname string, ip_addresses array<string>, criticality string")
+    people = spark.createDataFrame([("3", "root", "privileged")], "id string, username string, privilege_level string")
+    got = A.alert_context(links, events, assets, people)
+    assert "event_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.first()
+    assert (r.asset_name, r.asset_level, r.actor, r.actor_privileged) == ("web-02", "high", "root", True)
+    assert r.last_us - r.first_us == 5_000_000
+
+
+def test_page_of_a_timeline_is_sorted_once(spark):
+    events, links = cited(spark)
+    first, last = (r[0] for r in events.selectExpr("unix_micros(timestamp) AS us").orderBy("us").collect())
+    members = spark.createDataFrame([("i", "a")], "incident_id string, alert_id string")
+    raised = spark.createDataFrame([("a", last + 1, "t", "R")], "id string, created_us bigint, title string, rule_id string")
+    done = spark.createDataFrame([("i", 4, last + 2, "x"), ("i", 3, first - 1, "y")], "incident_id string, seq bigint, at bigint, text string")
+    got = incidents.incident_timeline("i", members, links, events, raised, done, after=(first, "1event", "e000001"), limit=2)
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ref, r.rules) for r in got.collect()] == [("e000002", ["R"]), ("a", None)]
