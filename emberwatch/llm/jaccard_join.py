@@ -1,10 +1,13 @@
 """N-gram Jaccard join: documents whose shingle sets overlap by 85 % are linked; exact.
 
 Shingles are hashed to 64 bits. The set of a document is dealt by hash into parts, one more than
-two linked documents of that size can differ in shingles (and some spare ones): linked documents
-have a part in common, whole. Equal parts give candidate edges, as stars, made first within a batch
-and then across the corpus, so a part that a third of all documents have is one row per batch.
-Connected candidates form blocks; no link leaves a block.
+two linked documents of that size can differ in shingles (and some spare ones): as a shingle spoils
+one part only, linked documents have as many parts in common, whole, as there are more parts than
+shingles in which they can differ. Documents that share a part are paired and their common parts
+counted; pairs with enough are candidates. A part of more than OFTEN documents makes no pairs: it
+counts for every pair of documents that have such parts, and documents with enough of these alone are
+tied as stars. Candidates are few beyond the links, so blocks of connected ones do not grow together
+as the corpus grows; no link leaves a block.
 
 Within a block a T-occurrence search finds the links. Documents come by size; each asks an inverted
 index of the earlier ones for those with at least T of its shingles. DivideSkip: the longest lists are
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from emberwatch.llm.common import NO_ID, components, run_folder, small_or_shuffled, staged
 
 WIDTH, PERCENT, CHUNK = 4, 85, 1500
+#: Documents with a part in common that are still paired with each other.
+OFTEN = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,9 +88,13 @@ class Parts:
     def of(self, found: np.ndarray) -> np.ndarray:
         """Signatures of a set's parts: for its own band, where it may be the smaller of two linked
         sets, and for the band below, if it may be the larger one of a set there."""
-        n, out = len(found), []
+        return self.asked(found)[0]
+
+    def asked(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures, and with each how many any linked set has in common with this one at least."""
+        n, out, needs = len(found), [], []
         if not n:
-            return found
+            return found, found
         k = int(np.searchsorted(self.ends, n, "right")) - 1
         smallest = -(-self.percent * n // 100)
         for band in (k, k - 1):
@@ -105,71 +114,108 @@ class Parts:
                 sums = np.r_[sums, empty * _MIX]
             sums = (sums ^ (sums >> np.uint64(32))) * _MIX + np.uint64(band)
             out.append((sums ^ (sums >> np.uint64(29))) * _ODD)
-        return np.concatenate(out) if out else found[:0]
+            spoilt = min(differ, (100 - self.percent) * n // self.percent)
+            needs.append(np.full(len(sums), max(1, len(first) - spoilt), "u8"))
+        return (np.concatenate(out), np.concatenate(needs)) if out else (found[:0], found[:0])
 
 
 def _sets(width: int, percent: int):
-    """Per document: the size of its set, a digest of it, the part signatures that no earlier
-    document of its batch has, and the earlier documents of the batch that have the others."""
+    """Per document: the size of its set, a digest of it, and its part signatures, each with the number
+    needed in its last byte."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, parts = Hasher(), Parts(percent)
         for frame in frames:
-            rows, sigs, owner = [], [], []
-            for k, (doc, text) in enumerate(zip(frame["doc"], frame["text"], strict=True)):
+            rows = []
+            for doc, text in zip(frame["doc"], frame["text"], strict=True):
                 found = shingles(hasher.words(text), width)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                rows.append((doc, len(found), digest))
-                own = parts.of(found) if doc != NO_ID else found[:0]
-                sigs.append(own)
-                owner.append(np.full(len(own), k))
-            out = pd.DataFrame(rows, columns=["doc", "n", "digest"])
-            if rows:
-                sigs, owner = np.concatenate(sigs), np.concatenate(owner)
-                order = np.lexsort((owner, sigs))
-                sigs, owner = sigs[order], owner[order]
-                new = np.r_[True, sigs[1:] != sigs[:-1]][: len(sigs)]
-                lead = owner[np.maximum.accumulate(np.where(new, np.arange(len(sigs)), 0))] if len(sigs) else owner
-                docs = out["doc"].to_numpy()
-                out["sigs"] = _by_owner(owner[new], sigs[new], len(rows))
-                pairs = np.unique(np.stack([owner[~new], lead[~new]], 1), axis=0)
-                out["leads"] = _by_owner(pairs[:, 0], docs[pairs[:, 1]], len(rows))
-            else:
-                out["sigs"] = out["leads"] = []
-            yield out
+                sigs, needs = parts.asked(found if doc != NO_ID else found[:0])
+                packed = (sigs & ~np.uint64(255)) | np.minimum(needs, np.uint64(255))
+                rows.append((doc, len(found), digest, packed.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc", "n", "digest", "sigs"])
 
     return run
 
 
-def _by_owner(owner: np.ndarray, values: np.ndarray, n: int) -> list[bytes]:
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(1, n))
-    return [part.tobytes() for part in np.split(values[order], cuts)]
+def _once(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, document and need of each pair of the first two, sorted, with its least need; and
+    where signatures begin."""
+    keys, needs = sigs >> 8, sigs & 255
+    order = np.lexsort((needs, docs, keys))
+    keys, docs, needs = keys[order], docs[order], needs[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])][: len(keys)]
+    keys, docs, needs = keys[new], docs[new], needs[new]
+    return keys, docs, needs, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+
+
+def _rows_of(often: int, beyond: bool):
+    """Document and signature. Of the documents of a batch that have a signature, the first ones are
+    enough to show that it is a frequent one; the others are given only if asked for those beyond."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = np.frombuffer(b"".join(frame["sigs"]), "<i8")
+            docs = np.repeat(frame["doc"].to_numpy("i8"), [len(p) // 8 for p in frame["sigs"]])
+            keys, docs, needs, first = _once(values, docs)
+            turn = np.arange(len(keys)) - np.repeat(first, np.diff(np.r_[first, len(keys)]))
+            mine = turn > often if beyond else turn <= often
+            yield pd.DataFrame({"a": docs[mine], "b": ((keys << 8) | needs)[mine]})
+
+    return run
+
 
+def _groups(often: int):
+    """Of rows sorted by signature: pairs of documents that share one, and how many they need; of
+    frequent signatures each document, the signature, and the need as a negative number."""
+
+    def of(sigs: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
+        same = sigs[1:] >> 8 == sigs[:-1] >> 8
+        shared = np.r_[False, same] | np.r_[same, False]
+        keys, docs, needs, first = _once(sigs[shared[: len(sigs)]], docs[shared[: len(sigs)]])
+        sizes = np.diff(np.r_[first, len(keys)])
+        many = np.repeat(sizes > often, sizes)
+        out = [(docs[many], keys[many], -needs[many])]
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= often)]):
+            at = first[sizes == size][:, None] + np.arange(size)
+            i, j = np.triu_indices(size, 1)
+            x, y = at[:, i].ravel(), at[:, j].ravel()
+            out.append((docs[x], docs[y], np.maximum(needs[x], needs[y])))
+        a, b, need = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"a": a, "b": b, "need": need.astype("i4")})
 
-def _rows_of(column: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigs = docs = np.empty(0, "i8")
         for frame in frames:
-            values = np.frombuffer(b"".join(frame[column]), "<i8")
-            docs = np.repeat(frame["doc"].to_numpy("i8"), [len(p) // 8 for p in frame[column]])
-            yield pd.DataFrame({"a": docs, "b": values})
+            sigs, docs = np.r_[sigs, frame["b"].to_numpy("i8")], np.r_[docs, frame["a"].to_numpy("i8")]
+            whole = np.searchsorted(sigs, (sigs[-1] >> 8) << 8) if len(sigs) else 0
+            if whole:
+                yield of(sigs[:whole], docs[:whole])
+                sigs, docs = sigs[whole:], docs[whole:]
+        yield of(sigs, docs)
 
     return run
 
 
-def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by signature and document: an edge from each to the first with its signature."""
-    last, lead = None, None
-    for frame in frames:
-        sigs, docs = frame["b"].to_numpy("i8"), frame["a"].to_numpy("i8")
-        if not len(sigs):
-            continue
-        new = np.r_[last is None or sigs[0] != last, sigs[1:] != sigs[:-1]]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(sigs)), -1))
-        leads = np.where(start >= 0, docs[start], lead if lead is not None else 0)
-        last, lead = sigs[-1], leads[-1]
-        edges = np.unique(np.stack([docs[leads != docs], leads[leads != docs]], 1), axis=0)
-        yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+def _candidates(known: DataFrame, folder: str) -> DataFrame:
+    """a, b: pairs of documents that tie all that can be linked, from rows of doc and sigs."""
+    pairs, width = "a long, b long", int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = known.mapInPandas(_rows_of(OFTEN, False), pairs).repartition(width, F.shiftright("b", 8))
+    met = sigs.sortWithinPartitions("b", "a").mapInPandas(_groups(OFTEN), f"{pairs}, need int")
+    met = staged(met, folder, "met")
+    beyond = known.mapInPandas(_rows_of(OFTEN, True), pairs)
+    beyond = beyond.select("a", F.shiftright("b", 8).alias("b"), F.expr("cast(b & 255L AS int) AS need"))
+    often = staged(met.where("need < 0").withColumn("need", -F.col("need")).unionByName(beyond), folder, "often")
+    # What pairs have in common beyond the parts they were paired by is no more than either has of frequent ones.
+    more = staged(often.groupBy("a").agg(F.count("*").alias("h"), F.min("need").alias("need")), folder, "more")
+    size = small_or_shuffled(more.select("a", "h"))
+    counted = met.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need"))
+    counted = counted.join(size, "a", "left").withColumnRenamed("h", "ha")
+    counted = counted.join(size.withColumnsRenamed({"a": "b", "h": "hb"}), "b", "left")
+    near = counted.where("k + least(coalesce(ha, 0), coalesce(hb, 0)) >= need").select("a", "b")
+    tied = often.join(small_or_shuffled(more.where("h >= need").select("a")), "a").select("a", "b")
+    first = staged(tied.groupBy("b").agg(F.min("a").alias("lead")), folder, "leads")
+    return near.unionByName(tied.join(small_or_shuffled(first), "b").select("a", F.col("lead").alias("b")))
 
 
 class Search:
@@ -280,20 +326,17 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """One row per document: doc_id, n_shingles, component_id."""
     spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    kinds = "doc long, n long, digest binary, sigs binary, leads binary"
+    kinds = "doc long, n long, digest binary, sigs binary"
     sets = staged(texts.mapInPandas(_sets(width, percent), kinds), folder, "sets")
     known = sets.where(F.col("digest").isNotNull() & (F.col("doc") != NO_ID))
     first = known.groupBy("digest").agg(F.min("doc").alias("b"), F.count("*").alias("k"))
     equal = known.select(F.col("doc").alias("a"), "n", "digest").join(first.where("k > 1"), "digest")
-    copies = staged(equal.where("a <> b").select("a", "b", "n"), folder, "equal")
+    copies = staged(equal.where("a <> b").select("a", "b", "n", "digest"), folder, "equal")
     equal = copies.select("a", "b")
     pairs = "a long, b long"
-    width_now = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sigs = known.where("length(sigs) > 0").select("doc", "sigs").mapInPandas(_rows_of("sigs"), pairs)
-    stars = sigs.repartition(width_now, "b").sortWithinPartitions("b", "a").mapInPandas(_stars, pairs)
-    near = known.where("length(leads) > 0").select("doc", "leads").mapInPandas(_rows_of("leads"), pairs)
-    candidates = stars.unionByName(near).unionByName(equal)
-    blocks = components(candidates, f"{folder}/blocks")
+    gone = small_or_shuffled(copies.select(F.col("a").alias("doc"), "digest"))
+    alone = known.where("length(sigs) > 0").join(gone, ["doc", "digest"], "left_anti").select("doc", "sigs")
+    blocks = components(_candidates(alone, folder).unionByName(equal), f"{folder}/blocks")
     # A document has a place for each size of its rows, unless all rows of that size are copies.
     sizes = known.groupBy(F.col("doc").alias("node"), "n").agg(F.count("*").alias("rows"))
     copies = copies.groupBy(F.col("a").alias("node"), "n").agg(F.count("*").alias("copied"))
@@ -301,6 +344,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     cells = _cells(staged(blocks.join(sizes, "node"), folder, "blocks_of"), percent)
     cells = small_or_shuffled(staged(cells, folder, "cells"))
     inside = texts.join(cells, texts["doc"] == cells["node"]).select("block", "cell", "side", "doc", "text")
+    inside = inside.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "cell")  # few rows, long work
     found = inside.groupBy("block", "cell").applyInPandas(_cell(width, percent), pairs)
     links = components(staged(found, folder, "found").unionByName(equal), f"{folder}/links")
     named = sets.select("doc", "n").join(links, F.col("doc") == F.col("node"), "left")

@@ -133,3 +133,48 @@ def test_a_document_has_the_links_of_all_its_rows(spark, monkeypatch, chunk):
             root[rows[k][0]] = root[rows[first][0]] = low
     got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(root.items())
+
+
+def test_common_passages_make_no_blocks(spark, monkeypatch):
+    seen, cells = [], jaccard_join._cells
+    monkeypatch.setattr(jaccard_join, "_cells", lambda blocks, percent: seen.extend(blocks.collect()) or cells(blocks, percent))
+    common = " ".join(f"common{i}" for i in range(60))
+    texts = {k: f"{common} " + " ".join(f"own{k}n{i}" for i in range(60)) for k in range(40)}
+    texts |= {50: texts[7] + " end", 51: texts[7] + " end of it"}
+    got = jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == plain.jaccard_groups(texts)
+    assert {7, 50, 51} <= {r["node"] for r in seen} and len(seen) < 15
+
+
+@pytest.mark.parametrize("often", [1, 3])
+def test_frequent_parts_lose_no_link(spark, monkeypatch, often):
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 20)
+    texts = near_copies(7, 10)
+    words = [f"w{i}" for i in range(120)]
+    for k in range(40):
+        mine = list(words)
+        mine[3 * k % 120] = f"other{k}"
+        texts[100 + k] = " ".join(mine)
+    texts |= {200 + k: " ".join(words[:90] + [f"own{k}n{i}" for i in range(40)]) for k in range(8)}
+    texts |= {300: texts[104], 301: texts[104].upper(), 302: texts[200]}
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(given).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain.jaccard_groups(texts)
+
+
+def test_linked_sets_have_as_many_parts_in_common_as_they_need():
+    random, parts = np.random.default_rng(6), jaccard_join.Parts()
+    for n in [*range(3, 70), 200, 777]:
+        for _ in range(20):
+            a = np.unique(random.integers(0, 2**63, n, "u8"))
+            b = np.unique(np.r_[a[random.random(len(a)) > 0.07], random.integers(0, 2**63, int(n * 0.08), "u8")])
+            inside = len(np.intersect1d(a, b))
+            if len(b) and 100 * inside >= 85 * (len(a) + len(b) - inside) and len(a) + len(b) > 2 * inside:
+                (sa, na), (sb, nb) = parts.asked(a), parts.asked(b)
+                both, x, y = np.intersect1d(sa, sb, return_indices=True)
+                assert len(both) >= np.maximum(na[x], nb[y]).min(), (n, inside)
