@@ -178,3 +178,18 @@ def test_linked_sets_have_as_many_parts_in_common_as_they_need():
                 (sa, na), (sb, nb) = parts.asked(a), parts.asked(b)
                 both, x, y = np.intersect1d(sa, sb, return_indices=True)
                 assert len(both) >= np.maximum(na[x], nb[y]).min(), (n, inside)
+
+
+def test_stage_keeps_documents_of_a_common_passage_without_comparing_them(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, cells = [], jaccard_join._cells
+    monkeypatch.setattr(jaccard_join, "_cells", lambda blocks, percent: seen.extend(blocks.collect()) or cells(blocks, percent))
+    common = " ".join(f"license{i}" for i in range(100))
+    texts = {k: f"{common} " + " ".join(f"own{k}n{i}" for i in range(100)) for k in range(30)}
+    texts |= {90: texts[4] + " end", 91: texts[5]}
+    given = spark.createDataFrame([(d, t, "en") for d, t in texts.items()], "doc_id long, text string, lang string")
+    stays = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, given, "")
+    assert stays.columns == given.columns
+    assert sorted((r["doc_id"], r["text"]) for r in stays.collect()) == [(k, texts[k]) for k in range(30)]
+    assert {4, 90} <= {r["node"] for r in seen} and len(seen) < 15
